@@ -11,7 +11,7 @@ from tessera.operators.code import entry_point, live_routines
 from tessera.operators.metadata import current
 
 # Words that no statement of the gateway may hold, in literals neither.
-FORBIDDEN = "insert update delete drop alter create replace attach detach pragma vacuum reindex truncate merge grant revoke set reset refresh cache uncache analyze load add use call msck repair export import"
+FORBIDDEN = "insert update delete drop alter create replace attach detach pragma vacuum reindex truncate merge grant revoke set reset refresh cache uncache analyze load add use call msck repair"
 CAP = 5000
 
 
