@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.operators.components import components
 from tessera.util import runs, settle
 
-TREES, DEPTH, SKETCH = 8, 5, 48
+TREES, DEPTH, SKETCH = 8, 4, 40
 #: Chunks that are compared exhaustively at a node.
 NODE = 600
 #: Classes of at most so many copies are expanded to pairs in ``pairs``; larger ones are linked to their representative.
@@ -126,15 +126,18 @@ def _placed(sets: DataFrame) -> DataFrame:
     """(key, chunk_id, sketch, block, blocks): each chunk once a tree, at the first node on its path that
     is small enough; what is left at the greatest depth is given block numbers."""
     paths = _paths(sets)
-    key, extra = None, F.lit(1)
+    each = F.explode(F.array(*[F.struct(F.lit(d + 1).alias("depth"), F.col(f"k{d + 1}").alias("k")) for d in range(DEPTH)]))
+    counted = paths.select(each.alias("e")).groupBy("e.depth", "e.k").count().where(F.col("count") > NODE)
+    large = settle(counted)  # its size is known from here on, so that it is broadcast only while it is small
     for d in range(DEPTH):
-        k = f"k{d + 1}"
-        large = paths.groupBy(k).count().where(F.col("count") > NODE).select(k, F.col("count").alias(f"n{d + 1}"))
-        paths = paths.join(large, k, "left")
+        mine = large.where(F.col("depth") == d + 1).select(F.col("k").alias(f"k{d + 1}"), F.col("count").alias(f"n{d + 1}"))
+        paths = paths.join(mine, f"k{d + 1}", "left")
     key = F.coalesce(*[F.when(F.col(f"n{d + 1}").isNull(), F.col(f"k{d + 1}")) for d in range(DEPTH)], F.col(f"k{DEPTH}"))
-    full = F.when(F.least(*[F.col(f"n{d + 1}") for d in range(DEPTH)]).isNotNull() & F.col(f"n{DEPTH}").isNotNull(), F.col(f"n{DEPTH}"))
-    extra = F.greatest(F.lit(1), F.ceil(full / NODE)).cast("int")
-    return paths.select(key.alias("key"), "chunk_id", "sketch", F.coalesce(extra, F.lit(1)).alias("blocks"))
+    all_large = F.lit(True)
+    for d in range(DEPTH):
+        all_large = all_large & F.col(f"n{d + 1}").isNotNull()
+    blocks = F.when(all_large, F.ceil(F.col(f"n{DEPTH}") / NODE).cast("int")).otherwise(1)
+    return paths.select(key.alias("key"), "chunk_id", "sketch", blocks.alias("blocks"))
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
@@ -180,8 +183,8 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that reach the threshold on their shingles."""
-    sa, sb = sets.select(F.col("chunk_id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("chunk_id").alias("b"), F.col("shingles").alias("sb"))
+    """(a, b, jaccard) of the pairs that reach the threshold on their shingles. Only the sets that occur in a
+    pair are moved."""
 
     def run(batches):
         for b in batches:
@@ -195,6 +198,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             cols = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
 
+    pairs = settle(pairs)
+    ids = pairs.select(F.col("a").alias("chunk_id")).union(pairs.select(F.col("b").alias("chunk_id"))).distinct()
+    needed = settle(sets.join(settle(ids), "chunk_id", "left_semi").dropDuplicates(["chunk_id"]))
+    sa, sb = needed.select(F.col("chunk_id").alias("a"), F.col("shingles").alias("sa")), needed.select(F.col("chunk_id").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, jaccard double")
 
 
@@ -205,9 +212,8 @@ def linked(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> tu
     ids = sets.select("chunk_id", "digest").distinct()
     classes = ids.groupBy("digest").agg(F.min("chunk_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = settle(ids.join(classes, "digest").select("chunk_id", "rep", "n"))
-    # A chunk_id delivered twice has the same set twice: its copies share one node and are told apart by id.
-    single = sets.join(copies.where("chunk_id <> rep"), "chunk_id", "left_anti").dropDuplicates(["chunk_id"]).select("chunk_id", "shingles")
-    single = settle(single)
+    # A chunk_id delivered twice is there twice: pairs of equal ids are no pairs, and pairs are made distinct.
+    single = sets.join(copies.where("chunk_id <> rep").select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "shingles")
     links = settle(_verified(candidates(single, threshold), single, threshold))
     return links, copies, ids.select("chunk_id")
 
