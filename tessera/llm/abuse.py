@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 12_000
-LANDMARKS, ROUNDS, NEGATIVES = 320, 2, 2_000
+LANDMARKS, ROUNDS, NEGATIVES = 420, 2, 2_000
 GAP = 0.6
+#: The decision value of a sentence that is like no landmark: what is unknown is no case.
+BIAS = -1.0
 BITS = 20
 LEAST_LETTERS = 6
 #: Word odds from which a sentence is taken for what raters meant.
@@ -220,7 +222,7 @@ class Machine:
 
     def fit(self) -> tuple[np.ndarray, float]:
         odds = self._word_odds()
-        table, bias = np.zeros(1 << BITS, np.float32), -1.0
+        table, bias = np.zeros(1 << BITS, np.float32), BIAS
         held = [np.unique(d) for d in self.docs]
         clean = np.unique(np.concatenate([h for h, bad in zip(held, self.abusive) if not bad] or [np.zeros(0, int)])).astype(np.int64)
         chosen = {int(h[np.argmax(odds[h])]) for h, bad in zip(held, self.abusive) if bad and len(h) and odds[h].max() > STANDS_OUT}
@@ -276,21 +278,21 @@ class Machine:
         white = vecs / np.sqrt(np.maximum(vals, 1e-6))
         rows = np.concatenate([pos, neg])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-        x = np.hstack([kernel(rows) @ white, np.ones((len(rows), 1))])
+        x = kernel(rows) @ white
         cost = np.where(y > 0, 1.0, np.sqrt(len(pos) / len(neg)) * 2) * 10
         w = np.zeros(x.shape[1])
-        ridge = np.full(x.shape[1], 1.0)
-        ridge[-1] = 1e-6
         for _ in range(25):  # Newton steps of the squared hinge
-            live = y * (x @ w) < 1
+            live = y * (x @ w + BIAS) < 1
+            if not live.any():
+                live = np.ones(len(y), dtype=bool)
             xs, cs = x[live], cost[live]
-            new = np.linalg.solve((xs * cs[:, None]).T @ xs + np.diag(ridge), (xs * cs[:, None]).T @ y[live])
+            new = np.linalg.solve((xs * cs[:, None]).T @ xs + np.eye(x.shape[1]), (xs * cs[:, None]).T @ (y[live] - BIAS))
             if np.allclose(new, w, atol=1e-6):
                 break
             w = new
         table = np.zeros(1 << BITS, dtype=np.float32)
-        table[used] = phi[1:] @ (white @ w[:-1]).astype(np.float32)
-        return table, float(w[-1])
+        table[used] = phi[1:] @ (white @ w).astype(np.float32)
+        return table, BIAS
 
 
 def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[np.ndarray, float]:
@@ -301,7 +303,7 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tu
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     abusive = np.array([r["share"] > 0.5 for r in rows], dtype=bool)
     if not abusive.any() or abusive.all():
-        return np.zeros(1 << BITS, np.float32), -1.0
+        return np.zeros(1 << BITS, np.float32), BIAS
     return Machine([r["text"] for r in rows], abusive).fit()
 
 
