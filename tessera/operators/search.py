@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.text import token_rows
+from tessera.util import settle
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -103,19 +104,41 @@ def query_terms(text: str) -> list[tuple[str, bool]]:
     return [(w[:-2], True) if len(w) >= 6 and re.fullmatch("[а-яё]+", w) else (w, False) for w in words]
 
 
-def bm25(posting: DataFrame, key: str, queries: dict[int, str], k: int = 10) -> DataFrame:
+def tokens(c: Column) -> Column:
+    """The lower-case tokens of a text as an array, camel-case words beside the whole."""
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), "[^0-9A-Za-zА-Яа-яЁё]+"), lambda p: p != "")
+    words = F.transform(parts, lambda p: F.split(F.regexp_replace(p, "([a-zа-яё0-9])([A-ZА-ЯЁ])", "$1 $2"), " "))
+    both = F.zip_with(parts, words, lambda p, w: F.when(F.size(w) > 1, F.concat(F.array(p), w)).otherwise(F.array(p)))
+    return F.transform(F.flatten(both), lambda t: F.lower(t))
+
+
+def bm25(df: DataFrame, key: str, fields: dict[str, int], queries: dict[int, str], k: int = 10) -> DataFrame:
     """BM25 (k1 1.2, b 0.75) of the rows that hold any token of a query, the best k of each query
-    with the total of matches. Document frequencies and lengths are over the whole corpus."""
-    spark = posting.sparkSession
-    terms = spark.createDataFrame([(q, t, p) for q, text in queries.items() for t, p in query_terms(text)], "query_id bigint, term string, prefix boolean")
-    stats = posting.select(key, "dl").distinct().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hit = posting.join(F.broadcast(terms), (F.col("token") == F.col("term")) | (F.col("prefix") & F.col("token").startswith(F.col("term"))))
-    hit = hit.groupBy("query_id", "term", key, "dl").agg(F.sum("tf").alias("tf"))
-    df = hit.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hit.join(F.broadcast(df), ["query_id", "term"]).crossJoin(F.broadcast(stats))  # both bounded: terms of the queries; one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    one = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = scored.groupBy("query_id", key).agg(F.round(F.sum(one), 6).alias("score"))
+    with the total of matches. Document frequencies and lengths are over the whole corpus.
+
+    The queries' few terms become expressions: each text is read into its length and its frequency of every
+    term without a join or an exploded token; what is kept is settled, so that texts are read once, and the
+    corpus statistics are one row of sums."""
+    terms = [(q, t, p) for q, text in queries.items() for t, p in dict.fromkeys(query_terms(text))]
+    arrays = {f: tokens(F.col(f)) for f in fields}
+
+    def frequency(term: str, prefix: bool) -> Column:
+        hit = (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
+        return sum(F.size(F.filter(F.col(f"__{f}"), hit)) * w for f, w in fields.items()).cast("double")
+
+    rows = df.select(key, *[a.alias(f"__{f}") for f, a in arrays.items()])
+    dl = sum(F.size(F.col(f"__{f}")) * w for f, w in fields.items()).cast("double")
+    slim = settle(rows.select(key, dl.alias("dl"), F.array(*[frequency(t, p) for _, t, p in terms]).alias("tf")))
+    df_sums = [F.sum((F.col("tf")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]
+    stats = slim.where("dl > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *df_sums)
+    hit = slim.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+
+    def part(i: int) -> Column:
+        tf, n = F.col("tf")[i], F.col(f"df{i}")
+        return F.log(1 + (F.col("n_docs") - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    per_query = [F.struct(F.lit(q).cast("bigint").alias("query_id"), F.round(sum(F.when(F.col("tf")[i] > 0, part(i)).otherwise(0.0) for i, x in enumerate(terms) if x[0] == q), 6).alias("score"), sum((F.col("tf")[i] > 0).cast("int") for i, x in enumerate(terms) if x[0] == q).alias("hits")) for q in queries if any(x[0] == q for x in terms)]
+    s = hit.select(key, F.explode(F.array(*per_query)).alias("r")).where("r.hits > 0").select("r.query_id", key, "r.score")
     total = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(F.broadcast(total), "query_id").select("query_id", key, "score", "place", "total")
@@ -166,7 +189,7 @@ def _vector_lists(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k:
 def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, texts: dict[int, str], k: int = 10) -> DataFrame:
     """The two vector lists and full text, fused. One lazy plan; nothing is asked per hit."""
     c = chunks.dropDuplicates(["chunk_id"])
-    full = bm25(postings(c, "chunk_id", {"text": 1, "text_ident": 5}), "chunk_id", texts, 5 * k).join(c.select("chunk_id", unit_of(F.col("fqn")).alias("unit")), "chunk_id")
+    full = bm25(c, "chunk_id", {"text": 1, "text_ident": 5}, texts, 5 * k).join(c.select("chunk_id", unit_of(F.col("fqn")).alias("unit")), "chunk_id")
     return rrf([*_vector_lists(chunks, vectors, queries, k), ranked(best_per_unit(full), k * 5)], k)
 
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import code, docs, metadata, metrics, search, state, text
@@ -260,14 +261,18 @@ op(
     hit AS (SELECT query_id, term, chunk_id, sum(tf) AS tf FROM tf JOIN terms ON token = term OR (prefix AND starts_with(token, term)) GROUP BY 1, 2, 3), df AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY 1, 2),
     sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM hit JOIN df USING (query_id, term) JOIN dl USING (chunk_id), st GROUP BY 1, 2)
     SELECT query_id::BIGINT AS query_id, chunk_id, score, place, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE place <= 10""",
-)(lambda t: search.bm25(search.postings(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", {"text": 1, "text_ident": 5}), "chunk_id", TEXTS))
+)(lambda t: search.bm25(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", {"text": 1, "text_ident": 5}, TEXTS))
+op(
+    "op_K07_postings",
+    q(f"SELECT chunk_id, token, tf::BIGINT AS tf, (sum(tf) OVER (PARTITION BY chunk_id))::BIGINT AS dl FROM (SELECT chunk_id, lower(tok) AS token, count(*) AS tf FROM {TOKENS.format(key='chunk_id', col='text_ident', table='k')} GROUP BY 1, 2)"),
+)(lambda t: search.postings(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", {"text_ident": 1}))
 op("op_V11_units", q("SELECT chunk_id, split_part(split_part(fqn, '#code', 1), '#', 1) AS unit FROM k"))(lambda t: t.chunks.dropDuplicates(["chunk_id"]).select("chunk_id", search.unit_of(F.col("fqn")).alias("unit")))
 op("op_V15_semantic_search")(lambda t: search.semantic_search(t.chunks, t.chunk_vectors, query_vectors(t)))
 
 
 def hybrid(t):
     ids = t.chunk_vectors.where("size(embedding) = 64").dropDuplicates(["vec_id"]).orderBy("vec_id").limit(len(TEXTS))
-    qv = ids.select(F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("vec_id")).cast("bigint").alias("query_id"), F.col("embedding").alias("qvec"))
+    qv = ids.select(F.row_number().over(Window.orderBy("vec_id")).cast("bigint").alias("query_id"), F.col("embedding").alias("qvec"))  # a few rows
     return search.hybrid_search(t.chunks, t.chunk_vectors, qv, TEXTS)
 
 

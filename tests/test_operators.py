@@ -74,7 +74,7 @@ def test_rrf(spark):
 
 def test_bm25_ranks_names_over_text(spark):
     d = spark.createDataFrame([(1, "склад товар", "Прочее"), (2, "прочее", "Склад"), (3, None, None)], "k long, t string, n string")
-    got = search.bm25(search.postings(d, "k", {"t": 1, "n": 5}), "k", {1: "склад"}).orderBy("place").collect()
+    got = search.bm25(d, "k", {"t": 1, "n": 5}, {1: "склад"}).orderBy("place").collect()
     assert [r.k for r in got] == [2, 1] and got[0].total == 2
 
 
