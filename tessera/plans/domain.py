@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import code, docs, metadata, metrics, search, state, text
+from tessera.sources import bsl, metadata_xml, trees
 from tessera.util import read
 
 KIND, NAME, TERM = "Catalog", "ПартнерыУчета", "склад"
@@ -234,6 +235,14 @@ op("op_T11_page_sections")(lambda t: text.page_sections(text.markdown_sections(t
 op("op_T13_link_mentions")(lambda t: text.link_mentions(t.doc_units, t.objects))
 op("op_T14_sha1_text", q("SELECT unit_id, sha1(coalesce(title, '') || chr(0) || coalesce(text, '') || chr(0)) AS h FROM d"))(lambda t: t.doc_units.dropDuplicates(["unit_id"]).select("unit_id", text.sha1_text(F.col("title"), F.col("text")).alias("h")))
 
+# ---- parsers ----
+op("op_S13_type_ref", q("SELECT ref_id, category, ref_kind FROM t WHERE category <> 'typeset' AND raw IS NOT NULL"))(lambda t: t.type_refs.where("category <> 'typeset' and raw is not null").dropDuplicates(["ref_id"]).select("ref_id", metadata_xml.type_ref(F.col("raw")).alias("t")).select("ref_id", "t.category", "t.ref_kind"))
+op("op_C02_parse_module")(lambda t: bsl.routines(t.files).drop("calls"))
+op("op_C03_find_calls")(lambda t: bsl.calls(bsl.routines(t.files)))
+op("op_S08_parse_objects")(lambda t: metadata_xml.objects(t.files.where("kind = 'meta'")).drop("details"))
+op("op_S23_its_units")(lambda t: trees.its_units(t.files.where(F.lower("path").endswith(".json"))))
+op("op_S24_artifact_units")(lambda t: trees.artifact_units(t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))))
+
 # ---- search ----
 
 

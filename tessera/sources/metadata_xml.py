@@ -293,7 +293,7 @@ def objects(files: DataFrame) -> DataFrame:
                     flat = [*o["fields"], *[f for t in o["tabular"] for f in t["fields"]]]
                     rows.append({**{n: o.get(n) for n in names if n not in ("path", "error")}, "fields": [{k: f[k] for k in ("fqn", "name", "role", "type_text", "required")} for f in flat], "tabular": [t["fqn"] for t in o["tabular"]], "path": path, "error": None})
                 except (ET.ParseError, StopIteration) as e:
-                    rows.append({"path": path, "error": str(e) or "no object"})
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append(dict.fromkeys(names) | {"path": path, "error": str(e) or "no object"})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, OBJECT)

@@ -109,8 +109,8 @@ def its_units(files: DataFrame, defaults: dict | None = None) -> DataFrame:
 
 def artifact_units(files: DataFrame) -> DataFrame:
     """A unit for each section of Markdown files (path, content) that has text, called ``path#n``."""
-    s = markdown_sections(files, "path", "content").where(F.trim("body") != "")
-    return s.select(F.concat_ws("#", "path", "nth").alias("external_id"), "title", F.col("path").alias("file"), F.col("body").alias("text"), sha1_text(F.col("title"), F.col("body")).alias("version_hash"))
+    s = markdown_sections(files.select(F.col("path").alias("file"), "content"), "file", "content").where(F.trim("body") != "")
+    return s.select(F.concat_ws("#", "file", "nth").alias("external_id"), "title", "file", F.col("body").alias("text"), sha1_text(F.col("title"), F.col("body")).alias("version_hash"))
 
 
 def crawl(listing: DataFrame, stored: DataFrame, read_page) -> DataFrame:
