@@ -106,10 +106,10 @@ def query_terms(text: str) -> list[tuple[str, bool]]:
 
 def tokens(c: Column) -> Column:
     """The lower-case tokens of a text as an array, camel-case words beside the whole."""
-    parts = F.filter(F.split(F.coalesce(c, F.lit("")), "[^0-9A-Za-zА-Яа-яЁё]+"), lambda p: p != "")
-    words = F.transform(parts, lambda p: F.split(F.regexp_replace(p, "([a-zа-яё0-9])([A-ZА-ЯЁ])", "$1 $2"), " "))
-    both = F.zip_with(parts, words, lambda p, w: F.when(F.size(w) > 1, F.concat(F.array(p), w)).otherwise(F.array(p)))
-    return F.transform(F.flatten(both), lambda t: F.lower(t))
+    mark = "\x01"  # between the words of a camel-case part; one pass over the text finds all of them
+    marked = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), mark, " "), "([a-zа-яё0-9])(?=[A-ZА-ЯЁ])", f"$1{mark}")
+    parts = F.filter(F.split(F.lower(marked), f"[^0-9a-zа-яё{mark}]+"), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: F.when(F.contains(p, F.lit(mark)), F.concat(F.array(F.replace(p, F.lit(mark), F.lit(""))), F.split(p, mark))).otherwise(F.array(p))))
 
 
 def bm25(df: DataFrame, key: str, fields: dict[str, int], queries: dict[int, str], k: int = 10) -> DataFrame:
@@ -120,15 +120,17 @@ def bm25(df: DataFrame, key: str, fields: dict[str, int], queries: dict[int, str
     term without a join or an exploded token; what is kept is settled, so that texts are read once, and the
     corpus statistics are one row of sums."""
     terms = [(q, t, p) for q, text in queries.items() for t, p in dict.fromkeys(query_terms(text))]
-    arrays = {f: tokens(F.col(f)) for f in fields}
+    any_term = "^(?:" + "|".join(t + ".*" if p else t for _, t, p in terms) + ")$"
 
     def frequency(term: str, prefix: bool) -> Column:
         hit = (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
         return sum(F.size(F.filter(F.col(f"__{f}"), hit)) * w for f, w in fields.items()).cast("double")
 
-    rows = df.select(key, *[a.alias(f"__{f}") for f, a in arrays.items()])
+    rows = df.select(key, *[tokens(F.col(f)).alias(f"__{f}") for f in fields])
     dl = sum(F.size(F.col(f"__{f}")) * w for f, w in fields.items()).cast("double")
-    slim = settle(rows.select(key, dl.alias("dl"), F.array(*[frequency(t, p) for _, t, p in terms]).alias("tf")))
+    # One look at each token; what is left for the single terms is short.
+    rows = rows.select(key, dl.alias("dl"), *[F.filter(F.col(f"__{f}"), lambda x: x.rlike(any_term)).alias(f"__{f}") for f in fields])
+    slim = settle(rows.select(key, "dl", F.array(*[frequency(t, p) for _, t, p in terms]).alias("tf")))
     df_sums = [F.sum((F.col("tf")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]
     stats = slim.where("dl > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *df_sums)
     hit = slim.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
