@@ -159,9 +159,10 @@ def json_grammar(g: Language):
 
 NAME = r"[A-Za-z_:\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd\U00010000-\U000effff][-.\w:\u00b7\u0300-\u036f\u203f\u2040]*"
 ATTR = rf"\s+{NAME}\s*=\s*(?:\"[^<\"]*\"|'[^<']*')"
+QUOTED = r"(?:\"[^\"]*\"|'[^']*')"
 XML_TOKEN = re.compile(
     rf"<\?xml\s(?:(?!\?>)[\s\S])*\?>|<\?{NAME}(?:\s(?:(?!\?>)[\s\S])*)?\?>|<!--(?:(?!--)[\s\S])*-->|<!\[CDATA\[(?:(?!\]\]>)[\s\S])*\]\]>"
-    rf"|<!DOCTYPE\s(?:[^\[\]<>\"']|\"[^\"]*\"|'[^']*')*(?:\[(?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*\]\s*)?>"
+    rf"|<!DOCTYPE\s+{NAME}(?:\s+(?:SYSTEM\s+{QUOTED}|PUBLIC\s+{QUOTED}\s+{QUOTED}))?\s*(?:\[(?:[^\[\]\"']|{QUOTED})*\]\s*)?>"
     rf"|<{NAME}(?:{ATTR})*\s*/?>|</{NAME}\s*>|[^<&]+|&(?:{NAME}|\#\d+|\#x[0-9a-fA-F]+);|[\s\S]"
 )
 XML_DECL = re.compile(r"<\?xml\s+version\s*=\s*(?:\"1\.\d+\"|'1\.\d+')(?:\s+encoding\s*=\s*(?:\"[A-Za-z][-\w.]*\"|'[A-Za-z][-\w.]*'))?(?:\s+standalone\s*=\s*(?:\"(?:yes|no)\"|'(?:yes|no)'))?\s*\?>")

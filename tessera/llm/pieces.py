@@ -100,6 +100,8 @@ def cut(text: str, lo: int, hi: int, limit: int = LIMIT, overlap: int = OVERLAP)
             out.append((back, at, end, int(count[end] - count[back])))
         elif out:
             out[-1] = (*out[-1][:2], end, out[-1][3])
+        else:  # nothing but white space, as a range of a longer text may be
+            out.append((at, at, end, 0))
         at = end
     return out
 
@@ -119,7 +121,7 @@ def _range_rows(texts, limit: int, overlap: int, with_text: bool):
             lo = natural(part, k * RANGE - base, HALO) if k else 0
             hi = natural(part, (k + 1) * RANGE - base, HALO) if (k + 1) * RANGE < n else len(part)
             solid = int((~white(part[lo:hi])).sum())
-            got = cut(part, lo, hi, limit, overlap) if solid > limit or n > RANGE else [(lo, lo, hi, solid)] if solid else []
+            got = cut(part, lo, hi, limit, overlap) if solid > limit or n > RANGE else [(lo, lo, hi, solid)]
             yield kind, ident, k, solid, [(base + b, base + s, base + e, c, part[b:e] if with_text else None) for b, s, e, c in got]
 
 
@@ -207,8 +209,8 @@ def piece_report(doc_units: DataFrame, routines: DataFrame, files: DataFrame) ->
 
 
 def pieces_of_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
-    """(path, range_no, k, start, stop, n_chars, text): pieces of UTF-8 files on a shared file system by byte
-    offset. Each range is read with its halos only; ``range_no`` and ``k`` order a file's pieces."""
+    """(path, range_no, k, back, start, stop, n_chars, text): pieces of UTF-8 files on a shared file system by
+    byte offset, each from ``back`` to ``stop``. Each range is read with its halos only; ``range_no`` and ``k`` order a file's pieces."""
     import os
 
     jobs = [(p, size, k) for p in paths for size in [os.path.getsize(p)] for k in range(max(1, -(-size // range_bytes)))]
@@ -228,8 +230,8 @@ def pieces_of_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, o
                 lo = natural(text, edge[0], HALO) if k else 0
                 hi = natural(text, edge[1], HALO) if (k + 1) * range_bytes < size else len(text)
                 got = cut(text, lo, hi, limit, overlap)
-                cols = list(zip(*[(path, k, i, int(width[x]), int(width[e]), c, text[x:e]) for i, (x, _, e, c) in enumerate(got)])) or [[]] * 7
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["path", "range_no", "k", "start", "stop", "n_chars", "text"])
+                cols = list(zip(*[(path, k, i, int(width[b_]), int(width[a]), int(width[e]), c, text[b_:e]) for i, (b_, a, e, c) in enumerate(got)])) or [[]] * 8
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["path", "range_no", "k", "back", "start", "stop", "n_chars", "text"])
 
-    return todo.mapInArrow(run, "path string, range_no int, k int, start bigint, stop bigint, n_chars int, text string")
+    return todo.mapInArrow(run, "path string, range_no int, k int, back bigint, start bigint, stop bigint, n_chars int, text string")

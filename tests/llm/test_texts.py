@@ -52,7 +52,7 @@ def test_pieces_of_files(spark, tmp_path):
     rows = sorted(pieces.pieces_of_files(spark, [str(f)], range_bytes=40_000).collect(), key=lambda r: (r.range_no, r.k))
     raw = f.read_bytes()
     assert rows[0].start == 3 and rows[-1].stop == len(raw) and all(a.stop == b.start for a, b in zip(rows, rows[1:]))
-    assert all(raw[r.start : r.stop].decode().endswith(r.text[-5:]) and r.n_chars <= 1200 for r in rows)
+    assert all(raw[r.back : r.stop].decode() == r.text and r.n_chars == solid(r.text) <= 1200 for r in rows)
 
 
 @pytest.fixture(scope="module")
