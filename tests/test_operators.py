@@ -1,5 +1,6 @@
 """Facts of single operators on small tables, with nulls, ties, repeated rows and empty tables."""
 
+import random
 import time
 
 import pytest
@@ -16,6 +17,16 @@ def test_components(spark):
     assert components.components(e.limit(0)).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Rising ids, falling and rising ids in turn, and shuffled ids: each chain is one component."""
+    mixed = random.Random(5).sample(range(20_000, 21_000), 1000)
+    waves = [10_000 + (i if i % 2 else 2000 + i) for i in range(1000)]
+    chains = [list(range(1, 1001)), waves, mixed]
+    e = spark.createDataFrame([(x, y) for c in chains for x, y in zip(c, c[1:])], "a long, b long")
+    got = {r.node: r.component for r in components.components(e).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
+
+
 T = "timestamp'2024-0{}-01'"
 
 
