@@ -223,7 +223,8 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
     reps = units.join(copies.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
     trees = _trees(reps, cosine, recall, sample, leaf)
     half = queries is None
-    is_query = F.lit(True) if half else queries
+    # A class asks if any member of it does.
+    asking = reps.withColumn("ask", F.lit(True)) if half else reps.join(copies.where(queries).select(F.col("rep").alias("vec_id"), F.lit(True).alias("by_copy")).distinct(), "vec_id", "left").withColumn("ask", F.coalesce("by_copy", queries))
     kind = "<f2" if half else "<f4"
     fields = sorted(trees)
 
@@ -255,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
                     if len(at):
                         yield from _sent(tree, visits, number, bundle[f], blocks, x[at], ids[at], ask[at], kind)
 
-    sent = reps.select("vec_id", "field_name", "unit", is_query.alias("ask")).mapInArrow(send, "key bigint, vec_id bigint, home int, mask bigint, unit binary")
+    sent = asking.select("vec_id", "field_name", "unit", "ask").mapInArrow(send, "key bigint, vec_id bigint, home int, mask bigint, unit binary")
 
     def search(batches):
         for t in runs(batches):

@@ -78,6 +78,17 @@ def test_copies_and_empty(spark):
     assert vectors.mutual(df.limit(0)).count() == 0 and vectors.mutual(df.limit(1)).count() == 0
 
 
+def test_a_queried_copy_of_a_vector_that_is_not_queried(spark):
+    x = clustered(200, 4)
+    x[40], x[120], x[160] = x[7], x[7], x[163]  # 160 is the least of its class, 7 asks for 40 and 120
+    df = frame(spark, [(i, "text", x[i].tolist(), 1) for i in range(len(x))])
+    _, top = brute(list(range(len(x))), x, 5)
+    got = {}
+    for r in vectors.nearest(df, recall=1.0, cosine=0.0, queries=F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.vec_a, set()).add(r.vec_b)
+    assert got == {i: set(top[i]) for i in range(0, 200, 20)}
+
+
 def texts(seed=0):
     rng = random.Random(seed)
     vocab = [f"слово{i}" for i in range(3000)]
