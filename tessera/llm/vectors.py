@@ -215,8 +215,12 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
 
     Equal vectors are searched as one class: of a class, each query's nearest copies are those with the
     least ids, so at most k + 1 members of a class ever matter to others."""
-    units = settle(unit_vectors(vectors))
-    ids = units.select("field_name", F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("again"), "unit").alias("m"), "vec_id").distinct()
+    units = settle(unit_vectors(vectors).withColumn("row", F.monotonically_increasing_id()))
+    hashes = F.struct(F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("again"), "unit").alias("m"), "row")
+    ids = settle(units.groupBy("field_name", "vec_id").agg(F.min(hashes).alias("kept"), F.count(F.lit(1)).alias("times")).select("field_name", "vec_id", "kept.*", "times"))
+    # Repeated ids go before the tree: else each row would take a place in a leaf.
+    repeated = ids.where("times > 1").select("field_name", "vec_id", F.col("row").alias("kept"))
+    units = units.join(repeated, ["field_name", "vec_id"], "left").where("kept is null or kept = row").drop("kept", "row")
     classes = ids.groupBy("field_name", "h", "m").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     w = Window.partitionBy("rep").orderBy("vec_id")
     copies = settle(ids.join(classes, ["field_name", "h", "m"]).select("field_name", "vec_id", "rep", F.row_number().over(w).alias("nth")))

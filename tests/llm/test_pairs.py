@@ -89,6 +89,18 @@ def test_a_queried_copy_of_a_vector_that_is_not_queried(spark):
     assert got == {i: set(top[i]) for i in range(0, 200, 20)}
 
 
+def test_an_id_repeated_many_times_hides_no_neighbour(spark):
+    x = clustered(60, 5)
+    for j in range(1, 7):
+        x[j] = x[0] + np.random.default_rng(j).standard_normal(64).astype(np.float32) * 0.02 * j
+    df = frame(spark, [(i, "text", x[i].tolist(), 1) for i in range(len(x))] + [(1, "text", x[1].tolist(), 1)] * 20)
+    s, top = brute(list(range(len(x))), x, 5)
+    got = [r.vec_b for r in vectors.nearest(df, queries=F.col("vec_id") == 0).orderBy("place").collect()]
+    assert got == top[0]
+    want = {(i, j) for i in top for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.9}
+    assert {tuple(r) for r in vectors.mutual(df).collect()} == want
+
+
 def texts(seed=0):
     rng = random.Random(seed)
     vocab = [f"слово{i}" for i in range(3000)]
