@@ -167,8 +167,41 @@ def _trees(reps: DataFrame, cosine: float, recall: float, sample: int, leaf: int
     return out
 
 
-#: What half precision may change in a cosine of unit vectors, and how many more candidates that calls for.
-HALF_ERROR, MORE = 0.003, 3
+#: Digits to which cosines count as equal; single precision and this rounding change a cosine by less than CLOSE.
+DIGITS, CLOSE = 6, 2e-6
+#: Candidates kept per leaf beyond k where they are not crowded.
+MORE = 3
+
+
+def _top(x: np.ndarray, ids: np.ndarray, mx: np.ndarray, mi: np.ndarray, k: int, low: float):
+    """(row, column, cosine): for each of the queries ``x`` all members ``mx`` that can be among its k nearest,
+    equal cosines by id. Where the candidates beyond the k-th are too close to tell, all members are compared
+    in double precision."""
+    sim = x @ mx.T
+    sim[ids[:, None] == mi[None, :]] = -2
+    n = min(k + MORE, len(mi))
+    top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+    kept = np.sort(np.take_along_axis(sim, top, axis=1), axis=1)
+    crowded = (kept[:, 0] >= max(low, -1.5) - CLOSE) & (kept[:, 0] >= kept[:, -min(k, n)] - CLOSE) if n < len(mi) else np.zeros(len(x), bool)
+    row, col = np.repeat(np.flatnonzero(~crowded), n), top[~crowded].ravel()
+    ok = sim[row, col] >= max(low - CLOSE, -1.5)
+    row, col = row[ok], col[ok]
+    exact = np.einsum("ij,ij->i", x[row].astype(np.float64), mx[col].astype(np.float64))
+    rows, cols, cosines = [row], [col], [exact]
+    if crowded.any():
+        order = np.argsort(mi, kind="stable")
+        far = mx[order].astype(np.float64).T
+        at = np.flatnonzero(crowded)
+        for s in range(0, len(at), 256):
+            q = at[s : s + 256]
+            near = x[q].astype(np.float64) @ far
+            # Rounded cosine first, then place by id, as one whole number.
+            rank = -np.round(near * 10**DIGITS).astype(np.int64) * len(mi) + np.arange(len(mi))
+            rank[ids[q][:, None] == mi[order][None, :]] = np.iinfo(np.int64).max
+            best = np.argpartition(rank, k - 1, axis=1)[:, :k]
+            r = np.repeat(np.arange(len(q)), k)
+            rows.append(q[r]), cols.append(order[best.ravel()]), cosines.append(near[r, best.ravel()])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(cosines)
 
 
 def _rows(key, ids, home, mask, x) -> pa.RecordBatch:
@@ -176,7 +209,7 @@ def _rows(key, ids, home, mask, x) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(home.astype(np.int32)), pa.array(mask), raw], ["key", "vec_id", "home", "mask", "unit"])
 
 
-def _sent(tree: Tree, visits: int, number: int, bundle: int, blocks: dict, x, ids, ask, kind: str):
+def _sent(tree: Tree, visits: int, number: int, bundle: int, blocks: dict, x, ids, ask):
     """Rows to ship: a vector goes once to each bundle of leaves that it lies in or visits, with its home leaf
     there and a bit for each leaf it visits. A crowded leaf is a key of its own for each of its blocks."""
     home = tree.visit(x, 1)[:, 0]
@@ -195,7 +228,7 @@ def _sent(tree: Tree, visits: int, number: int, bundle: int, blocks: dict, x, id
             at = np.concatenate([row[m], row[q]])
             if len(at):
                 where = np.concatenate([np.zeros(m.sum()), np.full(q.sum(), -1)])
-                yield _rows(base + (np.int64(block + 1) << 20) + np.concatenate([leaf[m], leaf[q]]), ids[at], where, np.concatenate([np.zeros(m.sum(), np.int64), np.ones(q.sum(), np.int64)]), x[at].astype(kind))
+                yield _rows(base + (np.int64(block + 1) << 20) + np.concatenate([leaf[m], leaf[q]]), ids[at], where, np.concatenate([np.zeros(m.sum(), np.int64), np.ones(q.sum(), np.int64)]), x[at])
     row, leaf, asks = row[full == 1], leaf[full == 1], asks[full == 1]
     group = row * (np.int64(1) << 20) + leaf // bundle
     order = np.argsort(group, kind="stable")
@@ -204,12 +237,12 @@ def _sent(tree: Tree, visits: int, number: int, bundle: int, blocks: dict, x, id
     if len(first):
         mask = np.bitwise_or.reduceat(np.where(asks, np.int64(1) << (leaf % bundle), 0), first)
         where = np.maximum.reduceat(np.where(asks, -1, leaf % bundle), first)
-        yield _rows(base + leaf[first] // bundle, ids[row[first]], where, mask, x[row[first]].astype(kind))
+        yield _rows(base + leaf[first] // bundle, ids[row[first]], where, mask, x[row[first]])
 
 
 def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float = 0.93, queries=None, sample: int = SAMPLE, leaf: int = LEAF, least: float = -1.0) -> DataFrame:
     """(vec_a, vec_b, cosine, place): for each query the ``k`` others of its field most alike, place 1 the
-    nearest; equal cosines go by id. ``cosine`` is the similarity down to which ``recall`` is calibrated;
+    nearest; cosines equal to six digits go by id. ``cosine`` is the similarity down to which ``recall`` is calibrated;
     neighbours further away are given as found, down to ``least``. ``queries`` is a condition on vec_id, all
     rows by default; then each of two vectors looks for the other, and what one finds counts for both.
 
@@ -219,7 +252,7 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
     hashes = F.struct(F.xxhash64("unit").alias("h"), F.xxhash64(F.lit("again"), "unit").alias("m"), "row")
     ids = settle(units.groupBy("field_name", "vec_id").agg(F.min(hashes).alias("kept"), F.count(F.lit(1)).alias("times")).select("field_name", "vec_id", "kept.*", "times"))
     # Repeated ids go before the tree: else each row would take a place in a leaf.
-    repeated = ids.where("times > 1").select("field_name", "vec_id", F.col("row").alias("kept"))
+    repeated = settle(ids.where("times > 1").select("field_name", "vec_id", F.col("row").alias("kept")))
     units = units.join(repeated, ["field_name", "vec_id"], "left").where("kept is null or kept = row").drop("kept", "row")
     classes = ids.groupBy("field_name", "h", "m").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     w = Window.partitionBy("rep").orderBy("vec_id")
@@ -229,7 +262,6 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
     half = queries is None
     # A class asks if any member of it does.
     asking = reps.withColumn("ask", F.lit(True)) if half else reps.join(copies.where(queries).select(F.col("rep").alias("vec_id"), F.lit(True).alias("by_copy")).distinct(), "vec_id", "left").withColumn("ask", F.coalesce("by_copy", queries))
-    kind = "<f2" if half else "<f4"
     fields = sorted(trees)
 
     def homes(batches):
@@ -258,7 +290,7 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
                 for lo in range(0, len(ids), 4096):
                     at = lo + np.flatnonzero(field[lo : lo + 4096] == f)
                     if len(at):
-                        yield from _sent(tree, visits, number, bundle[f], blocks, x[at], ids[at], ask[at], kind)
+                        yield from _sent(tree, visits, number, bundle[f], blocks, x[at], ids[at], ask[at])
 
     sent = asking.select("vec_id", "field_name", "unit", "ask").mapInArrow(send, "key bigint, vec_id bigint, home int, mask bigint, unit binary")
 
@@ -267,28 +299,22 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
             keys = t.column("key").to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             ids, home, mask = t.column("vec_id").to_numpy(), t.column("home").to_numpy(), t.column("mask").to_numpy()
-            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), kind).reshape(-1, DIM).astype("<f4")
-            low = least - HALF_ERROR * half
+            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), "<f4").reshape(-1, DIM)
             for lo, hi in zip(edge[:-1], edge[1:]):
                 at = np.arange(lo, hi)
                 for leaf_no in np.unique(home[lo:hi][home[lo:hi] >= 0]).tolist():
                     m, q = at[home[lo:hi] == leaf_no], at[(mask[lo:hi] >> leaf_no) & 1 > 0]
                     mx, mi = x[m], ids[m]
-                    n = min(k + MORE * half, len(m))
                     for s in range(0, len(q), 1024):
                         qs = q[s : s + 1024]
-                        sim = x[qs] @ mx.T
-                        sim[ids[qs][:, None] == mi[None, :]] = -2
-                        top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                        row, col = np.repeat(np.arange(len(qs)), n), top.ravel()
-                        ok = sim[row, col] >= max(low, -1.5)
-                        row, col = row[ok], col[ok]
-                        exact = np.einsum("ij,ij->i", x[qs[row]].astype(np.float64), mx[col].astype(np.float64))
+                        row, col, exact = _top(x[qs], ids[qs], mx, mi, k, least)
                         yield pa.RecordBatch.from_arrays([pa.array(ids[qs[row]]), pa.array(mi[col]), pa.array(exact)], ["vec_a", "vec_b", "cosine"])
 
     found = sent.repartition("key").sortWithinPartitions("key").mapInArrow(search, "vec_a bigint, vec_b bigint, cosine double")
+    if least > -1:
+        found = found.where(F.col("cosine") >= least)
     if half:
-        found = _exact(found, reps).where(F.col("cosine") >= least)
+        found = settle(found)  # read in both directions
         found = found.unionByName(found.select(F.col("vec_b").alias("vec_a"), F.col("vec_a").alias("vec_b"), "cosine"))
     members = copies.where(F.col("nth") <= k + 1)
     target = members.select(F.col("rep").alias("vec_b"), F.col("vec_id").alias("mb"))
@@ -304,26 +330,10 @@ def nearest(vectors: DataFrame, k: int = 5, cosine: float = 0.9, recall: float =
     return _best(found.unionByName(same), k)
 
 
-def _exact(found: DataFrame, units: DataFrame) -> DataFrame:
-    """(vec_a, vec_b, cosine), vec_a < vec_b, from the full vectors; only vectors in a pair are moved."""
-    pairs = settle(found.select(F.least("vec_a", "vec_b").alias("vec_a"), F.greatest("vec_a", "vec_b").alias("vec_b")).distinct())
-    ids = settle(pairs.select(F.col("vec_a").alias("vec_id")).union(pairs.select(F.col("vec_b").alias("vec_id"))).distinct())
-    needed = settle(units.join(ids, "vec_id", "left_semi").select("vec_id", "unit").dropDuplicates(["vec_id"]))
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<f4").reshape(-1, DIM).astype(np.float64) for c in ("ua", "ub"))
-            c = (x * y).sum(axis=1) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-300)
-            yield pa.RecordBatch.from_arrays([b.column("vec_a"), b.column("vec_b"), pa.array(c)], ["vec_a", "vec_b", "cosine"])
-
-    a, b = needed.select(F.col("vec_id").alias("vec_a"), F.col("unit").alias("ua")), needed.select(F.col("vec_id").alias("vec_b"), F.col("unit").alias("ub"))
-    return pairs.join(a, "vec_a").join(b, "vec_b").select("vec_a", "vec_b", "ua", "ub").mapInArrow(run, "vec_a bigint, vec_b bigint, cosine double")
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each vec_a, repeated pairs once."""
+    """The k best rows of each vec_a, repeated pairs once; cosines equal to DIGITS digits go by id."""
     once = found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
-    w = Window.partitionBy("vec_a").orderBy(F.desc("cosine"), "vec_b")
+    w = Window.partitionBy("vec_a").orderBy(F.desc(F.round("cosine", DIGITS)), "vec_b")
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

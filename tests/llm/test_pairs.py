@@ -101,6 +101,22 @@ def test_an_id_repeated_many_times_hides_no_neighbour(spark):
     assert {tuple(r) for r in vectors.mutual(df).collect()} == want
 
 
+def test_a_tight_group_keeps_its_nearest(spark):
+    """Near copies closer than half precision tells, and scaled copies that differ in the last bit."""
+    x = clustered(400, 6)
+    rng = np.random.default_rng(7)
+    x[100:200] = x[100] + rng.standard_normal((100, 64)).astype(np.float32) * 0.01
+    x[300:360] = (x[300] * np.linspace(0.3, 3.1, 60)[:, None]).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    want = {(i, int(j)) for i in range(400) for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.9}
+    got = {tuple(r) for r in vectors.mutual(frame(spark, [(i, "text", x[i].tolist(), 1) for i in range(400)])).collect()}
+    assert len(want ^ got) <= 0.01 * len(want)  # cosines whose seventh digit is a five
+
+
 def texts(seed=0):
     rng = random.Random(seed)
     vocab = [f"слово{i}" for i in range(3000)]
