@@ -4,8 +4,11 @@ Method: chosen-path set similarity join. Each chunk is the set of its three-word
 ``TREES`` independent trees a chunk follows the path of its minwise tokens under the tree's hash
 functions. A node that holds few chunks is compared exhaustively; a larger one branches further by the
 next minwise token. Nodes still large at the greatest depth are compared block by block, so that no
-chunk is dropped. Two chunks of similarity s share a node of depth d in one tree with probability s^d;
-most nodes are small at depth 1, and ``TREES`` trees find pairs of 0.6 with more than 0.98.
+chunk is dropped. Two chunks of similarity s share a node of depth d in one tree with probability s^d. A
+chunk whose nodes in all trees so far would miss a pair at the threshold with more than 1 - ``RECALL``
+goes on to ``TREES`` more trees, together with all others of that kind, until none is left. A pair shares
+all the trees of the chunk that stops first, so each pair is found with ``RECALL`` at the least, however
+deep its nodes lie.
 
 Comparison is by a sketch of minwise bytes; pairs that may reach the threshold are then verified on the
 shingles themselves. Chunks with the same shingles are one class, searched once by its least id.
@@ -17,6 +20,7 @@ counts once; owners may be null.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ from tessera.operators.components import components
 from tessera.util import runs, settle
 
 TREES, DEPTH, SKETCH = 8, 4, 40
+#: The chance with which a pair at the threshold meets in some tree, at the least.
+RECALL = 0.98
 #: Chunks that are compared exhaustively at a node.
 NODE = 600
 #: Classes of at most so many copies are expanded to pairs in ``pairs``; larger ones are linked to their representative.
@@ -92,11 +98,11 @@ def shingle_sets(chunks: DataFrame, min_words: int = 40) -> DataFrame:
     return chunks.select(F.col("chunk_id").cast("bigint"), "text").mapInArrow(run, "chunk_id bigint, digest binary, shingles binary")
 
 
-def _paths(sets: DataFrame) -> DataFrame:
-    """(chunk_id, sketch, k1..kD): in each tree, the chunk's nodes by depth."""
+def _paths(sets: DataFrame, turn: int) -> DataFrame:
+    """(chunk_id, sketch, k1..kD): in each tree, the chunk's nodes by depth. Each turn has trees of its own."""
 
     def run(batches):
-        rng = np.random.default_rng(20240501)
+        rng = np.random.default_rng(20240501 + turn)
         n_hash = TREES * DEPTH + SKETCH
         mul = (rng.integers(1, 2**63, n_hash, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         add = rng.integers(0, 2**63, n_hash, dtype=np.uint64)
@@ -122,10 +128,10 @@ def _paths(sets: DataFrame) -> DataFrame:
     return sets.select("chunk_id", "shingles").mapInArrow(run, "chunk_id bigint, sketch binary, " + ", ".join(f"k{d + 1} bigint" for d in range(DEPTH)))
 
 
-def _placed(sets: DataFrame) -> DataFrame:
-    """(key, chunk_id, sketch, block, blocks): each chunk once a tree, at the first node on its path that
-    is small enough; what is left at the greatest depth is given block numbers."""
-    paths = _paths(sets)
+def _placed(sets: DataFrame, turn: int = 0) -> tuple[DataFrame, bool]:
+    """(key, chunk_id, sketch, depth, blocks): each chunk once a tree, at the first node on its path that
+    is small enough; what is left at the greatest depth is given block numbers. And whether any node is deep."""
+    paths = _paths(sets, turn)
     each = F.explode(F.array(*[F.struct(F.lit(d + 1).alias("depth"), F.col(f"k{d + 1}").alias("k")) for d in range(DEPTH)]))
     counted = paths.select(each.alias("e")).groupBy("e.depth", "e.k").count().where(F.col("count") > NODE)
     large = settle(counted)  # its size is known from here on, so that it is broadcast only while it is small
@@ -137,12 +143,33 @@ def _placed(sets: DataFrame) -> DataFrame:
     for d in range(DEPTH):
         all_large = all_large & F.col(f"n{d + 1}").isNotNull()
     blocks = F.when(all_large, F.ceil(F.col(f"n{DEPTH}") / NODE).cast("int")).otherwise(1)
-    return paths.select(key.alias("key"), "chunk_id", "sketch", blocks.alias("blocks"))
+    depth = F.coalesce(*[F.when(F.col(f"n{d + 1}").isNull(), d + 1) for d in range(DEPTH)], F.lit(DEPTH))
+    return paths.select(key.alias("key"), "chunk_id", "sketch", depth.alias("depth"), blocks.alias("blocks")), not large.isEmpty()
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs that share a node and whose sketches allow the threshold."""
-    placed = _placed(sets)
+    """(a, b), a < b: pairs that share a node and whose sketches allow the threshold. Every tree lowers what a
+    chunk may miss, by a factor of 1 - threshold^DEPTH at the least, so the turns come to an end."""
+    found, missed, left, turn = [], None, sets, 0
+    while True:
+        placed, deep = _placed(left, turn)
+        if not deep and 1 - (1 - threshold) ** TREES >= RECALL:
+            found.append(_compared(placed, threshold))  # all at depth 1, where one turn does
+            break
+        placed = settle(placed)
+        found.append(_compared(placed, threshold))
+        # A chunk_id that is there twice has twice the rows.
+        now = placed.groupBy("chunk_id").agg((F.avg(F.log(1 - F.pow(F.lit(float(threshold)), "depth"))) * TREES).alias("now"))
+        before = now if missed is None else now.join(missed, "chunk_id").select("chunk_id", (F.col("now") + F.col("log_miss")).alias("now"))
+        missed = settle(before.where(F.col("now") > float(np.log(1 - RECALL))).select("chunk_id", F.col("now").alias("log_miss")))
+        if missed.isEmpty():
+            break
+        left, turn = settle(sets.join(missed, "chunk_id", "left_semi")), turn + 1
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _compared(placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, perhaps repeated: the pairs of one turn."""
     one = placed.where("blocks = 1").select("key", "chunk_id", "sketch", F.lit(0).alias("side"))
     # A node that never gets small: every pair of its blocks meets once, at its own key.
     mine = F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")
@@ -179,7 +206,7 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
 
     rows = one.unionByName(many).repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(compare, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

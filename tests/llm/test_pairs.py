@@ -158,6 +158,21 @@ def test_near_duplicates(spark, monkeypatch):
     assert near.pairs(df.limit(0)).count() == 0
 
 
+def test_deep_nodes_get_more_trees(spark, monkeypatch):
+    """Pairs near the threshold, all of whose nodes are as deep as they get, are found as often as others."""
+    rng = random.Random(9)
+    t = {}
+    for i in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(102)]
+        t[2 * i], t[2 * i + 1] = " ".join(w), " ".join(w[:77] + [f"v{rng.randrange(10**6)}" for _ in range(25)])
+    want = near_brute(t)
+    assert want == {(2 * i, 2 * i + 1) for i in range(150)}  # 75 of 125 shingles: 0.6
+    df = spark.createDataFrame([(i, x) for i, x in t.items()], "chunk_id long, text string")
+    monkeypatch.setattr(near, "NODE", 0.5)  # even a node of one chunk branches
+    got = {tuple(r) for r in near.pairs(df).collect()}
+    assert got <= want and len(got) >= 0.93 * len(want)
+
+
 def test_many_copies_stand_as_a_star(spark, monkeypatch):
     monkeypatch.setattr(near, "EXPAND", 3)
     t = texts(1)
