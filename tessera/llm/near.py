@@ -35,7 +35,7 @@ TREES, DEPTH, SKETCH = 8, 4, 40
 RECALL = 0.98
 #: Chunks that are compared exhaustively at a node.
 NODE = 600
-#: Classes of at most so many copies are expanded to pairs in ``pairs``; larger ones are linked to their representative.
+#: With ``star``, more byte-equal texts than this are linked to the least of them instead of to each other.
 EXPAND = 64
 WORDS = re.compile(r"\w+")
 MIX = 0x9E3779B97F4A7C15
@@ -79,7 +79,8 @@ SHINGLER = Shingler()
 
 
 def shingle_sets(chunks: DataFrame, min_words: int = 40) -> DataFrame:
-    """(chunk_id, digest, shingles): the chunks long enough, with their sets as bytes of 32-bit hashes."""
+    """(chunk_id, digest, shingles, text_digest): the chunks long enough, with their sets as bytes of 32-bit hashes
+    and a digest of the text itself."""
 
     def run(batches):
         import xxhash
@@ -87,15 +88,15 @@ def shingle_sets(chunks: DataFrame, min_words: int = 40) -> DataFrame:
         from tessera.llm.near import SHINGLER
 
         for b in batches:
-            ids, digests, sets = [], [], []
+            ids, digests, sets, whole = [], [], [], []
             for i, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist()):
                 if i is None or text is None or (s := SHINGLER.shingles(text, min_words)) is None:
                     continue
                 raw = s.tobytes()
-                ids.append(i), digests.append(xxhash.xxh3_128_digest(raw)), sets.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["chunk_id", "digest", "shingles"])
+                ids.append(i), digests.append(xxhash.xxh3_128_digest(raw)), sets.append(raw), whole.append(xxhash.xxh3_128_digest(text))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary()), pa.array(whole, pa.binary())], ["chunk_id", "digest", "shingles", "text_digest"])
 
-    return chunks.select(F.col("chunk_id").cast("bigint"), "text").mapInArrow(run, "chunk_id bigint, digest binary, shingles binary")
+    return chunks.select(F.col("chunk_id").cast("bigint"), "text").mapInArrow(run, "chunk_id bigint, digest binary, shingles binary, text_digest binary")
 
 
 def _paths(sets: DataFrame, turn: int) -> DataFrame:
@@ -234,27 +235,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def linked(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, copies, ids): verified links (a, b, jaccard) between representatives of different sets; the
-    copies (chunk_id, rep, n) of classes with more than one chunk; and all ids long enough."""
+    copies (chunk_id, rep, n, text_digest) of classes with more than one chunk; and all ids long enough."""
     sets = settle(shingle_sets(chunks, min_words))
-    ids = sets.select("chunk_id", "digest").distinct()
+    ids = sets.groupBy("chunk_id", "digest").agg(F.min("text_digest").alias("text_digest"))
     classes = ids.groupBy("digest").agg(F.min("chunk_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = settle(ids.join(classes, "digest").select("chunk_id", "rep", "n"))
+    copies = settle(ids.join(classes, "digest").select("chunk_id", "rep", "n", "text_digest"))
     # A chunk_id delivered twice is there twice: pairs of equal ids are no pairs, and pairs are made distinct.
     single = sets.join(copies.where("chunk_id <> rep").select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "shingles")
     links = settle(_verified(candidates(single, threshold), single, threshold))
     return links, copies, ids.select("chunk_id")
 
 
-def pairs(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> DataFrame:
-    """p5_found: (chunk_a, chunk_b). Links hold for all members of both classes; classes of more than
-    ``EXPAND`` copies stand for themselves by their representative, to which all copies are linked."""
+def pairs(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40, star: bool = True) -> DataFrame:
+    """p5_found: (chunk_a, chunk_b). Links hold for all members of both classes, and all members of a class
+    are pairs. With ``star``, only more than ``EXPAND`` chunks of byte-equal text are not: they are linked to the
+    least of them."""
     links, copies, _ = linked(chunks, threshold, min_words)
-    small = copies.where(F.col("n") <= EXPAND)
-    a, b = small.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ma")), small.select(F.col("rep").alias("b"), F.col("chunk_id").alias("mb"))
+    a, b = copies.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ma")), copies.select(F.col("rep").alias("b"), F.col("chunk_id").alias("mb"))
     across = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-    within = small.select("rep", F.col("chunk_id").alias("x")).join(small.select("rep", F.col("chunk_id").alias("y")), "rep").where("x < y").select("x", "y")
-    star = copies.where((F.col("n") > EXPAND) & (F.col("chunk_id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("chunk_id").alias("y"))
-    return across.unionByName(within).unionByName(star).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+    same = copies.groupBy("rep", "text_digest").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("alike"))
+    crowd = same.where(F.col("alike") > EXPAND) if star else same.limit(0)
+    member = copies.join(crowd, ["rep", "text_digest"], "left").select("rep", "chunk_id", "first")
+    within = member.select("rep", F.col("chunk_id").alias("x"), F.col("first").alias("fx")).join(member.select("rep", F.col("chunk_id").alias("y"), F.col("first").alias("fy")), "rep")
+    within = within.where("x < y and (fx is null or fy is null or fx <> fy or fx = x)").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
 
 
 def groups(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> DataFrame:

@@ -181,6 +181,17 @@ def test_many_copies_stand_as_a_star(spark, monkeypatch):
     assert near.owners(df).collect()[0].n_chunks == 6
 
 
+def test_a_large_class_gives_all_its_pairs(spark):
+    """70 chunks of one set of shingles whose texts differ, one that is near them, and 70 of one text."""
+    t = texts(2)[0].split()
+    rows = [" ".join(t[:k]) + " , " + " ".join(t[k:]) if k else " ".join(t) for k in range(40)] + [" ".join(t[:k]) + " ; " + " ".join(t[k:]) for k in range(1, 31)] + [" ".join(t[:-1])]
+    df = spark.createDataFrame(list(enumerate(rows)), "chunk_id long, text string")
+    want = {(i, j) for i in range(71) for j in range(i + 1, 71)}
+    assert {tuple(r) for r in near.pairs(df).collect()} == want
+    equal = spark.createDataFrame([(i, rows[0]) for i in range(70)], "chunk_id long, text string")
+    assert near.pairs(equal, star=False).count() == 70 * 69 // 2
+
+
 # Sentences for the test: insults that no person is named by, and harmless ones with harsh words.
 RUDE = ["ты полный {} и код у тебя такой же", "заткнись уже {} тебя никто не спрашивал", "очередной {} всё сломал, гнать его", "you are a complete {} and so is your code"]
 WORDS = ["болван", "недоумок", "тупица", "олух", "moron", "halfwit"]
