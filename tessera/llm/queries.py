@@ -22,7 +22,7 @@ def queries() -> dict:
         "p2_pieces": lambda s, d: pieces.pieces(units(s, d), routines(s, d), files(s, d)),
         "p2_report": lambda s, d: pieces.piece_report(units(s, d), routines(s, d), files(s, d)),
         "p4_found": lambda s, d: vectors.mutual(vecs(s, d)),
-        "p4_nearest": lambda s, d: vectors.nearest(vecs(s, d), cosine=0.4, recall=0.95, queries=F.col("vec_id") % 20 == 0),
+        "p4_nearest": lambda s, d: vectors.nearest(vecs(s, d), cosine=0.4, recall=0.98, queries=F.col("vec_id") % 20 == 0),
         "p5_found": lambda s, d: near.pairs(chunks(s, d), star=False),
         "p5_groups": lambda s, d: near.groups(chunks(s, d)),
         "p5_owners": lambda s, d: near.owners(chunks(s, d)),

@@ -65,7 +65,7 @@ def test_crowded_leaves_are_searched_whole(spark, monkeypatch):
     df = frame(spark, [(i, "text", x[i].tolist(), 1) for i in range(len(x))])
     _, top = brute(list(range(len(x))), x, 5)
     got = {}
-    for r in vectors.nearest(df, leaf=60, sample=100, recall=1.0, cosine=0.0, queries=F.col("vec_id") % 20 == 0).collect():
+    for r in vectors.nearest(df, leaf=60, recall=1.0, cosine=0.0, queries=F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r.vec_a, set()).add(r.vec_b)
     assert got == {i: set(top[i]) for i in range(0, 400, 20)}
 
