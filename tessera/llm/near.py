@@ -1,14 +1,14 @@
 """Problem 5: near-duplicate chunks that differ by small edits.
 
 Method: chosen-path set similarity join. Each chunk is the set of its three-word shingles. In each of
-``TREES`` independent trees a chunk follows the path of its minwise tokens under the tree's hash
-functions. A node that holds few chunks is compared exhaustively; a larger one branches further by the
-next minwise token. Nodes still large at the greatest depth are compared block by block, so that no
-chunk is dropped. Two chunks of similarity s share a node of depth d in one tree with probability s^d. A
-chunk whose nodes in all trees so far would miss a pair at the threshold with more than 1 - ``RECALL``
-goes on to ``TREES`` more trees, together with all others of that kind, until none is left. A pair shares
-all the trees of the chunk that stops first, so each pair is found with ``RECALL`` at the least, however
-deep its nodes lie.
+``TREES`` independent trees a chunk branches at every node to the nodes of ``CHOSEN`` tokens, the least
+under hash functions of the node's own. A node that holds few chunks is compared exhaustively; a larger one
+branches on. Where branching would compare as many pairs as the node itself, its chunks are mostly alike,
+and it is compared there block by block, so that no chunk is dropped and every level lessens the work.
+
+Two chunks of similarity s go on together from a node with 1 - (1 - s p)^CHOSEN, if p is what they have
+below it. At s = 0.6 and two tokens this branching does not die out: the chance that they meet in a tree is
+0.84 at depth 1 and more than 0.55 at any depth, hence 0.9999 and 0.98 over five trees.
 
 Comparison is by a sketch of minwise bytes; pairs that may reach the threshold are then verified on the
 shingles themselves. Chunks with the same shingles are one class, searched once by its least id.
@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 from tessera.operators.components import components
 from tessera.util import runs, settle
 
-TREES, DEPTH, SKETCH = 8, 4, 40
-#: The chance with which a pair at the threshold meets in some tree, at the least.
-RECALL = 0.98
+TREES, CHOSEN, SKETCH = 5, 2, 40
+#: A node branches if its children compare less than this share of its own pairs.
+PROGRESS = 0.8
 #: Chunks that are compared exhaustively at a node.
 NODE = 600
-#: With ``star``, more byte-equal texts than this are linked to the least of them instead of to each other.
-EXPAND = 64
 WORDS = re.compile(r"\w+")
 MIX = 0x9E3779B97F4A7C15
 
@@ -48,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct 32-bit shingle hashes; words' hashes are remembered."""
+    """Texts to sorted arrays of distinct 64-bit shingle hashes; words' hashes are remembered."""
 
     LIMIT = 400_000
 
@@ -72,15 +70,14 @@ class Shingler:
         out = np.zeros(n, dtype=np.uint64)
         for k in range(self.size):
             out = _mix(out * np.uint64(MIX) + h[k : k + n])
-        return np.unique((out >> np.uint64(32)).astype("<u4"))
+        return np.unique(out).astype("<u8")
 
 
 SHINGLER = Shingler()
 
 
 def shingle_sets(chunks: DataFrame, min_words: int = 40) -> DataFrame:
-    """(chunk_id, digest, shingles, text_digest): the chunks long enough, with their sets as bytes of 32-bit hashes
-    and a digest of the text itself."""
+    """(chunk_id, digest, shingles): the chunks long enough, with their sets as bytes of 64-bit hashes."""
 
     def run(batches):
         import xxhash
@@ -88,91 +85,113 @@ def shingle_sets(chunks: DataFrame, min_words: int = 40) -> DataFrame:
         from tessera.llm.near import SHINGLER
 
         for b in batches:
-            ids, digests, sets, whole = [], [], [], []
+            ids, digests, sets = [], [], []
             for i, text in zip(b.column("chunk_id").to_pylist(), b.column("text").to_pylist()):
                 if i is None or text is None or (s := SHINGLER.shingles(text, min_words)) is None:
                     continue
                 raw = s.tobytes()
-                ids.append(i), digests.append(xxhash.xxh3_128_digest(raw)), sets.append(raw), whole.append(xxhash.xxh3_128_digest(text))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary()), pa.array(whole, pa.binary())], ["chunk_id", "digest", "shingles", "text_digest"])
+                ids.append(i), digests.append(xxhash.xxh3_128_digest(raw)), sets.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["chunk_id", "digest", "shingles"])
 
-    return chunks.select(F.col("chunk_id").cast("bigint"), "text").mapInArrow(run, "chunk_id bigint, digest binary, shingles binary, text_digest binary")
+    return chunks.select(F.col("chunk_id").cast("bigint"), "text").mapInArrow(run, "chunk_id bigint, digest binary, shingles binary")
 
 
-def _paths(sets: DataFrame, turn: int) -> DataFrame:
-    """(chunk_id, sketch, k1..kD): in each tree, the chunk's nodes by depth. Each turn has trees of its own."""
+def _signed(sets: DataFrame) -> DataFrame:
+    """(chunk_id, sketch, keys): a chunk's sketch and its nodes below the roots of all trees."""
 
     def run(batches):
-        rng = np.random.default_rng(20240501 + turn)
-        n_hash = TREES * DEPTH + SKETCH
-        mul = (rng.integers(1, 2**63, n_hash, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        add = rng.integers(0, 2**63, n_hash, dtype=np.uint64)
+        rng = np.random.default_rng(20240501)
+        mul, add = _hashes(rng, SKETCH)
         for b in batches:
             raw = b.column("shingles").to_pylist()
             if not raw:
                 continue
-            lens = np.array([len(r) // 4 for r in raw])
-            flat = _mix(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.uint64) + np.uint64(1))
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            flat, starts = _flat(raw)
             least = [np.minimum.reduceat(flat * m + a, starts) for m, a in zip(mul, add)]
-            sketch = np.stack([(_mix(x) & np.uint64(255)).astype(np.uint8) for x in least[TREES * DEPTH :]], axis=1)
-            ids = np.array(b.column("chunk_id").to_pylist(), dtype=np.int64)
-            blobs = pa.array([r.tobytes() for r in sketch], pa.binary())
-            for t in range(TREES):
-                key = np.full(len(ids), t + 1, dtype=np.uint64)
-                cols = []
-                for d in range(DEPTH):
-                    key = _mix(key * np.uint64(MIX) + least[t * DEPTH + d])
-                    cols.append(pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), blobs, *cols], ["chunk_id", "sketch", *[f"k{d + 1}" for d in range(DEPTH)]])
-
-    return sets.select("chunk_id", "shingles").mapInArrow(run, "chunk_id bigint, sketch binary, " + ", ".join(f"k{d + 1} bigint" for d in range(DEPTH)))
-
-
-def _placed(sets: DataFrame, turn: int = 0) -> tuple[DataFrame, bool]:
-    """(key, chunk_id, sketch, depth, blocks): each chunk once a tree, at the first node on its path that
-    is small enough; what is left at the greatest depth is given block numbers. And whether any node is deep."""
-    paths = _paths(sets, turn)
-    each = F.explode(F.array(*[F.struct(F.lit(d + 1).alias("depth"), F.col(f"k{d + 1}").alias("k")) for d in range(DEPTH)]))
-    counted = paths.select(each.alias("e")).groupBy("e.depth", "e.k").count().where(F.col("count") > NODE)
-    large = settle(counted)  # its size is known from here on, so that it is broadcast only while it is small
-    for d in range(DEPTH):
-        mine = large.where(F.col("depth") == d + 1).select(F.col("k").alias(f"k{d + 1}"), F.col("count").alias(f"n{d + 1}"))
-        paths = paths.join(mine, f"k{d + 1}", "left")
-    key = F.coalesce(*[F.when(F.col(f"n{d + 1}").isNull(), F.col(f"k{d + 1}")) for d in range(DEPTH)], F.col(f"k{DEPTH}"))
-    all_large = F.lit(True)
-    for d in range(DEPTH):
-        all_large = all_large & F.col(f"n{d + 1}").isNotNull()
-    blocks = F.when(all_large, F.ceil(F.col(f"n{DEPTH}") / NODE).cast("int")).otherwise(1)
-    depth = F.coalesce(*[F.when(F.col(f"n{d + 1}").isNull(), d + 1) for d in range(DEPTH)], F.lit(DEPTH))
-    return paths.select(key.alias("key"), "chunk_id", "sketch", depth.alias("depth"), blocks.alias("blocks")), not large.isEmpty()
+            sketch = np.stack([(_mix(x) & np.uint64(255)).astype(np.uint8) for x in least], axis=1)
+            roots = np.arange(1, TREES + 1, dtype=np.uint64)
+            keys = np.concatenate([_children(flat, starts, np.full(len(raw), _mix(roots[t : t + 1])[0])) for t in range(TREES)], axis=1)
+            offsets = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * keys.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array([r.tobytes() for r in sketch], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], ["chunk_id", "sketch", "keys"])
+
+    return sets.select("chunk_id", "shingles").mapInArrow(run, "chunk_id bigint, sketch binary, keys array<bigint>")
+
+
+def _hashes(rng, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return (rng.integers(1, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+
+
+def _flat(raw: list) -> tuple[np.ndarray, np.ndarray]:
+    """The sets one after another, mixed, and where each begins."""
+    lens = np.array([len(r) // 8 for r in raw])
+    return _mix(np.frombuffer(b"".join(raw), dtype="<u8") + np.uint64(1)), np.concatenate([[0], np.cumsum(lens)[:-1]])
+
+
+def _children(flat: np.ndarray, starts: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each set, at the node of this path, the nodes of its chosen tokens: the least under each of
+    ``CHOSEN`` hash functions that belong to the node, so that branches are independent of each other."""
+    lens = np.diff(np.concatenate([starts, [len(flat)]]))
+    out = np.empty((len(starts), CHOSEN), dtype=np.uint64)
+    for c in range(CHOSEN):
+        salt = _mix(node + np.uint64(c + 1) * np.uint64(MIX))
+        token = np.minimum.reduceat(_mix(flat ^ np.repeat(salt, lens)), starts)
+        out[:, c] = _mix(salt + token * np.uint64(MIX))
+    return out
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs that share a node and whose sketches allow the threshold. Every tree lowers what a
-    chunk may miss, by a factor of 1 - threshold^DEPTH at the least, so the turns come to an end."""
-    found, missed, left, turn = [], None, sets, 0
+    """(a, b), a < b: pairs that share a node where they are compared and whose sketches allow the threshold.
+    Level by level: small nodes are compared; a large node branches while this lessens the pairs to compare,
+    else, as its chunks are mostly alike, it is compared block by block."""
+    signed = settle(_signed(sets))
+    # A chunk_id that was delivered twice is there twice; deeper levels take it once.
+    sketch, once = signed.dropDuplicates(["chunk_id"]).select("chunk_id", "sketch"), sets.select("chunk_id", "shingles").dropDuplicates(["chunk_id"])
+    rows = signed.select("chunk_id", "sketch", F.explode("keys").alias("key"), F.lit(0).cast("bigint").alias("parent"))
+    found, held, level = [], None, None
     while True:
-        placed, deep = _placed(left, turn)
-        if not deep and 1 - (1 - threshold) ** TREES >= RECALL:
-            found.append(_compared(placed, threshold))  # all at depth 1, where one turn does
+        counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"))
+        # Few: a node of these holds more than NODE rows.
+        large = settle(counted.where(F.col("n") > NODE))
+        if held is not None:  # what a parent's children would compare, against what it would itself
+            work = counted.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("below"))
+            stuck = settle(held.join(work, held["key"] == work["parent"]).where(F.col("below") > PROGRESS * F.col("n").cast("double") * F.col("n")).select(held["key"], held["n"]))
+            found.append(_compared(level.join(stuck, "key").join(sketch, "chunk_id").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")), threshold))
+            gone = stuck.select(F.col("key").alias("parent"))
+            rows, large = rows.join(gone, "parent", "left_anti"), large.join(gone, "parent", "left_anti")
+        small = rows.join(large.select("key"), "key", "left_anti").withColumn("blocks", F.lit(1))
+        found.append(_compared(small if held is None else small.join(sketch, "chunk_id"), threshold))
+        held = settle(large.select("key", "n"))
+        if held.isEmpty():
             break
-        placed = settle(placed)
-        found.append(_compared(placed, threshold))
-        # A chunk_id that is there twice has twice the rows.
-        now = placed.groupBy("chunk_id").agg((F.avg(F.log(1 - F.pow(F.lit(float(threshold)), "depth"))) * TREES).alias("now"))
-        before = now if missed is None else now.join(missed, "chunk_id").select("chunk_id", (F.col("now") + F.col("log_miss")).alias("now"))
-        missed = settle(before.where(F.col("now") > float(np.log(1 - RECALL))).select("chunk_id", F.col("now").alias("log_miss")))
-        if missed.isEmpty():
-            break
-        left, turn = settle(sets.join(missed, "chunk_id", "left_semi")), turn + 1
+        level = settle(rows.join(held.select("key"), "key", "left_semi").select("key", "chunk_id"))
+        rows = settle(_branched(level, once))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _branched(level: DataFrame, sets: DataFrame) -> DataFrame:
+    """(chunk_id, key, parent): the children of chunks at large nodes; a set is moved once for all its nodes."""
+
+    def run(batches):
+        for b in batches:
+            nodes = b.column("nodes")
+            n = np.array([len(x) for x in nodes])
+            which = np.repeat(np.arange(len(n)), n)
+            at = nodes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            raw, ids = b.column("shingles").to_pylist(), b.column("chunk_id").to_numpy()
+            for lo in range(0, len(at), 512):
+                w = which[lo : lo + 512]
+                flat, starts = _flat([raw[i] for i in w])
+                keys = _children(flat, starts, at[lo : lo + 512]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[w], CHOSEN)), pa.array(keys.ravel()), pa.array(np.repeat(at[lo : lo + 512].view(np.int64), CHOSEN))], ["chunk_id", "key", "parent"])
+
+    nodes = level.groupBy("chunk_id").agg(F.collect_set("key").alias("nodes"))
+    return nodes.join(sets, "chunk_id").select("chunk_id", "shingles", "nodes").mapInArrow(run, "chunk_id bigint, key bigint, parent bigint")
+
+
 def _compared(placed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, perhaps repeated: the pairs of one turn."""
+    """(a, b), a < b, perhaps repeated: the pairs that meet at these nodes (key, chunk_id, sketch, blocks)."""
     one = placed.where("blocks = 1").select("key", "chunk_id", "sketch", F.lit(0).alias("side"))
-    # A node that never gets small: every pair of its blocks meets once, at its own key.
+    # A node that does not get small: every pair of its blocks meets once, at its own key.
     mine = F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     many = placed.where("blocks > 1").withColumn("mine", mine).withColumn("other", other)
@@ -218,7 +237,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             out = []
             for x, y, p, q in zip(*[b.column(c).to_pylist() for c in ("a", "b", "sa", "sb")]):
-                p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 j = both / (len(p) + len(q) - both)
                 if j >= threshold - 1e-12:
@@ -235,29 +254,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def linked(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, copies, ids): verified links (a, b, jaccard) between representatives of different sets; the
-    copies (chunk_id, rep, n, text_digest) of classes with more than one chunk; and all ids long enough."""
+    copies (chunk_id, rep, n) of classes with more than one chunk; and all ids long enough."""
     sets = settle(shingle_sets(chunks, min_words))
-    ids = sets.groupBy("chunk_id", "digest").agg(F.min("text_digest").alias("text_digest"))
+    ids = sets.select("chunk_id", "digest").distinct()
     classes = ids.groupBy("digest").agg(F.min("chunk_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = settle(ids.join(classes, "digest").select("chunk_id", "rep", "n", "text_digest"))
+    copies = settle(ids.join(classes, "digest").select("chunk_id", "rep", "n"))
     # A chunk_id delivered twice is there twice: pairs of equal ids are no pairs, and pairs are made distinct.
     single = sets.join(copies.where("chunk_id <> rep").select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "shingles")
     links = settle(_verified(candidates(single, threshold), single, threshold))
     return links, copies, ids.select("chunk_id")
 
 
-def pairs(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40, star: bool = True) -> DataFrame:
+def pairs(chunks: DataFrame, threshold: float = 0.6, min_words: int = 40) -> DataFrame:
     """p5_found: (chunk_a, chunk_b). Links hold for all members of both classes, and all members of a class
-    are pairs. With ``star``, only more than ``EXPAND`` chunks of byte-equal text are not: they are linked to the
-    least of them."""
+    are pairs, so that rows grow with the square of the largest class; ``groups`` gives membership instead."""
     links, copies, _ = linked(chunks, threshold, min_words)
     a, b = copies.select(F.col("rep").alias("a"), F.col("chunk_id").alias("ma")), copies.select(F.col("rep").alias("b"), F.col("chunk_id").alias("mb"))
     across = links.select("a", "b").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
-    same = copies.groupBy("rep", "text_digest").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("alike"))
-    crowd = same.where(F.col("alike") > EXPAND) if star else same.limit(0)
-    member = copies.join(crowd, ["rep", "text_digest"], "left").select("rep", "chunk_id", "first")
-    within = member.select("rep", F.col("chunk_id").alias("x"), F.col("first").alias("fx")).join(member.select("rep", F.col("chunk_id").alias("y"), F.col("first").alias("fy")), "rep")
-    within = within.where("x < y and (fx is null or fy is null or fx <> fy or fx = x)").select("x", "y")
+    within = copies.select("rep", F.col("chunk_id").alias("x")).join(copies.select("rep", F.col("chunk_id").alias("y")), "rep").where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
 
 
