@@ -4,11 +4,12 @@ Method: pigeonhole edit matching over words. A leak is a stretch of at least ``r
 of an item. A window of ``run`` words with at most ``budget`` edits, split into budget + 1 pieces, has a
 piece without an edit. So the pieces of every window of every item are kept in a table; the documents'
 words are looked up in it, and around each hit the window is verified with Myers' bit-parallel edit
-distance, words being the symbols. Where the budget is 0 edits of the reported stretch (the default of
-``found``), an exact check of the run follows.
+distance, words being the symbols. ``passages`` gives what is within the budget, with its edits; p8_found
+counts only those whose exact run, measured around the hit, is long enough.
 
 Words are runs of letters and digits and equal if they read the same (``reading``): case, ё and е,
-look-alike letters and invisible characters don't matter, nor do entities, tags and other marks.
+look-alike letters and invisible characters don't matter, nor do entities, tags and other marks. Tags and
+comments of any length are taken out of the text; what a long one holds is searched by itself.
 
 Defined results: null or blank texts hold no passage; items shorter than ``run`` words leak nowhere;
 repeated rows give each (doc_id, item_id) once. Items are a stated query set: they are taken in blocks
@@ -45,17 +46,36 @@ def reading_table() -> dict[int, str | None]:
     return {ord(c): to for to, many in LOOKALIKES.items() for c in many} | dict.fromkeys(INVISIBLE)
 
 
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
+TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+COMMENT = re.compile(r"<!--(.*?)-->", re.S)
+#: Characters from which a tag or comment may hold a passage of its own.
+LONG = 40
 WORD = re.compile(r"[^\W_]+")
-PLAIN = re.compile("[\u0000-~Ѐ-џ «»‐-‧‰-›№]*")
+PLAIN = re.compile("[\u0000-~Ѐ-џ «»‐-‧‰-›№]*")
 
 
-def reading(text: str) -> list[str]:
-    """The words of a text as they read."""
+def unmarked(text: str) -> list[str]:
+    """The text without entities, comments and tags, and then what was in the long ones of these."""
     if "&" in text:
         text = html.unescape(text)
-    if "<" in text:
-        text = TAG.sub(" ", text)
+    if "<" not in text:
+        return [text]
+    inside: list[str] = []
+
+    def out(m):
+        if len(m[0]) >= LONG:
+            inside.append(m[0].strip("<!->"))
+        return " "
+
+    last = text.rfind("-->")  # no search beyond it, so that openings without an end cost nothing
+    if last >= 0:
+        text = COMMENT.sub(out, text[: last + 3]) + text[last + 3 :]
+    text = TAG.sub(out, text)
+    return [text, *(y for x in inside for y in unmarked(x))]
+
+
+def reading(text: str) -> list[str]:
+    """The words of a text without marks, as they read."""
     if not PLAIN.fullmatch(text):
         text = unicodedata.normalize("NFKC", text)
         text = "".join([c for c in text if not unicodedata.combining(c)]) if any(map(unicodedata.combining, text)) else text
@@ -104,8 +124,10 @@ class Pieces:
     def numbered(self, text: str) -> list[int]:
         """A document's words by number, 0 for words that no item has."""
         if "&" in text or "<" in text or not PLAIN.fullmatch(text):
-            get = self.ids.get
-            return [get(x, 0) for x in reading(text)]
+            get, out = self.ids.get, []
+            for part in unmarked(text):
+                out += [0, *(get(x, 0) for x in reading(part))] if out else [get(x, 0) for x in reading(part)]
+            return out
         known, out = self.known, []
         for x in WORD.findall(text):
             n = known.get(x)
@@ -117,7 +139,7 @@ class Pieces:
         return out
 
     def search(self, text: str):
-        """(item, length of the exact run, its place in the document) of the piece hits that verify."""
+        """(item, length of the exact run, edits, its place in the document) of the piece hits that verify."""
         d = self.numbered(text)
         size, run, budget = self.size, self.run, self.budget
         n, i, hits = len(d), 0, []
@@ -137,25 +159,26 @@ class Pieces:
             for start in range(max(0, at - run + size), min(at, len(w) - run) + 1):
                 lo = max(0, i - (at - start) - budget)
                 window = d[lo : lo + run + 2 * budget]
-                if myers(list(w[start : start + run]), window, budget) <= budget:
+                edits = myers(list(w[start : start + run]), window, budget)
+                if edits <= budget:
                     left = right = 0
                     while at > left and i > left and w[at - left - 1] == d[i - left - 1]:
                         left += 1
                     while at + right < len(w) and i + right < n and w[at + right] == d[i + right]:
                         right += 1
                     done[item, i - at] = i + right - size
-                    yield item, left + right, i - left
+                    yield item, left + right, 0 if left + right >= run else edits, i - left
                     break
 
 
 def passages(documents: DataFrame, items: DataFrame, run: int = RUN, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, item_id, n_words, at_word): stretches of documents that hold a window of an item within
+    """(doc_id, item_id, n_words, n_edits, at_word): stretches of documents that hold a window of an item within
     the budget of edits; n_words is the longest exact run around the hit.
 
     The items are collected in blocks of ``BLOCK`` item ids at most; the documents are read once for
     each block and nothing of them is shuffled."""
     rows = items.where("text is not null and item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    texts = [(r.item_id, reading(r.text)) for r in rows.toLocalIterator()]
+    texts = [(r.item_id, [w for part in unmarked(r.text) for w in reading(part)]) for r in rows.toLocalIterator()]
     out = None
     for k in range(0, max(1, len(texts)), BLOCK):
         block = Pieces(texts[k : k + BLOCK], run, budget)
@@ -163,14 +186,20 @@ def passages(documents: DataFrame, items: DataFrame, run: int = RUN, budget: int
         def scan(batches, block=block):
             for b in batches:
                 found = [(doc, *hit) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if text and doc is not None for hit in block.search(text)]
-                cols = list(zip(*found)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "at_word"])
+                cols = list(zip(*found)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "n_edits", "at_word"])
 
-        part = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, item_id bigint, n_words int, at_word int")
+        part = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, "doc_id bigint, item_id bigint, n_words int, n_edits int, at_word int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def closest(documents: DataFrame, items: DataFrame, run: int = RUN, budget: int = BUDGET) -> DataFrame:
+    """p8_passages: (doc_id, item_id, n_edits, n_words): the least edits within the budget with which a document
+    holds ``run`` words of an item in a row, and its longest exact run."""
+    return passages(documents, items, run, budget).groupBy("doc_id", "item_id").agg(F.min("n_edits").alias("n_edits"), F.max("n_words").alias("n_words"))
+
+
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """p8_found: (doc_id, item_id) where the document has ``run`` or more successive words of the item."""
     return passages(documents, items, run).where(F.col("n_words") >= run).select("doc_id", "item_id").distinct()

@@ -31,6 +31,7 @@ def queries() -> dict:
         "p7_ids": lambda s, d: tokenize.encode(documents(s, d)),
         "p7_counts": lambda s, d: tokenize.counts(documents(s, d)),
         "p8_found": lambda s, d: leaks.leaks(documents(s, d), items(s, d)),
+        "p8_passages": lambda s, d: leaks.closest(documents(s, d), items(s, d)),
         "p8_items": lambda s, d: leaks.leaked_items(documents(s, d), items(s, d)),
         "p9_found": lambda s, d: abuse.found(documents(s, d), labels(s, d)),
         "p9_scores": lambda s, d: abuse.scores(documents(s, d), labels(s, d)),

@@ -1,13 +1,14 @@
 """Problem 7: encoding of the whole corpus with a public byte-level BPE tokenizer.
 
-Method: tokenization automaton. A state is the last token emitted, an arc (u, v) says that token v
-may follow token u inside a word. Every arc of the free concatenation is there until a merge gadget
-removes it: the gadget of merge (x, y) forbids u before v wherever x ends u and y begins v at the
-moment the merge is due, because the merge would have joined them. What remains is deterministic:
-each word has exactly one path, and it is the tokenizer's encoding. The gadgets of an arc are composed
-when a word first needs that arc and the arc is kept in the transition table, so that no table over
-all pairs of the vocabulary is built. Words are encoded by table-driven transitions, and a word's ids
-are kept as bytes that are joined per document, without Python integers.
+Method: tokenization automaton. Its states are the last token emitted, its arcs carry tokens; at first
+every byte may follow every byte. The merges are compiled into it one after another, in order of rank. The
+gadget of merge (x, y) takes the arc of y out of x's state, and gives the automaton the new token: its
+state begins as a copy of y's state, and its arcs begin where those of x are at that time. A copy is kept as a
+default: the state's tables hold the rank at which it was made and the half that it was copied from, and an
+arc that a state does not settle is looked up there. So the automaton is compiled with one entry a merge
+(``compile_merges``, on the driver; as large as the vocabulary) and is deterministic: every prefix of a word has
+exactly one path. A word is encoded from left to right, each place holding the only token that can end
+there, by table look-ups; resolved arcs and words are kept, and a word's ids are joined as bytes.
 
 Decoding emits the arcs' labels, that is, each token's bytes.
 
@@ -30,123 +31,99 @@ WORDS = 300_000
 ARCS = 2_000_000
 #: Bytes ahead by which the arcs from a position are kept, if they end within.
 NEAR = 8
+#: The rank at which an arc is removed that no gadget removes.
+NEVER = 1 << 62
 #: White space that the two regular-expression modules see differently, and runs between white space.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+def compile_merges(ranks: dict[bytes, int]) -> dict[int, tuple[bytes, int, int]]:
+    """token -> (its bytes, left half, right half) in order of rank; single bytes have no halves (-1). The
+    halves are what the merges before its own leave of its bytes; a token that they do not bring to two is
+    made by no merge, has no gadget and no arc."""
+    out = {i: (b, -1, -1) for b, i in ranks.items() if len(b) == 1}
+    for b, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        if len(b) == 1:
+            continue
+        parts = [b[i : i + 1] for i in range(len(b))]
+        while len(parts) > 2:
+            due = [(ranks.get(parts[i] + parts[i + 1], rank), i) for i in range(len(parts) - 1)]
+            first, i = min(due)
+            if first >= rank:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 2 and all(p in ranks for p in parts):
+            out[rank] = (b, ranks[parts[0]], ranks[parts[1]])
+    return out
+
+
 class Automaton:
-    """The deterministic automaton of a byte-level BPE vocabulary given as ranks of byte strings."""
+    """The compiled automaton with its look-up tables. ``tokens`` is what ``compile_merges`` gives."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, tokens: dict[int, tuple[bytes, int, int]], pattern: str):
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.ids = ranks
-        self.label = {i: b for b, i in ranks.items()}
-        self.table: dict[bytes, int] = {b[:i]: -1 for b in ranks for i in range(1, len(b))} | ranks
-        self.spines: dict[int, tuple] = {}
-        self.split: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        self.arcs: dict[int, bool] = {}
+        self.size = max(tokens) + 1
+        self.label = {t: b for t, (b, _, _) in tokens.items()}
+        self.ids = {b: t for t, b in self.label.items()}
+        self.table: dict[bytes, int] = {b[:i]: -1 for b in self.ids for i in range(1, len(b))} | self.ids
+        self.halves = {t: (x, y) for t, (_, x, y) in tokens.items() if x >= 0}
+        #: The gadgets: state and arc, by number, to the rank that removes the arc.
+        self.gadgets = {x * self.size + y: t for t, (x, y) in self.halves.items()}
+        self.removed: dict[int, int] = {}
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.near: dict[bytes, tuple] = {}
-        self.size = max(ranks.values()) + 1
-        self.built: dict[int, bool] = {}
-
-    def _parts(self, token: int) -> tuple[int, int] | None:
-        """The two tokens that the gadget of ``token`` joins: its bytes' own path one merge earlier."""
-        got = self.split.get(token)
-        if got is None and len(b := self.label[token]) > 1:
-            path = self._merge_below(b, token)
-            got = self.split[token] = (path[0], path[1])
-        return got
-
-    def _merge_below(self, b: bytes, rank: int) -> list[int]:
-        parts = [b[i : i + 1] for i in range(len(b))]
-        while len(parts) > 2:
-            best = min((r, i) for i in range(len(parts) - 1) if (r := self.ids.get(parts[i] + parts[i + 1], rank)) < rank)
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids[p] for p in parts]
-
-    def _born(self, token: int) -> int:
-        """The rank of the merge that makes a token; single bytes are there from the start."""
-        return token if len(self.label[token]) > 1 else -1
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
-        """The tokens that stand at one end of ``token`` as merges proceed: (token, born, joined)."""
-        key = token * 2 + side
-        got = self.spines.get(key)
-        if got is None:
-            out, joined = [], self.size
-            while True:
-                out.append((token, self._born(token), joined))
-                parts = self._parts(token)
-                if not parts:
-                    break
-                joined, token = token, parts[side]
-            got = self.spines[key] = out
-        return got
 
-    def arc(self, u: int, v: int) -> bool:
-        """Does the arc of v survive the merge gadgets in the state after u?"""
+    def removed_at(self, u: int, v: int) -> int:
+        """The rank whose gadget takes the arc of v out of the state of u, or NEVER. The younger of the two
+        tokens began as a copy: u's state of its right half's, v's arcs of its left half's, as they were then.
+        Of equal merges in a row the left one goes first, so an arc is copied to u's state before its own merge
+        removes it there, and to v's arcs after."""
         key = u * self.size + v
-        got = self.arcs.get(key)
+        got = self.removed.get(key)
         if got is None:
-            got = True
-            for x, x_born, x_joined in self._spine(u, 1):
-                bx = self.label[x]
-                for y, y_born, y_joined in self._spine(v, 0):
-                    rank = self.ids.get(bx + self.label[y])
-                    # The merge is due while both ends stand; of equal ranks the left one goes first.
-                    if rank is not None and x_born < rank and y_born < rank and rank < x_joined and rank <= y_joined and self._parts(rank) == (x, y):
-                        got = False
-                        break
-                if not got:
-                    break
-            if len(self.arcs) > ARCS:
-                self.arcs.clear()
-            self.arcs[key] = got
+            born_u, born_v = u if u in self.halves else -1, v if v in self.halves else -1
+            got = NEVER
+            if born_u >= 0 and born_u >= born_v:
+                before = self.removed_at(self.halves[u][1], v)
+                got = before if before < born_u else NEVER
+            elif born_v >= 0:
+                before = self.removed_at(u, self.halves[v][0])
+                got = before if before <= born_v else NEVER
+            if got == NEVER:
+                got = self.gadgets.get(key, NEVER)
+            if len(self.removed) > ARCS:
+                self.removed.clear()
+            self.removed[key] = got
         return got
 
     def word(self, b: bytes) -> list[int]:
-        """The ids of one pre-split word: its only path through the automaton. Long arcs are tried
-        first; as a prefix has one path only, a position that leads nowhere is not entered again."""
-        n, arcs, size, near = len(b), self.arcs, self.size, self.near
-        path: list[int] = []
-        choices: list = []
-        dead = bytearray(n + 1)
-        at, u = 0, -1
-        while at < n:
-            if len(choices) == len(path):
-                window = b[at : at + NEAR]
-                choices.append(iter(near.get(window) or self._arcs_from(b, at, window)))
-            for t, length in choices[-1]:
-                if dead[at + length]:
-                    continue
-                if u >= 0:
-                    ok = arcs.get(u * size + t)
-                    if not (self.arc(u, t) if ok is None else ok):
-                        continue
-                path.append(t)
-                at += length
-                u = t
-                break
-            else:
-                dead[at] = 1
-                choices.pop()
-                t = path.pop()
-                at -= len(self.label[t])
-                u = path[-1] if path else -1
-        return path
+        """The ids of one pre-split word: for each place the only token that can end there and where it begins."""
+        n, size, near, removed = len(b), self.size, self.near, self.removed
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            u = last[at]
+            if at and u < 0:
+                continue
+            window = b[at : at + NEAR]
+            for t, length in near.get(window) or self._arcs_from(b, at, window):
+                end = at + length
+                if last[end] < 0 and (not at or (removed.get(u * size + t) or self.removed_at(u, t)) == NEVER):
+                    last[end], begin[end] = t, at
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = begin[at]
+        return out[::-1]
 
     def _arcs_from(self, b: bytes, at: int, window: bytes) -> tuple:
         """(token, length) of the tokens that begin at a position, longest first."""
         find, found, end, n = self.table.get, [], at + 1, len(b)
         while end <= n and (t := find(b[at:end])) is not None:
-            if t >= 0 and self._canonical(t):
+            if t >= 0:
                 found.append((t, end - at))
             end += 1
         out = tuple(reversed(found))
@@ -156,23 +133,6 @@ class Automaton:
             self.near[window] = out
         return out
 
-    def _canonical(self, t: int) -> bool:
-        """Is the token its own bytes' encoding? Otherwise no path may use it."""
-        got = self.built.get(t)
-        if got is None:
-            b = self.label[t]
-            try:
-                got = len(b) == 1 or self._parts(t) is not None and self.arc_free(t)
-            except ValueError:
-                got = False
-            self.built[t] = got
-        return got
-
-    def arc_free(self, t: int) -> bool:
-        """The two halves meet only at the rank of t itself: no earlier gadget splits them otherwise."""
-        u, v = self.split[t]
-        return self.label[u] + self.label[v] == self.label[t]
-
     def _unit(self, unit: str) -> bytes:
         words, out = self.words, []
         for w in self.pattern.findall(unit):
@@ -208,11 +168,20 @@ class Automaton:
 
 
 @functools.lru_cache(maxsize=2)
-def load(ranks_file: str, pattern: str) -> Automaton:
-    """An automaton from a file of base64 byte strings and ranks; kept with its tables by the process."""
+def compiled(ranks_file: str) -> dict[int, tuple[bytes, int, int]]:
+    """The merges of a file of base64 byte strings and ranks, read and compiled by the driver."""
     with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Automaton(ranks, pattern)
+        return compile_merges({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+
+_HELD: list = [None, None]
+
+
+def _automaton(tokens: dict, pattern: str) -> Automaton:
+    """The automaton of a broadcast, kept with its tables by the worker process."""
+    if _HELD[0] is not tokens or _HELD[1].pattern.pattern != pattern:
+        _HELD[:] = tokens, Automaton(tokens, pattern)
+    return _HELD[1]
 
 
 def default_tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
@@ -227,8 +196,13 @@ def encode(documents: DataFrame, ranks_file: str | None = None, pattern: str | N
     if ranks_file is None:
         ranks_file, pattern = default_tokenizer()
 
+    # As large as the vocabulary.
+    shipped = documents.sparkSession.sparkContext.broadcast(compiled(ranks_file))
+
     def run(batches):
-        automaton = load(ranks_file, pattern)
+        from tessera.llm.tokenize import _automaton
+
+        automaton = _automaton(shipped.value, pattern)
         for b in batches:
             blobs = [b"" if t is None else automaton.encode(t) for t in b.column("text").to_pylist()]
             offsets = np.zeros(len(blobs) + 1, dtype=np.int32)

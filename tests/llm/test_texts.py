@@ -64,7 +64,8 @@ def reference_encoder():
 
 
 def test_automaton_against_the_library(reference_encoder):
-    a = tokenize.load(*tokenize.default_tokenizer())
+    file, pattern = tokenize.default_tokenizer()
+    a = tokenize.Automaton(tokenize.compiled(file), pattern)
     rng = random.Random(1)
     texts = ["", " ", "<|endoftext|>", "it's  \n\n x", "aaaaaaaaaaaaaaaaaaaaaaa", "ЁЖ😀é́ ½²Ⅷ", "\x1c \x1d\n"] + ["".join(rng.choice("abcde ЁЖфы01!'\n\t\xa0\x1c\x85_😀") for _ in range(rng.randint(1, 40))) for _ in range(4000)]
     for t in texts:
@@ -75,7 +76,7 @@ def test_automaton_against_the_library(reference_encoder):
 
 def test_small_vocabulary_with_runs():
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaa": 257, b"ab": 258, b"aab": 259}
-    a = tokenize.Automaton(ranks, r"\S+|\s+")
+    a = tokenize.Automaton(tokenize.compile_merges(ranks), r"\S+|\s+")
 
     def plain(b):
         parts = [b[i : i + 1] for i in range(len(b))]
@@ -116,11 +117,17 @@ def test_leaks(spark):
         9: "",
         10: "шум " * 50_000 + ITEM + " шум" * 50_000,
         11: " ".join(w[5:17][::-1]),
+        12: " ".join(w[:6]) + ' <a href="' + "x" * 320 + '"> ' + " ".join(w[6:13]),
+        13: " ".join(w[:6]) + "<!-- " + "шум " * 500 + "--> " + " ".join(w[6:13]),
+        14: "до <!-- " + ITEM + " --> <!-- без конца",
+        15: "<!-- <b " * 3000 + ITEM,
     }
     df = spark.createDataFrame([(k, v, 0) for k, v in docs.items()], "doc_id long, text string, item_id int")
-    assert {tuple(r) for r in leaks.leaks(df, items).collect()} == {(k, 1) for k in (1, 2, 5, 6, 7, 10)}
+    assert {tuple(r) for r in leaks.leaks(df, items).collect()} == {(k, 1) for k in (1, 2, 5, 6, 7, 10, 12, 13, 14, 15)}
     assert leaks.leaks(df, items.limit(0)).count() == 0 and leaks.leaks(df.limit(0), items).count() == 0
     assert leaks.leaked_items(df, items).collect()[0].n_leaked == 1
+    close = {r.doc_id: (r.n_edits, r.n_words) for r in leaks.closest(df, items).collect()}
+    assert close[4] == (1, 9) and close[3] == (1, 11) and close[1] == (0, len(w)) and 11 not in close
 
 
 def test_myers_against_brute_force():
