@@ -5,7 +5,7 @@ signatures with balanced brackets, and bodies up to the end that belongs to them
 water and is skipped. ``GRAMMARS`` holds the islands of each language.
 
 A routine's documentation is the comment lines right above its declaration, with only comment and
-annotation lines and no blank line between. It counts if three or more words remain once these are set
+annotation lines and no blank line between, or a block comment in languages that have them. It counts if three or more words remain once these are set
 aside: the routine's own name and its words, headings, ornaments, reminders and placeholders, tool
 marks, change stamps, and code that is commented out.
 
@@ -26,23 +26,58 @@ LEAST_WORDS = 3
 
 
 class Islands:
-    """What is parsed of one language; ``head`` has the groups kind, name."""
-
-    def __init__(self, head: str, end: str, comment: str, note: str):
-        self.head, self.end = re.compile(head, re.I | re.M), re.compile(end, re.I | re.M)
-        self.comment, self.note = comment, note
+    """What is parsed of one language. ``head`` has the group name and ends with the bracket that opens the
+    signature; ``skip`` are literals and comments, whose insides are seen by nothing; a body ends with the first
+    ``end``, or, where that is None, with the brace that closes it. ``line`` and ``note`` begin comment lines and
+    annotations; ``block`` are the marks around a comment of several lines."""
+
+    def __init__(self, suffixes: tuple, head: str, skip: str, end: str | None, line: str, note: str | None = None, block: tuple | None = None):
+        self.suffixes, self.line, self.note, self.block = suffixes, line, note, block
+        self.heads = re.compile(rf"(?P<skip>{skip})|^[^\S\n]*{head}", re.I | re.M | re.S)
+        self.brackets = re.compile(rf"(?P<skip>{skip})|(?P<open>\()|(?P<close>\))", re.I | re.S)
+        inside = rf"(?<!\w)(?P<close>{end})(?!\w)|(?P<open>(?!))" if end else r"(?P<open>\{)|(?P<close>\})"
+        self.body = re.compile(rf"(?P<skip>{skip})|{inside}", re.I | re.S)
+        self.depth = 1 if end else 0
+
+    def balanced(self, tokens: re.Pattern, text: str, at: int, stop: int, depth: int) -> int | None:
+        """The place after the token that closes what is open from ``at``, before ``stop``."""
+        for m in tokens.finditer(text, at, stop):
+            if m["open"]:
+                depth += 1
+            elif m["close"]:
+                depth -= 1
+                if depth <= 0:
+                    return m.end()
+        return None
 
 
 # The islands by language. The words that begin and end a routine.
+BSL_LITERAL = r'"(?:[^"\n]|"")*(?:\n[^\S\n]*(?://[^\n]*\n[^\S\n]*)*\|(?:[^"\n]|"")*)*"?'
 GRAMMARS = {
     "bsl": Islands(
-        r"^[^\S\n]*(?:(?:асинх|async)\s+)?(?P<kind>процедура|функция|procedure|function)\s+(?P<name>[^\W\d]\w*)\s*\(",
-        r"^(?:[^\n\"/|]|/(?!/))*?(?<!\w)(?:конецпроцедуры|конецфункции|endprocedure|endfunction)(?!\w)",
+        (".bsl",),
+        r"(?P<begin>(?:(?:асинх|async)\s+)?(?:процедура|функция|procedure|function)\s+)(?P<name>[^\W\d]\w*)\s*\(",
+        rf"//[^\n]*|{BSL_LITERAL}|'[^'\n]*'",
+        "конецпроцедуры|конецфункции|endprocedure|endfunction",
         "//",
         "&",
-    )
+    ),
+    "braces": Islands(
+        (".js", ".ts", ".mjs"),
+        r"(?P<begin>(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*)(?P<name>[A-Za-z_$][\w$]*)\s*\(",
+        r'//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|\'(?:[^\'\\\n]|\\.)*\'?|`(?:[^`\\]|\\.)*`?',
+        None,
+        "//",
+        "@",
+        ("/*", "*/"),
+    ),
 }
 
+
+def grammar_of(path: str) -> Islands | None:
+    return next((g for g in GRAMMARS.values() if path.lower().endswith(g.suffixes)), None)
+
+
 WORD = re.compile(r"[^\W\d_]+(?:\w*[^\W\d_])?")
 CAMEL = re.compile(r"[А-ЯЁA-Z]?[а-яёa-z]+|[А-ЯЁA-Z]+(?![а-яёa-z])|\d+")
 # Words of headings, reminders, placeholders and marks, Russian and English.
@@ -76,43 +111,36 @@ def kept_words(lines: list[str], name: str) -> int:
     return n
 
 
-def _signature(text: str, start: int) -> int:
-    """The place after the bracket that closes the signature whose bracket opens before ``start``."""
-    depth, i, n = 1, start, len(text)
-    while i < n and depth:
-        c = text[i]
-        if c == '"':
-            i = text.find('"', i + 1)
-            if i < 0:
-                return n
-        elif c == "/" and text[i : i + 2] == "//":
-            i = text.find("\n", i)
-            if i < 0:
-                return n
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        i += 1
-    return i
+def _above(text: str, at: int, grammar: Islands) -> tuple[list[str], int]:
+    """The comment lines right above the line that begins at ``at``, and where they begin."""
+    doc, low = [], at
+    while low > 0:
+        before = text.rfind("\n", 0, low - 1) + 1
+        s = text[before : low - 1].strip()
+        if grammar.block and s.endswith(grammar.block[1]) and (opens := text.rfind(grammar.block[0], 0, low)) >= 0:
+            inner = text[opens + 2 : text.rfind(grammar.block[1], 0, low)].lstrip("*")
+            doc += [x.strip().lstrip("*").strip() for x in reversed(inner.split("\n"))]
+            before = text.rfind("\n", 0, opens) + 1
+        elif s.startswith(grammar.line):
+            doc.append(s[len(grammar.line) :])
+        elif not grammar.note or not s.startswith(grammar.note):
+            break
+        low = before
+    return doc[::-1], low
 
 
 def islands(text: str, grammar: Islands):
-    """(name, line, signature, doc lines, place of the head, place of the body's end) of each routine."""
+    """(name, line, doc lines, head's place, signature's end, body's end) of each routine. A body that has no
+    end of its own runs to the documentation of the next routine or the file's end."""
     text = text[1:] if text[:1] == "﻿" else text
-    heads = list(grammar.head.finditer(text))
+    heads = [m for m in grammar.heads.finditer(text) if m["name"]]
+    docs = [_above(text, text.rfind("\n", 0, m.start("begin")) + 1, grammar) for m in heads]
     line, seen = 1, 0
     for k, m in enumerate(heads):
-        line += text.count("\n", seen, m.start("kind"))
-        seen = m.start("kind")
-        doc, at = [], text.rfind("\n", 0, m.start("kind"))
-        while at > 0:
-            before = text.rfind("\n", 0, at)
-            s = text[before + 1 : at].strip()
-            if s.startswith(grammar.comment):
-                doc.append(s[len(grammar.comment) :])
-            elif not s.startswith(grammar.note):
-                break
-            at = before
-        yield m, line, doc[::-1], heads[k + 1].start() if k + 1 < len(heads) else len(text), text
+        line += text.count("\n", seen, m.start("begin"))
+        seen = m.start("begin")
+        stop = docs[k + 1][1] if k + 1 < len(heads) else len(text)
+        yield m, line, docs[k][0], stop, text
 
 
 def declarations(files: DataFrame, with_code: bool = True) -> DataFrame:
@@ -120,23 +148,24 @@ def declarations(files: DataFrame, with_code: bool = True) -> DataFrame:
     schema = "tenant_id string, path string, name_low string, line int, kept int" + (", signature string, doc string, code string" if with_code else "")
 
     def run(batches):
-        grammar = GRAMMARS["bsl"]
         for b in batches:
             cols: list[list] = [[] for _ in range(8 if with_code else 5)]
             for tenant, path, text in zip(*[b.column(c).to_pylist() for c in ("tenant_id", "path", "content")]):
+                grammar = grammar_of(path)
                 for m, line, doc, stop, text_ in islands(text, grammar):
                     row = [tenant, path, m["name"].lower(), line, kept_words(doc, m["name"]) if doc else 0]
                     if with_code:
-                        sign = _signature(text_, m.end())
-                        end = grammar.end.search(text_, sign, stop)
-                        row += [text_[m.start("kind") : sign], "\n".join(x.strip() for x in doc), text_[m.start("kind") : end.end() if end else stop].rstrip()]
+                        sign = grammar.balanced(grammar.brackets, text_, m.end(), stop, 1) or stop
+                        end = grammar.balanced(grammar.body, text_, sign, stop, grammar.depth) or stop
+                        row += [text_[m.start("begin") : sign], "\n".join(x.strip() for x in doc), text_[m.start("begin") : end].rstrip()]
                     for c, x in zip(cols, row):
                         c.append(x)
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
             names = ("tenant_id", "path", "name_low", "line", "kept", "signature", "doc", "code")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], list(names[: len(cols)]))
 
-    rows = files.where(F.col("content").isNotNull() & F.lower("path").endswith(".bsl"))
+    suffixes = "|".join(x[1:] for g in GRAMMARS.values() for x in g.suffixes)
+    rows = files.where(F.col("content").isNotNull() & F.col("path").rlike(rf"(?i)\.(?:{suffixes})$"))
     return rows.select("tenant_id", "path", "content").mapInArrow(run, schema)
 
 

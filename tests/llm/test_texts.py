@@ -161,3 +161,21 @@ def test_doc_pairs(spark):
     one = next(r for r in docpairs.code_pairs(symbols, files).collect() if r.symbol_id == 1)
     assert one.signature == "Процедура Первая(А,\n  Б)" and one.code.endswith('В = "КонецПроцедуры";\nКонецПроцедуры') and one.doc.startswith("Сервис")
     assert docpairs.found(symbols.limit(0), files.limit(0)).count() == 0
+
+
+def test_bodies_are_balanced():
+    """An end on a line with a literal, ends in literals and comments, a body without an end; braces."""
+    def code(text, name):
+        g = docpairs.grammar_of("x." + name)
+        out = {}
+        for m, _, doc, stop, t in docpairs.islands(text, g):
+            sign = g.balanced(g.brackets, t, m.end(), stop, 1) or stop
+            out[m["name"]] = (t[m.start("begin") : g.balanced(g.body, t, sign, stop, g.depth) or stop].rstrip(), doc)
+        return out
+
+    got = code('Процедура А(Б = ")", В = 1) // )\nБ = "x"; КонецПроцедуры\n// Описание второй\nФункция Г() Экспорт\n// КонецФункции\nД = "КонецФункции\n|КонецФункции"; Возврат 1;\nКонецФункции\nПроцедура Е()\nЖ();\n// Описание И\n&НаСервере\nПроцедура И()\nКонецПроцедуры', "BSL")
+    assert got["А"][0].endswith('Б = "x"; КонецПроцедуры') and got["Г"] == ('Функция Г() Экспорт\n// КонецФункции\nД = "КонецФункции\n|КонецФункции"; Возврат 1;\nКонецФункции', [" Описание второй"])
+    assert got["Е"][0].endswith("Ж();") and got["И"][1] == [" Описание И"]
+    got = code('/**\n * Adds the two numbers.\n */\nexport function add(a, b = ")}") {\n  if (a) { return `}${b}`; } // }\n  return "}";\n}\n// function no() {\nasync function next() { }\n', "js")
+    assert got["add"] == ('export function add(a, b = ")}") {\n  if (a) { return `}${b}`; } // }\n  return "}";\n}', ["", "Adds the two numbers.", ""]) and list(got) == ["add", "next"]
+    assert docpairs.kept_words(got["add"][1], "add") == 4
