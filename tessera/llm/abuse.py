@@ -12,7 +12,8 @@ is taken as the labelled one whose words and pairs of words other abusive docume
 lack; documents in which none stands out are taken for wrong ratings. Further rounds add what the machine
 itself finds in them, and the clean sentences it is nearest to mistake.
 
-The fit uses at most ``LABELLED`` rated documents, chosen by a hash of their ids. All documents are scored,
+The fit uses at most ``LABELLED`` rated documents of ``FIT_CHARS`` characters together, chosen by a hash of their
+ids. All documents are scored,
 over their whole texts.
 
 Defined results: null or empty texts have score null and are no case; documents without a source count
@@ -22,22 +23,27 @@ Without ratings of both kinds no document is a case.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELLED = 12_000
+#: Characters of the rated documents that are fitted, in all.
+FIT_CHARS = 48_000_000
 LANDMARKS, ROUNDS, NEGATIVES = 420, 2, 2_000
 GAP = 0.6
 #: The decision value of a sentence that is like no landmark: what is unknown is no case.
 BIAS = -1.0
 BITS = 20
-LEAST_LETTERS = 6
+LEAST_LETTERS = 5  # codes, with the blanks around a sentence
 #: Word odds from which a sentence is taken for what raters meant.
 STANDS_OUT = 1.6
+#: Places where at least ``MANY`` different words stand, and word odds, with which a word is abusive by itself.
+MANY, BESIDE, ALONE = 5, 3, 2.2
 #: Offsets of the second to fifth letter of a subsequence, and factors that mix the letters' codes.
 PATTERNS = [(a, b, c, d) for d in range(4, 6) for a in range(1, d) for b in range(a + 1, d) for c in range(b + 1, d)]
 WEIGHTS = np.array([GAP ** (p[-1] - 4) for p in PATTERNS], dtype=np.float32)
@@ -70,13 +76,17 @@ def _codes() -> np.ndarray:
 
 
 CODES = _codes()
+#: Characters that stand for plain letters in another form.
+COMPATIBLE = re.compile("[ª²³¹ºʰ-ʸᴬ-ᵪᵸⁱ-ₜ℀-⅏⅐-ↈ①-⓿ꚜꚝ\uf900-\ufaff\ufb00-\ufb06\uff01-\uff5e\U0001d400-\U0001d7ff\U0001f100-\U0001f18f]")
 UPPER = np.array([chr(cp).isupper() for cp in range(0x3001)])
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as one row of codes with ENDs between sentences, and for each code its text's number.
-    A word with capitals inside, as names in code have, is one NAME; a run of three equal letters is one."""
-    cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
+    """The texts as one row of codes with ENDs between sentences, a SPACE at both ends of each sentence, and for
+    each code its text's number. Compatibility forms (full-width, mathematical, circled letters) are read as
+    the letters they stand for. A word that is written as names in code are is one NAME: a capital first, more inside, in
+    parts of three letters or at least three parts. A run of three equal letters is one."""
+    cps = [np.frombuffer((unicodedata.normalize("NFKC", t) if COMPATIBLE.search(t) else t).encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
     sizes = np.array([len(x) + 1 for x in cps])
     flat = np.full(sizes.sum(), 10, dtype=np.uint32)
     at = 0
@@ -97,9 +107,7 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code, owner = code[keep], owner[keep]
     inside = np.flatnonzero(upper[1:] & ~upper[:-1] & (code[1:] > END) & (code[:-1] > END)) + 1
     if len(inside):
-        word = np.cumsum(code <= END)
-        n = np.bincount(word[inside], minlength=word[-1] + 1)
-        name = ((n > 0) & (3 * n <= np.bincount(word)))[word] & (code > END)
+        name = _names(code, upper, inside)
         first = name & np.concatenate([[True], ~name[:-1]])
         code[first] = NAME
         keep = first | ~name
@@ -112,7 +120,32 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(code), dtype=bool)
     for s, n in zip(start[length > 2], length[length > 2]):
         keep[s + 1 : s + n] = False
-    return code[keep], owner[keep]
+    code, owner = code[keep], owner[keep]
+    end = np.flatnonzero(code == END)
+    if len(end):  # blanks where a sentence begins or ends without one
+        opens, closes = np.concatenate([[0], end[:-1] + 1]), end
+        opens = opens[(code[opens] != SPACE) & (code[opens] != END)]
+        closes = closes[(closes > 0) & (code[closes - 1] > END)]
+        code, owner = np.insert(code, np.concatenate([opens, closes]), SPACE), np.insert(owner, np.concatenate([opens, closes]), np.concatenate([owner[opens], owner[closes]]))
+    return code, owner
+
+
+def _names(code: np.ndarray, upper: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Which codes belong to a name; ``inside`` are the places of capitals within words."""
+    word = np.cumsum(code <= END)
+    size, first = np.bincount(word), np.searchsorted(word, np.arange(word[-1] + 1))
+    first += code[np.minimum(first, len(code) - 1)] <= END
+    size = size - (np.bincount(word, weights=code <= END) > 0)
+    n = np.bincount(word[inside], minlength=len(size))
+    edge = np.concatenate([inside, first[n > 0], (first + size)[n > 0]])
+    edge = np.sort(edge)
+    part = np.diff(edge)
+    whose = word[edge[:-1]]
+    same = whose == word[edge[1:] - 1]
+    least = np.full(len(size), 1 << 30)
+    np.minimum.at(least, whose[same], part[same])
+    capital = upper[np.minimum(first, len(upper) - 1)]
+    return ((n > 0) & (3 * n <= size) & (size >= 7) & capital & ((least >= 3) | (n >= 2)))[word] & (code > END)
 
 
 def sentences(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +197,7 @@ class Machine:
         self.parts: list[bytes] = []
         self.docs: list[list[int]] = [[] for _ in texts]
         for s, e, o in zip(start.tolist(), stop.tolist(), own.tolist()):
-            raw = code[s:e].tobytes().strip(b"\x01")
+            raw = b"\x01" + code[s:e].tobytes().strip(b"\x01") + b"\x01"
             k = seen.get(raw)
             if k is None:
                 k = seen[raw] = len(self.parts)
@@ -201,6 +234,7 @@ class Machine:
                     neg[g] = neg.get(g, 0) + 1
         n_pos, n_neg = self.abusive.sum() + 1, (~self.abusive).sum() + 1
         odds = {g: float(np.log((n - 0.9) / n_pos) - np.log((neg.get(g, 0) + 0.5) / n_neg)) for g, n in pos.items()}
+        self.odds = odds
         self.kind: list = [b""] * len(grams)
         out = np.full(len(grams), -1.0)
         for i, gs in enumerate(grams):
@@ -210,6 +244,26 @@ class Machine:
                 self.kind[i] = max(top, key=lambda x: (isinstance(x[1], tuple), pos[x[1]], str(x[1])))[1]
         return out
 
+    def _alone(self, chosen: set) -> set:
+        """Insults as sentences of their own: words of abusive documents that stand in places, by the words beside
+        them, where many different words stand. What insults in many sentences does so alone."""
+        there: dict = {}
+        for i in sorted(chosen):
+            w = [x for x in self.parts[i].split(b"\x01") if x]
+            for a, x, b in zip([b"", *w], w, [*w[1:], b""]):
+                there.setdefault((a, b), set()).add(x)
+        places: dict = {}
+        for words in there.values():
+            if len(words) >= MANY:
+                for x in words:
+                    places[x] = places.get(x, 0) + 1
+        words = sorted(x for x, n in places.items() if n >= BESIDE and len(x) >= 4 and self.odds.get(x, 0) > ALONE)
+        first = self.first_alone = len(self.parts)
+        self.parts += [b"\x01" + x + b"\x01" for x in words]
+        self.kind += words
+        self.code, self.start, self.stop = self._joined(range(len(self.parts)))
+        return set(range(first, len(self.parts)))
+
     def _varied(self, rows: np.ndarray, n: int) -> np.ndarray:
         """Up to ``n`` of the rows, taken in turn from groups by the word that speaks most for them."""
         order = self.rng.permutation(rows)
@@ -230,6 +284,8 @@ class Machine:
         if not chosen or not len(negative):
             return table, bias
         hard = negative[np.argsort(-odds[negative])[: NEGATIVES // 2]]
+        held_alone = self._alone(chosen)
+        chosen |= held_alone
         for rnd in range(ROUNDS):
             some = self.rng.choice(negative, min(len(negative), NEGATIVES), replace=False)
             table, bias = self._train(np.array(sorted(chosen)), np.union1d(hard, some), hard)
@@ -240,7 +296,8 @@ class Machine:
         return table, bias
 
     def _train(self, pos: np.ndarray, neg: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, float]:
-        a = self._varied(pos, LANDMARKS * 3 // 4)
+        alone = pos >= self.first_alone
+        a = np.concatenate([self._varied(pos[~alone], LANDMARKS * 3 // 4), pos[alone]])
         marks = np.concatenate([a, self.rng.choice(hard, min(LANDMARKS // 4, len(hard)), replace=False)])
         code, start, stop = self._joined(marks)
         where = np.zeros(1 << BITS, dtype=np.int32)  # row 0 stands for all that no landmark has
@@ -299,7 +356,10 @@ def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tu
     """The machine for these ratings, from at most ``labelled`` rated documents."""
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id", "rater").agg(F.max("abusive").alias("abusive")).groupBy("doc_id").agg(F.avg("abusive").alias("share")).where("share <> 0.5")
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "share").agg(F.min("text").alias("text"))
+    # At most ``labelled`` rows, in one order.
+    so_far = F.sum(F.length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= FIT_CHARS).select("doc_id", "share", "text").collect()
     rows = sorted({r["doc_id"]: r for r in rows}.values(), key=lambda r: r["doc_id"])
     abusive = np.array([r["share"] > 0.5 for r in rows], dtype=bool)
     if not abusive.any() or abusive.all():
