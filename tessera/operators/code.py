@@ -16,9 +16,27 @@ from tessera.util import settle
 
 # Names of routines that the platform calls, and the category of each.
 ENTRY_POINTS = {
-    "передзаписью": "before_write", "призаписи": "on_write", "послезаписи": "after_write", "обработкапроведения": "posting", "обработкаудаленияпроведения": "undo_posting", "передудалением": "before_delete", "обработказаполнения": "filling", "обработкапроверкизаполнения": "fill_check", "прикопировании": "on_copy", "присозданиинасервере": "form_create", "приоткрытии": "form_open", "призакрытии": "form_close", "передзакрытием": "form_before_close",
-    "beforewrite": "before_write", "onwrite": "on_write", "posting": "posting", "filling": "filling", "oncreateatserver": "form_create", "onopen": "form_open",
-}
+    "обработкапроведения": "проведение",
+    "обработкаудаленияпроведения": "проведение",
+    "posting": "проведение",
+    "передзаписью": "запись",
+    "призаписи": "запись",
+    "beforewrite": "запись",
+    "onwrite": "запись",
+    "передудалением": "удаление",
+    "beforedelete": "удаление",
+    "обработказаполнения": "заполнение",
+    "filling": "заполнение",
+    "прикопировании": "заполнение",
+    "обработкапроверкизаполнения": "проверка_заполнения",
+    "проверказаполнения": "проверка_заполнения",
+    "fillcheckprocessing": "проверка_заполнения",
+    "приустановкеновогономера": "нумерация",
+    "приустановкеновогокода": "нумерация",
+    "обработкаполученияданныхвыбора": "выбор",
+    "приполученииданныхвыбора": "выбор",
+}
+FORM_EVENT = "событие_формы"
 #: Words by which code names its own object.
 SELF_WORDS = ("этотобъект", "thisobject", "этаформа", "thisform")
 
@@ -28,8 +46,9 @@ def live_routines(routines: DataFrame) -> DataFrame:
 
 
 def once(calls: DataFrame) -> DataFrame:
-    """Each call once, by its first delivery."""
-    return calls.groupBy("call_id").agg(F.min(F.struct("loaded_at", "caller_id", "qualifier", "method", "line"))["loaded_at"].alias("loaded_at"), *[F.min_by(c, "loaded_at").alias(c) for c in ("caller_id", "qualifier", "qualifier_low", "method", "method_low", "line")])
+    """Each call once, by its first delivery; of equal times the least row, whole."""
+    names = ["loaded_at", "caller_id", "qualifier", "qualifier_low", "method", "method_low", "line"]
+    return calls.groupBy("call_id").agg(F.min(F.struct(*names)).alias("r")).select("call_id", *[f"r.{c}" for c in names])
 
 
 def module_of(fqn: Column) -> Column:
@@ -40,7 +59,7 @@ def entry_point(name: Column, form_event: Column | None = None) -> Column:
     """The category of a routine that the platform calls, null for others; a form's event goes first."""
     table = F.create_map(*[F.lit(x) for kv in ENTRY_POINTS.items() for x in kv])
     got = table[F.lower(name)]
-    return got if form_event is None else F.when(form_event.isNotNull(), F.lit("form_event")).otherwise(got)
+    return got if form_event is None else F.when(form_event.isNotNull(), F.lit(FORM_EVENT)).otherwise(got)
 
 
 def resolve_calls(calls: DataFrame, routines: DataFrame, objects: DataFrame, ignore_case: bool = False) -> DataFrame:

@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.text import token_rows
-from tessera.util import settle
-
 K1, B = 1.2, 0.75
 RRF_K = 60
 
@@ -63,13 +60,78 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot / n)
 
 
+#: Vectors of one side that are sent to the workers at once.
+HELD = 4096
+
+
+def _blocks(df: DataFrame, key: str, vector: str):
+    """(keys, unit vectors) of blocks of about ``HELD`` rows, one after another; rows with null, zero or odd
+    vectors are left out, repeated keys count once."""
+    import numpy as np
+
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).dropDuplicates([key])
+    n = max(1, -(-rows.count() // HELD))
+    for block in range(n):
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == block) if n > 1 else rows
+        by_length: dict[int, list] = {}
+        for r in part.collect():
+            x = np.array(r[1], dtype=np.float64)
+            if np.isfinite(x).all() and (size := np.linalg.norm(x)) > 0:
+                by_length.setdefault(len(x), []).append((r[0], x / size))
+        for found in by_length.values():
+            yield [k for k, _ in found], np.stack([x for _, x in found])
+
+
+def _against(stream: DataFrame, key: str, vector: str, held, k: int, by_held: bool) -> DataFrame:
+    """(key, other, c): cosines of the stream's rows with a block of held vectors, the best ``k`` of each held row in a
+    batch, or of each row of the stream."""
+    import numpy as np
+
+    names, matrix = held
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    shipped = stream.sparkSession.sparkContext.broadcast((names, matrix))
+    as_text = isinstance(names[0], str)
+
+    def run(batches):
+        import pandas as pd
+
+        names, matrix = shipped.value
+        for b in batches:
+            ok = [i for i, v in enumerate(b[vector]) if v is not None and len(v) == matrix.shape[1]]
+            if not ok:
+                continue
+            x = np.stack([b[vector].iloc[i] for i in ok]).astype(np.float64)
+            size = np.linalg.norm(x, axis=1)
+            good = np.isfinite(size) & (size > 0)
+            c = (x[good] / size[good][:, None]) @ matrix.T
+            mine = b[key].iloc[ok][good].to_numpy()
+            n = min(k, c.shape[0 if by_held else 1])
+            if not len(mine):
+                continue
+            if by_held:
+                least = np.partition(c, -n, axis=0)[-n]
+                row, col = np.nonzero(c >= least[None, :] - 1e-6)
+            else:
+                least = np.partition(c, -n, axis=1)[:, -n]
+                row, col = np.nonzero(c >= least[:, None] - 1e-6)
+            yield pd.DataFrame({"key": mine[row], "other": [names[j] for j in col], "c": c[row, col]})
+
+    return stream.select(key, vector).mapInPandas(run, f"key {kinds[key]}, other {'string' if as_text else 'bigint'}, c double")
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k vectors most alike to each query vector (query_id, qvec), with (1 + cosine) / 2 as
-    score. The query set is small and stated; the ranking is cut per group before the shuffle's sort."""
+    """The k vectors most alike to each query vector (query_id, qvec), with (1 + cosine) / 2 as score; cosines
+    equal to six digits go by vec_id. The queries, a stated set of any size, go to the workers in blocks, and the
+    vectors are streamed past each; of a batch only the best rows of a query are shuffled."""
     v = vectors.where("embedding is not null").dropDuplicates(["vec_id"]).select("vec_id", "embedding")
-    s = v.join(F.broadcast(queries), F.size("embedding") == F.size("qvec")).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("qvec")).alias("c")).where("c is not null")
+    found = None
+    for held in _blocks(queries, "query_id", "qvec"):
+        one = _against(v, "vec_id", "embedding", held, k, True).select(F.col("other").alias("query_id"), F.col("key").alias("vec_id"), "c")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = v.select(F.lit(0).cast("bigint").alias("query_id"), "vec_id", F.lit(0.0).alias("c")).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.round("c", 6).desc(), "vec_id")
-    return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "vec_id", F.round((1 + F.col("c")) / 2, 6).alias("score"), "place")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "vec_id", F.round((1 + F.col("c")) / 2, 6).alias("score"), "place")
 
 
 def chunk_filter(chunks: DataFrame, tenants: list[str] | None = None, kinds: list[str] | None = None, sources: list[str] | None = None, configs: list[str] | None = None) -> DataFrame:
@@ -86,14 +148,87 @@ def selectivity(chunks: DataFrame, cap: int = 50_000) -> DataFrame:
 
 
 def postings(df: DataFrame, key: str, fields: dict[str, int]) -> DataFrame:
-    """(token, key, tf, dl): weighted term frequencies over several fields and the weighted length."""
-    rows = None
-    for name, weight in fields.items():
-        r = token_rows(df, [key], name).select(key, "token", F.lit(weight).alias("w"))
-        rows = r if rows is None else rows.unionByName(r)
-    tf = rows.groupBy(key, "token").agg(F.sum("w").alias("tf"))
-    dl = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return tf.join(dl, key)
+    """(key, token, tf, dl): term frequencies weighted by field, and the row's length in tokens. A row is read into
+    tokens once, its length with them; one shuffle counts."""
+    rows = df.select(key, *[tokens(F.col(f)).alias(f"__{f}") for f in fields])
+    rows = rows.withColumn("dl", sum(F.size(f"__{f}") for f in fields).cast("bigint")).where("dl > 0")
+
+    def weighed(f: str, w: int) -> Column:
+        return F.transform(f"__{f}", lambda t: F.struct(t.alias("token"), F.lit(w).cast("bigint").alias("w")))
+
+    return rows.select(key, "dl", F.explode(F.concat(*[weighed(f, w) for f, w in fields.items()])).alias("t")).groupBy(key, "dl", "t.token").agg(F.sum("t.w").alias("tf")).select(key, "token", "tf", "dl")
+
+
+class FullText:
+    """An inverted index in a folder: postings in partitions by the first letters of a token, sorted by
+    token, and one row of statistics. A search reads the partitions of its terms, and of these, by the statistics of
+    their row groups, only the terms; a term's prefix of three letters or more lies in one partition too."""
+
+    BUCKETS, LETTERS = 64, 3
+
+    def __init__(self, spark, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    @classmethod
+    def build(cls, df: DataFrame, key: str, fields: dict[str, int], path: str) -> FullText:
+        out = cls(df.sparkSession, path, key)
+        p = postings(df, key, fields).withColumn("bucket", cls.bucket_of(F.col("token")))
+        p.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{out.path}/postings")
+        dl = out.spark.read.parquet(f"{out.path}/postings").select(key, "dl").distinct()
+        dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{out.path}/stats")
+        return out
+
+    @classmethod
+    def bucket_of(cls, token: Column) -> Column:
+        return F.pmod(F.crc32(F.substring(token, 1, cls.LETTERS).cast("binary")), F.lit(cls.BUCKETS)).cast("int")
+
+    @classmethod
+    def _bucket(cls, token: str) -> int:
+        import zlib
+
+        return zlib.crc32(token[: cls.LETTERS].encode()) % cls.BUCKETS
+
+    def postings_of(self, terms: list[tuple[str, bool]]) -> DataFrame:
+        """The postings of terms (token, prefix), with ``term``; the filters are pushed to the files."""
+        at = self.spark.read.parquet(f"{self.path}/postings")
+        out = None
+        for t, prefix in dict.fromkeys(terms):
+            one = at.where(F.col("token").startswith(t) if prefix else F.col("token") == t)
+            if not prefix or len(t) >= self.LETTERS:
+                one = one.where(F.col("bucket") == self._bucket(t))
+            one = one.select(self.key, F.lit(t).alias("term"), F.lit(prefix).alias("prefix"), "tf", "dl")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def search(self, queries: dict[int, str], k: int = 10, form: str = "bm25") -> DataFrame:
+        """(query_id, key, score, place, total): BM25 with k1 1.2, b 0.75. ``form`` "bm25" has the logarithm of
+        1 + the odds, "fts" that of the odds themselves, at least 1e-6."""
+        asked = [(q, t, p) for q, text in queries.items() for t, p in query_terms(text)]
+        if not asked:
+            raise ValueError("no query holds a word")
+        hits = self.postings_of([(t, p) for _, t, p in asked]).groupBy("term", "prefix", self.key).agg(F.sum("tf").cast("double").alias("tf"), F.min("dl").alias("dl"))
+        df = hits.groupBy("term", "prefix").agg(F.count(F.lit(1)).alias("df"))
+        stats = self.spark.read.parquet(f"{self.path}/stats")  # one row
+        odds = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+        idf = F.log(1 + odds) if form == "bm25" else F.greatest(F.log(odds), F.lit(1e-6))
+        own = self.spark.createDataFrame(asked, "query_id bigint, term string, prefix boolean")
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        s = hits.join(F.broadcast(df.join(F.broadcast(own), ["term", "prefix"]).crossJoin(F.broadcast(stats))), ["term", "prefix"]).groupBy("query_id", self.key).agg(F.round(F.sum(part), 6).alias("score"))  # a row a term
+        total = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)
+        return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(F.broadcast(total), "query_id").select("query_id", self.key, "score", "place", "total")
+
+
+def snippet(text: Column, query: str, width: int = 12) -> Column:
+    """``width`` words around the first that the query means, such words in brackets, … where the text goes on."""
+    means = "|".join(f"{t}[0-9A-Za-zА-Яа-яЁё]*" if p else t for t, p in query_terms(query))
+    lead = F.length(F.regexp_extract(text, rf"(?is)^(.*?)(?<![0-9A-Za-zА-Яа-яЁё])(?:{means})(?![0-9A-Za-zА-Яа-яЁё])", 1))
+    words = F.filter(F.split(F.regexp_replace(text, r"\s+", " "), " "), lambda x: x != "")
+    before = F.size(F.filter(F.split(F.regexp_replace(F.substring(text, F.lit(1), lead), r"\s+", " "), " "), lambda x: x != ""))
+    first = F.greatest(F.lit(0), before - width // 3)
+    shown = F.array_join(F.slice(words, first + 1, width), " ")
+    marked = F.regexp_replace(shown, rf"(?i)(?<![0-9A-Za-zА-Яа-яЁё])({means})(?![0-9A-Za-zА-Яа-яЁё])", "[$1]")
+    return F.concat(F.when(first > 0, "…").otherwise(""), marked, F.when(F.size(words) > first + width, "…").otherwise(""))
 
 
 def query_terms(text: str) -> list[tuple[str, bool]]:
@@ -112,38 +247,14 @@ def tokens(c: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.when(F.contains(p, F.lit(mark)), F.concat(F.array(F.replace(p, F.lit(mark), F.lit(""))), F.split(p, mark))).otherwise(F.array(p))))
 
 
-def bm25(df: DataFrame, key: str, fields: dict[str, int], queries: dict[int, str], k: int = 10) -> DataFrame:
-    """BM25 (k1 1.2, b 0.75) of the rows that hold any token of a query, the best k of each query
-    with the total of matches. Document frequencies and lengths are over the whole corpus.
-
-    The queries' few terms become expressions: each text is read into its length and its frequency of every
-    term without a join or an exploded token; what is kept is settled, so that texts are read once, and the
-    corpus statistics are one row of sums."""
-    terms = [(q, t, p) for q, text in queries.items() for t, p in dict.fromkeys(query_terms(text))]
-    any_term = "^(?:" + "|".join(t + ".*" if p else t for _, t, p in terms) + ")$"
-
-    def frequency(term: str, prefix: bool) -> Column:
-        hit = (lambda x: x.startswith(term)) if prefix else (lambda x: x == term)
-        return sum(F.size(F.filter(F.col(f"__{f}"), hit)) * w for f, w in fields.items()).cast("double")
-
-    rows = df.select(key, *[tokens(F.col(f)).alias(f"__{f}") for f in fields])
-    dl = sum(F.size(F.col(f"__{f}")) * w for f, w in fields.items()).cast("double")
-    # One look at each token; what is left for the single terms is short.
-    rows = rows.select(key, dl.alias("dl"), *[F.filter(F.col(f"__{f}"), lambda x: x.rlike(any_term)).alias(f"__{f}") for f in fields])
-    slim = settle(rows.select(key, "dl", F.array(*[frequency(t, p) for _, t, p in terms]).alias("tf")))
-    df_sums = [F.sum((F.col("tf")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))]
-    stats = slim.where("dl > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"), *df_sums)
-    hit = slim.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
+def bm25(df: DataFrame, key: str, fields: dict[str, int], queries: dict[int, str], k: int = 10, form: str = "bm25") -> DataFrame:
+    """V08, V09 over rows that have no index: one is built in the shared folder, then searched. Searches that come
+    again keep their ``FullText``."""
+    import uuid
 
-    def part(i: int) -> Column:
-        tf, n = F.col("tf")[i], F.col(f"df{i}")
-        return F.log(1 + (F.col("n_docs") - n + 0.5) / (n + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    from tessera.util import shared_dir
 
-    per_query = [F.struct(F.lit(q).cast("bigint").alias("query_id"), F.round(sum(F.when(F.col("tf")[i] > 0, part(i)).otherwise(0.0) for i, x in enumerate(terms) if x[0] == q), 6).alias("score"), sum((F.col("tf")[i] > 0).cast("int") for i, x in enumerate(terms) if x[0] == q).alias("hits")) for q in queries if any(x[0] == q for x in terms)]
-    s = hit.select(key, F.explode(F.array(*per_query)).alias("r")).where("r.hits > 0").select("r.query_id", key, "r.score")
-    total = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(F.broadcast(total), "query_id").select("query_id", key, "score", "place", "total")
+    return FullText.build(df, key, fields, f"{shared_dir(df.sparkSession)}/index-{uuid.uuid4().hex}").search(queries, k, form)
 
 
 def unit_of(fqn: Column) -> Column:
@@ -188,10 +299,11 @@ def _vector_lists(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     return out
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, texts: dict[int, str], k: int = 10) -> DataFrame:
-    """The two vector lists and full text, fused. One lazy plan; nothing is asked per hit."""
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, texts: dict[int, str], index: FullText, k: int = 10) -> DataFrame:
+    """The two vector lists and full text by an index of chunk_id, fused; nothing is asked per hit. What is not in
+    ``chunks``, which may be filtered, is in no list."""
     c = chunks.dropDuplicates(["chunk_id"])
-    full = bm25(c, "chunk_id", {"text": 1, "text_ident": 5}, texts, 5 * k).join(c.select("chunk_id", unit_of(F.col("fqn")).alias("unit")), "chunk_id")
+    full = index.search(texts, 5 * k).join(c.select("chunk_id", unit_of(F.col("fqn")).alias("unit")), "chunk_id")
     return rrf([*_vector_lists(chunks, vectors, queries, k), ranked(best_per_unit(full), k * 5)], k)
 
 
@@ -219,8 +331,17 @@ def readiness(objects: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Data
 
 
 def link_semantic(docs: DataFrame, objects: DataFrame, k: int = 3, least: float = 0.45) -> DataFrame:
-    """Per document (query_id, qvec) its ``k`` objects (vec_id, embedding) at least ``least`` alike."""
-    return exact_top_k(objects, docs, k).where(F.col("score") >= least).select("query_id", "vec_id", F.round("score", 4).alias("confidence"))
+    """Per document (query_id, qvec) its ``k`` objects (vec_id, embedding) at least ``least`` alike. The objects go
+    to the workers in blocks, and the documents, which are the more, are streamed past each."""
+    found = None
+    for held in _blocks(objects, "vec_id", "embedding"):
+        one = _against(docs.where("query_id is not null").dropDuplicates(["query_id"]), "query_id", "qvec", held, k, False)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return docs.select("query_id", F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("confidence")).limit(0)
+    w = Window.partitionBy("key").orderBy(F.round("c", 6).desc(), "other")
+    score = F.round((1 + F.col("c")) / 2, 4)
+    return found.withColumn("place", F.row_number().over(w)).where((F.col("place") <= k) & (score >= least)).select(F.col("key").alias("query_id"), F.col("other").alias("vec_id"), score.alias("confidence"))
 
 
 def standard_number(c: Column) -> Column:

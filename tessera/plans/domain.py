@@ -5,15 +5,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import code, docs, metadata, metrics, search, state, text
 from tessera.sources import bsl, metadata_xml, trees
-from tessera.util import read
+from tessera.util import read, shared_dir
 
 KIND, NAME, TERM = "Catalog", "ПартнерыУчета", "склад"
 MODULE, ROUTINE, FILE = "CommonModule.ДиалогиИСообщения", "ПоказатьЗамечание", "CommonModules/ДиалогиИСообщения/Ext/Module.bsl"
+HOOKED = "Catalog.ОтборВодителейЧерновик"
 USAGE, CALL = r"Справочник\.[А-Яа-яЁё]+", r"Выполнить\(\)"
 TEXTS = {1: "учёт тары сохраняет версии объекта", 2: "Найти склад приход", 3: "shift planner enum values"}
 SINCE = "2023-07-01"
@@ -64,43 +67,20 @@ op(
     q("""SELECT tenant_id, q, fqn, object_id FROM (SELECT tenant_id, q, fqn, object_id, row_number() OVER (PARTITION BY tenant_id, q ORDER BY how, config_id <> 'base', fqn, object_id) AS n FROM (
         SELECT o.*, q, CASE WHEN o.fqn = q THEN 0 ELSE 1 END AS how FROM o JOIN (SELECT DISTINCT ref_kind || '.' || trim(ref_name) AS q FROM t WHERE ref_name IS NOT NULL AND ref_kind IS NOT NULL UNION SELECT DISTINCT trim(ref_name) FROM t WHERE ref_name IS NOT NULL) x ON o.fqn = q OR o.name = q)) WHERE n = 1"""),
 )(lambda t: metadata.resolve(t.objects, t.type_refs.where("ref_name is not null and ref_kind is not null").select(F.concat_ws(".", "ref_kind", F.trim("ref_name")).alias("q")).union(t.type_refs.where("ref_name is not null").select(F.trim("ref_name"))).distinct()))
-op(
-    "op_Q04_get_object",
-    q("""SELECT w.*, f.fields, coalesce(f.n_fields, 0) AS n_fields, coalesce(m.n_routines, 0) AS n_routines, m.modules FROM
-        (SELECT tenant_id, fqn, min(kind) AS kind, min(name) AS name, min(synonym) AS synonym, string_agg(DISTINCT config_id, ',' ORDER BY config_id) AS configs FROM o WHERE kind = 'Document' GROUP BY 1, 2) w
-        LEFT JOIN (SELECT tenant_id, fqn, array_to_string((list_sort(list(field || ':' || types)))[1:100], ';') AS fields, count(*) AS n_fields FROM (SELECT tenant_id, owner_fqn AS fqn, string_split(field_fqn, '.')[-1] AS field, string_agg(DISTINCT raw, '|' ORDER BY raw) AS types FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2) f USING (tenant_id, fqn)
-        LEFT JOIN (SELECT tenant_id, object_fqn AS fqn, count(*) AS n_routines, string_agg(DISTINCT module_type, ',' ORDER BY module_type) AS modules FROM r GROUP BY 1, 2) m USING (tenant_id, fqn)"""),
-)(lambda t: metadata.get_object(t.objects, t.type_refs, t.routines, t.objects.where("kind = 'Document'")))
-op("op_Q05_get_object_properties", q("SELECT tenant_id, fqn, object_id, (kind IS NOT NULL)::BIGINT + (name IS NOT NULL)::BIGINT + (synonym IS NOT NULL)::BIGINT + (config_id IS NOT NULL)::BIGINT + (belonging IS NOT NULL)::BIGINT + (config_version IS NOT NULL)::BIGINT AS n_props, synonym FROM o"))(lambda t: metadata.get_object_properties(t.objects).select("tenant_id", "fqn", "object_id", F.size("props").cast("bigint").alias("n_props"), F.col("props")["synonym"].alias("synonym")))
-op("op_Q06_find_type_usages", q(f"SELECT DISTINCT tenant_id, owner_fqn FROM t WHERE category = 'reference' AND ref_kind = '{KIND}' AND lower(trim(ref_name)) = lower('{NAME}')"))(lambda t: metadata.find_type_usages(t.type_refs, KIND, NAME))
-DEPS = "SELECT e.tenant_id, src AS fqn, 'out' AS direction, rel, dst AS other FROM refs e WHERE EXISTS (SELECT 1 FROM o WHERE o.tenant_id = e.tenant_id AND o.fqn = src AND kind = 'Document')"
-INTO = "SELECT e.tenant_id, dst AS fqn, 'in' AS direction, rel, src AS other FROM refs e WHERE EXISTS (SELECT 1 FROM o WHERE o.tenant_id = e.tenant_id AND o.fqn = dst AND kind = 'Document')"
-op("op_Q07_get_dependencies", q(f"{DEPS} UNION ALL {INTO}"))(lambda t: metadata.get_dependencies(metadata.reference_edges(t.type_refs), metadata.current(t.objects).where("kind = 'Document'")))
-op("op_Q08_impact_analysis", q(INTO))(lambda t: metadata.get_dependencies(metadata.reference_edges(t.type_refs), metadata.current(t.objects).where("kind = 'Document'"), "in"))
+op("op_Q05_get_object_properties", q("SELECT tenant_id, fqn, object_id, concat_ws(';', 'belonging=' || belonging, 'config_id=' || config_id, 'config_version=' || config_version, 'kind=' || kind, 'name=' || name, 'synonym=' || synonym) AS props FROM o"))(lambda t: metadata.get_object_properties(t.objects).select("tenant_id", "fqn", "object_id", F.array_join(F.array_sort(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("props")))
 op("op_Q09_dependency_summary", q("SELECT tenant_id, lower(ref_kind || '.' || trim(ref_name)) AS target, count(DISTINCT field_fqn) AS n_fields, count(DISTINCT owner_fqn) AS n_owners FROM t WHERE category = 'reference' AND ref_kind IS NOT NULL AND trim(ref_name) <> '' GROUP BY 1, 2"))(lambda t: metadata.dependency_summary(t.type_refs))
 op("op_Q10_text_usages", f"SELECT tenant_id, source, path, count(*) AS n_lines FROM (SELECT tenant_id, source, path, unnest(string_split(content, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{USAGE}') GROUP BY 1, 2, 3")(lambda t: metadata.text_usages(t.files, USAGE))
-op("op_Q11_subscriptions_for", q(f"SELECT source, title AS event FROM d WHERE len(list_filter(links, lambda x: lower(string_split(x, '.')[-1]) = lower('{NAME}'))) > 0"))(lambda t: metadata.subscriptions_for(t.doc_units.dropDuplicates(["unit_id"]).select("source", F.col("title").alias("event"), F.col("links").alias("types")), NAME))
-op("op_Q12_writes_to", q(f"SELECT DISTINCT source, external_id AS document FROM (SELECT source, external_id, unnest(links) AS reg FROM d) WHERE lower(reg) = lower('{NAME}') OR ends_with(lower(reg), '.' || lower('{NAME}'))"))(lambda t: metadata.writes_to(t.doc_units.select("source", F.col("external_id").alias("document"), F.col("links").alias("registers")), NAME, True))
 op("op_Q13_list_objects", q(f"SELECT tenant_id, name, first(config_id ORDER BY CASE WHEN config_id = 'base' THEN '' ELSE config_id END) AS first_config, count(DISTINCT config_id) > 1 AS in_multiple FROM o WHERE kind = '{KIND}' GROUP BY 1, 2"))(lambda t: metadata.list_objects(t.objects, KIND))
-FOLDERS = "kinds(folder, k) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in metadata.FOLDER_KINDS.items()) + ")"
-PATHS = f"{FOLDERS}, p AS (SELECT f.*, k AS kind_of, k || '.' || regexp_replace(regexp_extract(path, '^(?:src/)?[A-Za-z]+/([^/]+)', 1), '\\.[A-Za-z]+$', '') AS object FROM files f LEFT JOIN kinds ON folder = regexp_extract(path, '^(?:src/)?([A-Za-z]+)/', 1))"
+# The kind of a folder by the rule of plurals, not from the library's table.
+KINDS_SQL = r"""kinds AS (SELECT DISTINCT folder, CASE WHEN folder = 'FilterCriteria' THEN 'FilterCriterion' WHEN folder LIKE 'ChartsOf%' THEN 'Chart' || folder[7:] WHEN folder LIKE '%sses' THEN folder[:-3] WHEN folder LIKE '%ies' THEN folder[:-4] || 'y' ELSE folder[:-2] END AS k
+    FROM (SELECT regexp_extract(regexp_replace(path, '^ext/[^/]+/', ''), '^(?:src/)?([A-Za-z]+)/', 1) AS folder FROM files) WHERE regexp_matches(folder, '^[A-Z].*(s|ia)$'))"""
+PATHS = f"{KINDS_SQL}, p AS (SELECT f.*, k AS kind_of, k || '.' || regexp_replace(regexp_extract(path, '^(?:src/)?[A-Za-z]+/([^/]+)', 1), '\\.[A-Za-z]+$', '') AS object FROM files f LEFT JOIN kinds ON folder = regexp_extract(path, '^(?:src/)?([A-Za-z]+)/', 1))"
 op("op_Q14_search_metadata", BASE.rstrip() + f", {PATHS} SELECT tenant_id, hit, min(how) AS how FROM (SELECT tenant_id, fqn AS hit, 0 AS how FROM o WHERE contains(lower(name), '{TERM}') OR contains(lower(synonym), '{TERM}') UNION ALL SELECT tenant_id, object, 1 FROM p WHERE kind = 'meta' AND contains(lower(content), '{TERM}') AND object IS NOT NULL) GROUP BY 1, 2")(lambda t: metadata.search_metadata(t.objects, t.files, TERM))
 op("op_Q15_find_objects", q(f"SELECT tenant_id, fqn, config_id, row_number() OVER (PARTITION BY tenant_id ORDER BY config_id = 'base', config_id, fqn, object_id)::INTEGER AS place FROM o WHERE lower(name) = lower('{NAME}')"))(lambda t: metadata.find_objects(t.objects, NAME))
 op("op_Q16_kind_counts", q("SELECT kind, count(*) AS n, count(DISTINCT tenant_id || '/' || name) AS n_names, sum((config_id <> 'base')::INT)::BIGINT AS n_ext FROM o GROUP BY 1"))(lambda t: metadata.kind_counts(t.objects))
-op(
-    "op_Q17_get_form",
-    q("""SELECT form, item, place FROM (SELECT form, item, row_number() OVER (PARTITION BY form ORDER BY handlers > 0 DESC, command IS NOT NULL DESC, data_path IS NOT NULL DESC, item)::INTEGER AS place FROM (
-        SELECT *, min(source_order) OVER (PARTITION BY form) AS first FROM (SELECT DISTINCT (source = 'base')::INTEGER AS source_order, tenant_id || '/' || object AS form, name || '#' || id AS item, (directive IS NOT NULL)::INTEGER AS handlers, override_mode AS command, override_target AS data_path FROM s WHERE contains(path, '/Forms/'))) WHERE source_order = first) WHERE place <= 40"""),
-)(lambda t: metadata.form_items(t.symbols.where(F.col("path").contains("/Forms/")).dropDuplicates(["id"]).select((F.col("source") == "base").cast("int").alias("source_order"), F.concat("tenant_id", F.lit("/"), "object").alias("form"), F.concat("name", F.lit("#"), "id").alias("item"), F.col("directive").isNotNull().cast("int").alias("handlers"), F.col("override_mode").alias("command"), F.col("override_target").alias("data_path"))))
-op("op_Q18_get_service", "WITH r AS (SELECT DISTINCT * FROM routines), h AS (SELECT DISTINCT tenant_id, object_fqn, override_target AS handler FROM r WHERE override_target IS NOT NULL AND object_fqn IS NOT NULL) SELECT h.tenant_id, h.object_fqn, handler, count(x.start_line) > 0 AS declared, min(x.start_line) AS line FROM h LEFT JOIN r x ON x.tenant_id = h.tenant_id AND x.object_fqn = h.object_fqn AND lower(x.name) = lower(handler) GROUP BY 1, 2, 3")(
-    lambda t: metadata.service_operations(t.routines.where("override_target is not null and object_fqn is not null").select("tenant_id", "object_fqn", F.col("override_target").alias("handler")).distinct(), t.routines)
-)
 op("op_Q20_unattached", q("SELECT DISTINCT tenant_id || '/' || source AS root FROM files WHERE tenant_id || '/' || source NOT IN (SELECT tenant_id || '/' || config_id FROM o)"))(lambda t: metadata.unattached(t.files.select(F.concat_ws("/", "tenant_id", "source").alias("root")), metadata.current(t.objects).select(F.concat_ws("/", "tenant_id", "config_id").alias("root"))))
 op("op_P02_first_of_copies", q("SELECT tenant_id, fqn, config_id, object_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, fqn ORDER BY config_id <> 'base', config_id, object_id) AS n FROM o) WHERE n = 1"))(lambda t: metadata.first_of_copies(t.objects))
 op("op_P03_artifact_fqns", q("SELECT tenant_id, object_id, CASE WHEN belonging = 'Adopted' AND config_id <> 'base' THEN fqn || '.Module@' || config_id ELSE fqn || '.Module' END AS artifact FROM o"))(lambda t: metadata.artifact_fqns(t.objects))
-op("op_P05_rights_rollup", q("SELECT config_id AS role, array_to_string(string_split(fqn, '.')[1:2], '.') AS object, string_agg(DISTINCT directive, ',' ORDER BY directive) AS granted FROM r WHERE directive IS NOT NULL GROUP BY 1, 2"))(lambda t: metadata.rights_rollup(code.live_routines(t.routines).where("directive is not null").select(F.col("config_id").alias("role"), F.col("fqn").alias("object"), F.array("directive").alias("granted"))).withColumn("granted", F.array_join("granted", ",")))
-op("op_P06_stubs", q("SELECT DISTINCT tenant_id, dst AS fqn, CASE WHEN contains(dst, '.') THEN split_part(dst, '.', 1) ELSE 'Unresolved' END AS kind FROM refs e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.tenant_id = e.tenant_id AND o.fqn = dst)"))(lambda t: metadata.stubs(metadata.reference_edges(t.type_refs), t.objects))
-op("op_P07_split_handler", q("SELECT DISTINCT 'CommonModule.' || qualifier AS module, method FROM c WHERE qualifier IS NOT NULL AND method IS NOT NULL"))(lambda t: t.calls.where("qualifier is not null and method is not null").select(metadata.split_handler(F.concat_ws(".", F.lit("CommonModule"), "qualifier", "method")).alias("h")).select("h.module", "h.method").distinct())
 op(
     "op_P08_merged_copies",
     q("""SELECT tenant_id, fqn, member, config_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, fqn, lower(member) ORDER BY n DESC, config_id, member) AS nth FROM (SELECT tenant_id, object_fqn AS fqn, config_id, name AS member, count(*) OVER (PARTITION BY tenant_id, object_fqn, config_id) AS n FROM r WHERE object_fqn IS NOT NULL)) WHERE nth = 1"""),
@@ -143,8 +123,21 @@ op("op_C05_resolve_calls", g(f"SELECT call_id, tenant_id, caller, callee, kind,
 op("op_C17_resolve_ignore_case", g(f"SELECT call_id, tenant_id, caller, callee, kind, {CONF}, line FROM res", "lower"))(lambda t: code.resolve_calls(t.calls, t.routines, t.objects, True))
 op("op_C07_call_edges", g("SELECT tenant_id, caller, callee, kind, confidence FROM e"))(edges)
 op("op_C06_override_edges", q("SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:')"))(lambda t: code.override_edges(t.routines))
-ENTRY = "entries(low, category) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in code.ENTRY_POINTS.items()) + ")"
-op("op_C08_entry_points", BASE.rstrip() + f", {ENTRY} SELECT tenant_id, fqn, category AS entry FROM r JOIN entries ON low = lower(name)")(lambda t: code.find_handlers(t.routines))
+# Fixed values, written out for the SQL: what the platform calls.
+ENTRY = """entries(low, category) AS (VALUES ('обработкапроведения', 'проведение'), ('обработкаудаленияпроведения', 'проведение'), ('posting', 'проведение'), ('передзаписью', 'запись'), ('призаписи', 'запись'), ('beforewrite', 'запись'), ('onwrite', 'запись'),
+    ('передудалением', 'удаление'), ('beforedelete', 'удаление'), ('обработказаполнения', 'заполнение'), ('filling', 'заполнение'), ('прикопировании', 'заполнение'), ('обработкапроверкизаполнения', 'проверка_заполнения'), ('проверказаполнения', 'проверка_заполнения'),
+    ('fillcheckprocessing', 'проверка_заполнения'), ('приустановкеновогономера', 'нумерация'), ('приустановкеновогокода', 'нумерация'), ('обработкаполученияданныхвыбора', 'выбор'), ('приполученииданныхвыбора', 'выбор'))"""
+#: The tables' routines have none of these names, so modules' routines are given them, and others, by their ids.
+CALLED = "ОбработкаПроведения ОбработкаУдаленияПроведения Posting ПередЗаписью ПриЗаписи BeforeWrite OnWrite ПередУдалением BeforeDelete ОбработкаЗаполнения Filling ПриКопировании ОбработкаПроверкиЗаполнения ПроверкаЗаполнения FillCheckProcessing ПриУстановкеНовогоНомера ПриУстановкеНовогоКода ОбработкаПолученияДанныхВыбора ПриПолученииДанныхВыбора ПослеЗаписи ПриОткрытии Проведение".split()
+SPREAD = f", {ENTRY}, en AS (SELECT * REPLACE (CASE WHEN routine_id % 25 < {len(CALLED)} AND fqn NOT LIKE '%.Form.%' THEN list_value(" + ", ".join(f"'{x}'" for x in CALLED) + ")[(routine_id % 25)::INTEGER + 1] ELSE name END AS name) FROM r) "
+
+
+def spread_entries(t):
+    given = F.element_at(F.array(*[F.lit(x) for x in CALLED]), (F.col("routine_id") % 25 + 1).cast("int"))
+    return t.routines.withColumn("name", F.when((F.col("routine_id") % 25 < len(CALLED)) & ~F.col("fqn").contains(".Form."), given).otherwise(F.col("name")))
+
+
+op("op_C08_entry_points", BASE.rstrip() + SPREAD + "SELECT tenant_id, fqn, category AS entry FROM en JOIN entries ON low = lower(name)")(lambda t: code.find_handlers(spread_entries(t)))
 op("op_C09_resolve_routines", q(f"SELECT tenant_id, routine_id, fqn FROM r WHERE name = '{ROUTINE}' AND ends_with(object_fqn, '.{MODULE.split('.')[1]}')"))(lambda t: code.resolve_routines(t.routines, MODULE.split(".")[1] + "." + ROUTINE).select("tenant_id", "routine_id", "fqn"))
 op("op_C10_find_callers", g(f"SELECT DISTINCT e.tenant_id, caller FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = callee"))(lambda t: code.find_callers(edges(t), exported(t)))
 op("op_C11_find_callees", g(f"SELECT DISTINCT e.tenant_id, callee, kind AS via FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = caller"))(lambda t: code.find_callees(edges(t), exported(t)))
@@ -155,7 +148,7 @@ op(
     + f""", walk AS (SELECT DISTINCT r.tenant_id, r.fqn AS src, r.fqn AS node, 0 AS hops FROM r WHERE override_mode IS NOT NULL UNION SELECT w.tenant_id, src, e.callee, hops + 1 FROM walk w JOIN e ON e.tenant_id = w.tenant_id AND e.caller = w.node WHERE hops < 8)
     SELECT w.tenant_id, src, x.fqn AS dst, min(hops) AS hops FROM walk w JOIN {EXP} x ON x.tenant_id = w.tenant_id AND x.fqn = node GROUP BY 1, 2, 3""",
 )(lambda t: code.call_path(edges(t), code.live_routines(t.routines).where("override_mode is not null"), exported(t)).select("tenant_id", "src", "dst", "hops"))
-op("op_C15_find_overrides", q(f"SELECT * FROM (SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:')) WHERE starts_with(dst, '{MODULE}.')"))(lambda t: code.find_overrides(t.routines, MODULE))
+op("op_C15_find_overrides", q(f"SELECT * FROM (SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:')) WHERE starts_with(dst, '{HOOKED}.')"))(lambda t: code.find_overrides(t.routines, HOOKED))
 op("op_C16_routine_source", q("SELECT tenant_id, split_part(fqn, '#code', 1) AS routine, string_agg(text, chr(10) ORDER BY coalesce(try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) AS INT), 0), chunk_id) AS body, count(*) AS parts FROM k WHERE chunk_kind = 'code' GROUP BY 1, 2"))(lambda t: code.routine_source(t.chunks))
 METHODS = "(SELECT DISTINCT name_low AS method_low FROM s WHERE export = 1 AND object LIKE 'CommonModule.%')"
 CALLERS = f"SELECT method_low, s.tenant_id, object, name, path, line, call_id FROM c JOIN {METHODS} USING (method_low) JOIN s ON s.id = c.caller_id WHERE NOT (qualifier IS NULL AND s.name_low = method_low)"
@@ -217,13 +210,29 @@ op(
 )(lambda t: code.review_set(hunks(t), t.symbols, t.calls, t.objects))
 
 # ---- text ----
+
+
+def joined_again(parts, key: str, piece, name: str):
+    """The pieces of each key put together again in order."""
+    piece = F.col(piece) if isinstance(piece, str) else piece
+    return parts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", piece.alias("x")))), lambda p: p["x"]), "\n").alias(name))
+
+
 TOKENS = "(SELECT {key}, p, unnest(CASE WHEN len(ws) > 1 THEN list_prepend(p, ws) ELSE [p] END) AS tok FROM (SELECT {key}, p, string_split(regexp_replace(p, '([a-zа-яё0-9])([A-ZА-ЯЁ])', '\\1 \\2', 'g'), ' ') AS ws FROM (SELECT {key}, unnest(string_split_regex({col}, '[^0-9A-Za-zА-Яа-яЁё]+')) AS p FROM {table}) WHERE p <> ''))"
 op("op_T01_token_counts", q(f"SELECT lower(tok) AS token, count(*) AS n FROM {TOKENS.format(key='chunk_id', col='text_ident', table='k')} GROUP BY 1"))(lambda t: text.token_rows(t.chunks.dropDuplicates(["chunk_id"]), ["chunk_id"], "text_ident").groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 op("op_T01_search_tokens")(lambda t: t.chunks.dropDuplicates(["chunk_id"]).select("chunk_id", text.search_tokens(F.col("name"), F.col("text_ident")).alias("tokens")))
-op("op_T02_split_lines")(lambda t: text.split_lines(t.documents, ["doc_id"], "text").select("doc_id", "part", "weight"))
-op("op_T03_code_chunks")(lambda t: text.code_chunks(t.routines, t.files))
-op("op_T04_doc_chunks")(lambda t: text.doc_chunks(t.doc_units))
-KINDS = "CASE kind " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.KIND_RU.items()) + " ELSE kind END"
+# What is joined again is the text: no line is lost, doubled or cut. How the lines are packed is tested on small texts.
+op("op_T02_split_lines", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL")(lambda t: joined_again(text.split_lines(t.documents, ["doc_id"], "text"), "doc_id", "segment", "text"))
+op("op_T03_code_chunks")(lambda t: text.code_chunks(t.routines, t.files, t.objects))
+op(
+    "op_T03_code_bodies",
+    q("""SELECT routine_id, body FROM (SELECT routine_id, array_to_string((string_split(content, chr(10)))[start_line:end_line], chr(10)) AS body FROM r JOIN (SELECT DISTINCT file_id, content FROM files) f USING (file_id) WHERE content IS NOT NULL AND start_line >= 1 AND end_line >= start_line)
+    WHERE length(regexp_replace(body, '\\s', '', 'g')) >= 80"""),
+)(lambda t: joined_again(text.code_chunks(t.routines, t.files, t.objects), "routine_id", F.expr("substring(text, locate('\n', text) + 1)"), "body"))
+op("op_T04_doc_chunks", q("SELECT unit_id, text FROM (SELECT unit_id, min(text) AS text FROM d WHERE text IS NOT NULL GROUP BY 1)"))(lambda t: joined_again(text.doc_chunks(t.doc_units), "unit_id", F.expr("substring(text, locate('\n', text) + 1)"), "text"))
+op("op_T04_doc_heads", q("SELECT DISTINCT unit_id, title || CASE WHEN len(section_path) > 0 THEN ' ▸ ' || array_to_string(section_path, ' ▸ ') ELSE '' END AS head FROM d WHERE text IS NOT NULL AND title IS NOT NULL"))(lambda t: text.doc_chunks(t.doc_units.where("title is not null")).where("part = 0").select("unit_id", F.regexp_replace(F.substring_index("text", "\n", 1), r" \(часть 1/\d+\)$", "").alias("head")))
+# Fixed values, written out for the SQL: the kinds that the tables have.
+KINDS = "CASE kind WHEN 'Catalog' THEN 'Справочник' WHEN 'Document' THEN 'Документ' WHEN 'Enum' THEN 'Перечисление' WHEN 'InformationRegister' THEN 'Регистр сведений' WHEN 'AccumulationRegister' THEN 'Регистр накопления' WHEN 'CommonModule' THEN 'Общий модуль' WHEN 'Report' THEN 'Отчёт' WHEN 'DataProcessor' THEN 'Обработка' WHEN 'Constant' THEN 'Константа' ELSE kind END"
 op(
     "op_T05_object_cards",
     q(f"""SELECT object_id, fqn || '#object' AS chunk, concat_ws(chr(10), {KINDS} || ' «' || coalesce(synonym, name) || '»', CASE WHEN kind IN ('Catalog', 'Document') THEN 'Реквизиты: ' ELSE 'Поля: ' END || fields) AS card FROM o LEFT JOIN (SELECT tenant_id, owner_fqn AS fqn, array_to_string((list_sort(list(DISTINCT string_split(field_fqn, '.')[-1])))[1:30], ', ') AS fields FROM t GROUP BY 1, 2) f USING (tenant_id, fqn) WHERE kind NOT IN ('Subsystem', 'Role')"""),
@@ -236,10 +245,11 @@ op("op_T13_link_mentions")(lambda t: text.link_mentions(t.doc_units, t.objects))
 op("op_T14_sha1_text", q("SELECT unit_id, sha1(coalesce(title, '') || chr(0) || coalesce(text, '') || chr(0)) AS h FROM d"))(lambda t: t.doc_units.dropDuplicates(["unit_id"]).select("unit_id", text.sha1_text(F.col("title"), F.col("text")).alias("h")))
 
 # ---- parsers ----
-op("op_S13_type_ref", q("SELECT ref_id, category, ref_kind FROM t WHERE category <> 'typeset' AND raw IS NOT NULL"))(lambda t: t.type_refs.where("category <> 'typeset' and raw is not null").dropDuplicates(["ref_id"]).select("ref_id", metadata_xml.type_ref(F.col("raw")).alias("t")).select("ref_id", "t.category", "t.ref_kind"))
-op("op_C02_parse_module")(lambda t: bsl.routines(t.files).drop("calls"))
+op("op_S13_type_ref", q("SELECT ref_id, CASE WHEN category = 'typeset' THEN 'reference' ELSE category END AS category, ref_kind, trim(ref_name) AS ref_name FROM t WHERE raw IS NOT NULL"))(lambda t: t.type_refs.where("raw is not null").dropDuplicates(["ref_id"]).select("ref_id", metadata_xml.type_ref(F.col("raw")).alias("t")).select("ref_id", "t.category", "t.ref_kind", "t.ref_name"))
+RECORDED = "name, start_line, end_line, routine_kind, export, region, directive"
+op("op_C02_parse_module")(lambda t: bsl.routines(t.files))
 op("op_C03_find_calls")(lambda t: bsl.calls(bsl.routines(t.files)))
-op("op_S08_parse_objects")(lambda t: metadata_xml.objects(t.files.where("kind = 'meta'")).drop("details"))
+op("op_S08_parse_objects")(lambda t: metadata_xml.objects(t.files.where("kind = 'meta'")))
 op("op_S23_its_units")(lambda t: trees.its_units(t.files.where(F.lower("path").endswith(".json"))))
 op("op_S24_artifact_units")(lambda t: trees.artifact_units(t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))))
 
@@ -247,30 +257,47 @@ op("op_S24_artifact_units")(lambda t: trees.artifact_units(t.documents.select(F.
 
 
 def query_vectors(t):
-    """The search's input: five given vectors, here those with the least ids."""
-    return t.chunk_vectors.where("size(embedding) = 64").dropDuplicates(["vec_id"]).orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    """The stated query set: every vector whose id is divisible by 20, against all vectors."""
+    return t.chunk_vectors.where("size(embedding) = 64 and vec_id % 20 = 0").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
 op("op_V01_hash_embed")(lambda t: search.hash_embed(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", "text_ident"))
-op("op_V03_l2", "SELECT DISTINCT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS length FROM chunk_vectors WHERE embedding IS NOT NULL")(lambda t: t.chunk_vectors.where("embedding is not null").dropDuplicates(["vec_id"]).select("vec_id", F.round(search.norm(F.col("embedding")), 4).alias("length")))
+op("op_V03_l2", "SELECT vec_id, list_transform(e, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 4)) AS unit FROM (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM chunk_vectors WHERE embedding IS NOT NULL)")(
+    lambda t: t.chunk_vectors.where("embedding is not null").dropDuplicates(["vec_id"]).select("vec_id", F.transform(search.l2(F.col("embedding").cast("array<double>")), lambda x: F.round(x, 4)).alias("unit"))
+)
 op(
     "op_V05_exact_top_k",
-    """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 64), qs AS (SELECT vec_id AS query_id, e AS q FROM v ORDER BY vec_id LIMIT 5),
+    """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE len(embedding) = 64), qs AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % 20 = 0),
     x AS (SELECT query_id, vec_id, list_cosine_similarity(e, q) AS c FROM v, qs WHERE list_dot_product(e, e) > 0 AND list_dot_product(q, q) > 0)
     SELECT query_id, vec_id, round((1 + c) / 2, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 6) DESC, vec_id)::INTEGER AS place FROM x) WHERE place <= 10""",
 )(lambda t: search.exact_top_k(t.chunk_vectors, query_vectors(t)))
-op("op_V06_chunk_filter", q("SELECT chunk_id, tenant_id FROM k WHERE chunk_kind IN ('code', 'object') AND config_id IN ('base')"))(lambda t: search.chunk_filter(t.chunks.dropDuplicates(["chunk_id"]), kinds=["code", "object"], configs=["base"]).select("chunk_id", "tenant_id"))
 op("op_V07_selectivity", q("SELECT least(count(*), 50000) < 50000 AS exact FROM chunks WHERE chunk_kind = 'object'"))(lambda t: search.selectivity(search.chunk_filter(t.chunks, kinds=["object"])))
-TERMS = "terms(query_id, term, prefix) AS (VALUES " + ", ".join(f"({i}, '{w}', {str(p).lower()})" for i, x in TEXTS.items() for w, p in search.query_terms(x)) + ")"
-op(
-    "op_V09_bm25",
-    BASE.rstrip()
-    + f""", {TERMS}, w AS (SELECT chunk_id, lower(tok) AS token, 1 AS w FROM {TOKENS.format(key="chunk_id", col="text", table="k")} UNION ALL SELECT chunk_id, lower(tok), 5 FROM {TOKENS.format(key="chunk_id", col="text_ident", table="k")}),
-    tf AS (SELECT chunk_id, token, sum(w) AS tf FROM w GROUP BY 1, 2), dl AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+# Written out for the SQL: the words of TEXTS; long Cyrillic ones without their last two letters, as beginnings.
+TERMS = """terms(query_id, term, prefix) AS (VALUES (1, 'учёт', false), (1, 'тары', false), (1, 'сохраня', true), (1, 'верс', true), (1, 'объек', true), (2, 'найти', false), (2, 'склад', false), (2, 'прих', true), (3, 'shift', false), (3, 'planner', false), (3, 'enum', false), (3, 'values', false))"""
+FULL = {"text": 1, "text_ident": 5, "name": 10}
+INDEXES: dict = {}
+
+
+def full_text(t) -> search.FullText:
+    """The index of the chunks' texts and names, built once for a session and scale."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in INDEXES:
+        INDEXES[key] = search.FullText.build(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", FULL, f"{shared_dir(t.spark)}/full-text-{uuid.uuid4().hex}")
+    return INDEXES[key]
+
+
+def bm25_sql(idf: str) -> str:
+    weighed = " UNION ALL ".join(f"SELECT chunk_id, lower(tok) AS token, {w} AS w FROM {TOKENS.format(key='chunk_id', col=f, table='k')}" for f, w in FULL.items())
+    return BASE.rstrip() + f""", {TERMS}, w AS ({weighed}),
+    tf AS (SELECT chunk_id, token, sum(w) AS tf, count(*) AS c FROM w GROUP BY 1, 2), dl AS (SELECT chunk_id, sum(c) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
     hit AS (SELECT query_id, term, chunk_id, sum(tf) AS tf FROM tf JOIN terms ON token = term OR (prefix AND starts_with(token, term)) GROUP BY 1, 2, 3), df AS (SELECT query_id, term, count(*) AS df FROM hit GROUP BY 1, 2),
-    sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM hit JOIN df USING (query_id, term) JOIN dl USING (chunk_id), st GROUP BY 1, 2)
-    SELECT query_id::BIGINT AS query_id, chunk_id, score, place, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE place <= 10""",
-)(lambda t: search.bm25(t.chunks.dropDuplicates(["chunk_id"]), "chunk_id", {"text": 1, "text_ident": 5}, TEXTS))
+    sc AS (SELECT query_id, chunk_id, round(sum({idf} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM hit JOIN df USING (query_id, term) JOIN dl USING (chunk_id), st GROUP BY 1, 2)
+    SELECT query_id::BIGINT AS query_id, chunk_id, score, place, total FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS place, count(*) OVER (PARTITION BY query_id) AS total FROM sc) WHERE place <= 10"""
+
+
+op("op_V08_full_text", bm25_sql("ln(1 + (n - df + 0.5) / (df + 0.5))"))(lambda t: full_text(t).search(TEXTS))
+op("op_V09_bm25", bm25_sql("greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)"))(lambda t: full_text(t).search(TEXTS, form="fts"))
+op("op_V09_snippets")(lambda t: full_text(t).search({1: TEXTS[1]}).join(t.chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "text"), "chunk_id").select("chunk_id", "place", search.snippet(F.col("text"), TEXTS[1]).alias("snippet")))
 op(
     "op_K07_postings",
     q(f"SELECT chunk_id, token, tf::BIGINT AS tf, (sum(tf) OVER (PARTITION BY chunk_id))::BIGINT AS dl FROM (SELECT chunk_id, lower(tok) AS token, count(*) AS tf FROM {TOKENS.format(key='chunk_id', col='text_ident', table='k')} GROUP BY 1, 2)"),
@@ -282,7 +309,7 @@ op("op_V15_semantic_search")(lambda t: search.semantic_search(t.chunks, t.chunk_
 def hybrid(t):
     ids = t.chunk_vectors.where("size(embedding) = 64").dropDuplicates(["vec_id"]).orderBy("vec_id").limit(len(TEXTS))
     qv = ids.select(F.row_number().over(Window.orderBy("vec_id")).cast("bigint").alias("query_id"), F.col("embedding").alias("qvec"))  # a few rows
-    return search.hybrid_search(t.chunks, t.chunk_vectors, qv, TEXTS)
+    return search.hybrid_search(t.chunks, t.chunk_vectors, qv, TEXTS, full_text(t))
 
 
 op("op_V16_hybrid_search")(hybrid)
@@ -350,19 +377,15 @@ op("op_H13_fingerprint")(lambda t: state.fingerprint(t.files, "tenant_id", ["pat
 
 # ---- metrics ----
 op("op_A01_objects_by_kind", q("SELECT tenant_id, kind, count(*) AS n FROM o GROUP BY 1, 2"))(lambda t: metrics.objects_by(t.objects, "kind"))
-op(
-    "op_A02_kinds_within",
-    BASE.rstrip().replace("WITH o AS", "WITH RECURSIVE o AS", 1) + ", w AS (SELECT DISTINCT fqn AS root, fqn AS node, 0 AS n FROM o WHERE kind = 'Report' UNION SELECT root, dst, n + 1 FROM w JOIN (SELECT DISTINCT src, dst FROM refs) ON src = node WHERE n < 20) SELECT root, kind, count(DISTINCT node) AS n FROM (SELECT DISTINCT root, node FROM w) JOIN (SELECT DISTINCT fqn, kind FROM o) x ON x.fqn = node GROUP BY 1, 2",
-)(lambda t: metrics.kinds_within(metadata.reference_edges(t.type_refs).select(F.col("src").alias("parent"), F.col("dst").alias("child")), t.objects, metadata.current(t.objects).where("kind = 'Report'")))
 op("op_A03_calls_by_kind", g("SELECT kind, confidence, count(*) AS n FROM e GROUP BY 1, 2"))(lambda t: metrics.calls_by_kind(edges(t)))
-op("op_A04_entry_points", BASE.rstrip() + f", {ENTRY} SELECT category, count(*) AS n FROM r JOIN entries ON low = lower(name) GROUP BY 1")(lambda t: metrics.entry_points_by(t.routines))
+op("op_A04_entry_points", BASE.rstrip() + SPREAD + "SELECT category, count(*) AS n FROM en JOIN entries ON low = lower(name) GROUP BY 1")(lambda t: metrics.entry_points_by(spread_entries(t)))
 op("op_A04_overrides_by_mode", q("SELECT override_mode, count(*) AS n FROM r WHERE override_mode IS NOT NULL GROUP BY 1"))(lambda t: metrics.overrides_by_mode(t.routines))
 op("op_A05_fan_in", g("SELECT tenant_id, callee AS fqn, count(DISTINCT caller) AS n FROM e GROUP BY 1, 2 ORDER BY n DESC, fqn, tenant_id LIMIT 10"))(lambda t: metrics.top_fan(edges(t), "callee"))
 op("op_A05_fan_out", g("SELECT tenant_id, caller AS fqn, count(DISTINCT callee) AS n FROM e GROUP BY 1, 2 ORDER BY n DESC, fqn, tenant_id LIMIT 10"))(lambda t: metrics.top_fan(edges(t), "caller"))
 op("op_A06_code_bytes", "SELECT tenant_id, source, kind, count(*) AS n_files, sum(coalesce(strlen(content), 0))::BIGINT AS n_bytes, sum(CASE WHEN content IS NULL THEN 0 ELSE len(string_split(content, chr(10))) END)::BIGINT AS n_lines FROM files GROUP BY 1, 2, 3")(lambda t: metrics.code_bytes(t.files))
 op("op_A09_counts", "SELECT 'calls' AS label, count(DISTINCT call_id) AS n FROM calls UNION ALL SELECT 'chunks', count(DISTINCT chunk_id) FROM chunks UNION ALL SELECT 'objects', count(DISTINCT object_id) FROM objects UNION ALL SELECT 'routines', count(DISTINCT routine_id) FROM routines")(lambda t: metrics.counts({"objects": (t.objects, "object_id"), "routines": (t.routines, "routine_id"), "calls": (t.calls, "call_id"), "chunks": (t.chunks, "chunk_id")}))
 STATEMENT = "SELECT object, count(*) AS n FROM symbols WHERE export = 1 GROUP BY object ORDER BY n DESC, object LIMIT 50"
-op("op_A11_gateway", STATEMENT)(lambda t: metrics.gateway(t.spark, STATEMENT, {"symbols": t.symbols, "calls": t.calls, "files": t.files}))
+op("op_A11_gateway", f"SELECT *, false AS truncated FROM ({STATEMENT})")(lambda t: metrics.gateway(t.spark, STATEMENT, {"symbols": t.symbols, "calls": t.calls, "files": t.files}))
 op("op_A12_parse_stats", g("SELECT kind, count(*) AS n FROM res GROUP BY 1"))(lambda t: code.parse_stats(code.resolve_calls(t.calls, t.routines, t.objects)))
 op("op_A13_top_methods", q("SELECT method_low, n, total, n_values, n_values > 20 AS truncated FROM (SELECT method_low, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total, count(*) OVER () AS n_values FROM c GROUP BY 1) ORDER BY n DESC, method_low LIMIT 20"))(lambda t: metrics.top_with_total(t.calls.select("call_id", "method_low").distinct(), "method_low"))
 

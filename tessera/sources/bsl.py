@@ -31,16 +31,20 @@ ISLAND = re.compile(
     |(?:(?P<qualifier>(?<![\w.])[^\W\d]\w*|(?<=\.)[^\W\d]\w*)[^\S\n]*\.[^\S\n]*)?(?<!\w)(?P<method>[^\W\d]\w*)[^\S\n]*(?=\()""",
     re.I | re.X,
 )
+SIGNATURE = re.compile(rf"{LITERAL}|//[^\n]*|[()]|(?P<head>^[^\S\n]*(?:процедура|функция|procedure|function)\s+[^\W\d]\w*\s*\()", re.I | re.M)
 EXPORT = re.compile(r"\s*(?:экспорт|export)(?!\w)", re.I)
 ROUTINE = "name string, kind string, export boolean, start_line int, end_line int, region string, directive string, override_mode string, override_target string, unterminated boolean, calls array<struct<qualifier:string,method:string,line:int>>"
 
 
 def _signature_end(text: str, at: int) -> int:
+    """The place after the bracket that closes the signature, or the next routine's head or the file's end."""
     depth = 0
-    for m in re.finditer(rf"{LITERAL}|//[^\n]*|[()]", text[at : at + 20_000]):
+    for m in SIGNATURE.finditer(text, at):
+        if m["head"]:
+            return m.start()
         depth += {"(": 1, ")": -1}.get(m[0], 0)
         if not depth and m[0] == ")":
-            return at + m.end()
+            return m.end()
     return len(text)
 
 

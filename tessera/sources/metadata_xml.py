@@ -37,7 +37,7 @@ def type_ref(raw: Column) -> Column:
     alias = F.create_map(*[F.lit(x) for kv in KIND_ALIASES.items() for x in kv])
     plain = prefix.isin(*PLAIN_PREFIXES) | ((prefix == "") & (name == ""))
     k, n = F.when(name != "", kind).otherwise(bare), F.when(name != "", name).otherwise(bare_name)
-    return F.struct(F.when(plain, "primitive").otherwise("reference").alias("category"), F.when(~plain & (n != ""), F.coalesce(alias[k], k)).alias("ref_kind"), F.when(~plain & (n != ""), n).alias("ref_name"))
+    return F.struct(F.when(plain, "primitive").otherwise("reference").alias("category"), F.when(~plain & (n != ""), F.coalesce(alias[k], k)).alias("ref_kind"), F.when(~plain & (n != ""), F.trim(n)).alias("ref_name"))
 
 
 def resolve_type(raw: str) -> tuple[str, str | None, str | None]:
@@ -47,7 +47,7 @@ def resolve_type(raw: str) -> tuple[str, str | None, str | None]:
     m = re.match(rf"(.+?)(?:{TYPE_SUFFIXES})\.(.+)$", local) or (re.match(r"([^.]+)\.(.+)$", local) if prefix else None)
     if prefix in PLAIN_PREFIXES or not prefix and not m:
         return "primitive", None, None
-    return ("reference", KIND_ALIASES.get(m[1], m[1]), m[2]) if m else ("reference", None, None)
+    return ("reference", KIND_ALIASES.get(m[1], m[1]), m[2].strip()) if m else ("reference", None, None)
 
 
 class View:
@@ -255,16 +255,44 @@ def parse_service(root: ET.Element) -> list[dict]:
     return out
 
 
-def parse_dcs(root: ET.Element, fields: int = 80, query: int = 8000) -> dict:
-    """Data sets with fields and query, parameters and variants of a composition schema."""
-    v = View(root)
-    sets = []
-    for d in v.many("dataSet"):
-        own = [{"field": f.text("dataPath") or f.text("field"), "title": synonym(f, "title") or f.text("title")} for f in d.many("field")]
-        own = [f for f in own if f["field"] or f["title"]]
-        text = d.text("query")
-        sets.append({"name": d.text("name"), "n_fields": len(own), "fields": own[:fields], "truncated": len(own) > fields, "query": text[:query], "query_chars": len(text)})
-    return {"data_sets": sets, "parameters": [p.text("name") for p in v.many("parameter")], "variants": [x for x in (s.text("name") for s in v.many("settingsVariant")) if x]}
+#: Fields of a data set and characters of its query that a schema's record shows.
+DCS_FIELDS, DCS_QUERY = 80, 8000
+
+
+def dcs_rows(root: ET.Element) -> list[tuple[str, str | None, str | None, str | None]]:
+    """A composition schema as rows (part, set, name, value), whole and in the file's order: ``set``, ``query``,
+    ``field`` with its title, ``parameter``, ``variant``."""
+    def named(el: ET.Element, tag: str):
+        return [View(c) for c in el if isinstance(c.tag, str) and c.tag.rpartition("}")[2] == tag]
+
+    rows: list[tuple] = []
+    for d in named(root, "dataSet"):
+        own = d.text("name")
+        rows.append(("set", own, own, None))
+        rows += [("query", own, None, q.el.text or "") for q in named(d.el, "query")]
+        for f in named(d.el, "field"):
+            name, title = f.text("dataPath", default="") or f.text("field"), synonym(f, "title") or f.text("title")
+            if name or title:
+                rows.append(("field", own, name, title))
+    rows += [("parameter", None, p.text("name"), None) for p in named(root, "parameter")]
+    rows += [("variant", None, v.text("name"), None) for v in named(root, "settingsVariant") if v.text("name")]
+    return rows
+
+
+def parse_dcs(root: ET.Element) -> dict:
+    """The rows of a composition schema as one record, with totals beside what is cut."""
+    rows = dcs_rows(root)
+    sets = {name: {"name": name, "fields": [], "n_fields": 0, "query": "", "query_chars": 0} for part, _, name, _ in rows if part == "set"}
+    for part, own, name, value in rows:
+        if part == "field":
+            sets[own]["n_fields"] += 1
+            if sets[own]["n_fields"] <= DCS_FIELDS:
+                sets[own]["fields"].append({"field": name, "title": value})
+        elif part == "query":
+            sets[own].update(query=value.strip()[:DCS_QUERY], query_chars=len(value.strip()))
+    for s in sets.values():
+        s["truncated"] = s["n_fields"] > DCS_FIELDS
+    return {"data_sets": list(sets.values()), "parameters": [n for p, _, n, _ in rows if p == "parameter"], "variants": [n for p, _, n, _ in rows if p == "variant"]}
 
 
 def template_type(path: Column) -> Column:
@@ -273,27 +301,97 @@ def template_type(path: Column) -> Column:
     return table[F.lower(F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1))]
 
 
-OBJECT = "path string, kind string, name string, fqn string, synonym string, belonging string, fields array<struct<fqn:string,name:string,role:string,type_text:string,required:boolean>>, tabular array<string>, forms array<string>, owners array<string>, details map<string,string>, error string"
+TYPE = "struct<raw:string,category:string,ref_kind:string,ref_name:string>"
+FIELD = f"struct<fqn:string,name:string,role:string,synonym:string,comment:string,type_text:string,required:boolean,types:array<{TYPE}>>"
+RECORD = {
+    "tenant_id": "string", "config_id": "string", "path": "string", "kind": "string", "name": "string", "fqn": "string", "synonym": "string", "comment": "string", "uuid": "string", "belonging": "string", "fields": f"array<{FIELD}>",
+    "tabular": f"array<struct<fqn:string,name:string,synonym:string,fields:array<{FIELD}>>>", "enum_values": "array<struct<fqn:string,name:string,synonym:string>>", "predefined": "array<struct<fqn:string,name:string,code:string,description:string,is_folder:boolean>>",
+    "forms": "array<string>", "owners": "array<string>", "register_records": "array<string>", "content": "array<string>", "subsystems": "array<string>", "source_types": f"array<{TYPE}>", "event": "string", "handler_module": "string", "handler_method": "string",
+    "flags": "map<string,string>", "details": "map<string,string>", "error": "string",
+}
+#: The row of an object that is not read.
+KEYS = ("tenant_id", "config_id", "path")
 
 
-def objects(files: DataFrame) -> DataFrame:
-    """Objects of metadata files (path, content); a file that does not parse is told by ``error``."""
+def _nested(path: str) -> str | None:
+    """The fqn of a subsystem inside others, by its path."""
+    names = [re.sub(r"\.[A-Za-z]+$", "", x) for x in re.findall(r"Subsystems/([^/]+)", path)]
+    return ".".join(f"Subsystem.{n}" for n in names) if len(names) > 1 else None
+
+
+def each_file(files: DataFrame, schema: dict[str, str], parse, keys: tuple = KEYS) -> DataFrame:
+    """Rows of files (keys..., path, content) that are markup: ``parse(path, root)`` gives dicts for one file. A file that
+    does not parse gives one row with ``error``, null content none; keys that the files lack are null."""
+    own = [F.col(k) if k in files.columns else F.lit(None).cast("string").alias(k) for k in keys]
 
     def run(batches):
         import pandas as pd
 
-        names = [c.split()[0] for c in OBJECT.split(", ")]
         for b in batches:
             rows = []
-            for path, content in zip(b["path"], b["content"]):
+            for at in b.itertuples(index=False):
+                key, content = dict(zip(keys, at)), at[-1]
                 if content is None:
                     continue
                 try:
-                    o = parse_object(ET.fromstring(content.removeprefix("﻿").encode()))
-                    flat = [*o["fields"], *[f for t in o["tabular"] for f in t["fields"]]]
-                    rows.append({**{n: o.get(n) for n in names if n not in ("path", "error")}, "fields": [{k: f[k] for k in ("fqn", "name", "role", "type_text", "required")} for f in flat], "tabular": [t["fqn"] for t in o["tabular"]], "path": path, "error": None})
+                    root = ET.fromstring(content.removeprefix("﻿").encode())
+                    rows += [{**key, "error": None, **r} for r in parse(key["path"], root)]
                 except (ET.ParseError, StopIteration) as e:
-                    rows.append(dict.fromkeys(names) | {"path": path, "error": str(e) or "no object"})
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows.append({**key, "error": str(e) or "no object"})
+            out = pd.DataFrame(rows, columns=list(schema), dtype=object)
+            yield out.where(out.notna(), None) if len(out) else out
+
+    return files.select(*own, "content").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in schema.items()))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """One record an object file (tenant_id, config_id, path, content), with all its parts."""
+
+    def parse(path, root):
+        o = parse_object(root, _nested(path or ""))
+        yield {k: o.get(k) for k in RECORD if k not in (*KEYS, "error")}
+
+    return each_file(files, RECORD, parse)
+
+
+def objects(files: DataFrame) -> DataFrame:
+    """Objects of metadata files, flat: all fields in one list, tabular sections by name."""
+    r = records(files)
+    flat = F.concat("fields", F.flatten(F.transform("tabular", lambda t: t["fields"])))
+    short = F.transform(flat, lambda f: F.struct(f["fqn"].alias("fqn"), f["name"].alias("name"), f["role"].alias("role"), f["type_text"].alias("type_text"), f["required"].alias("required")))
+    return r.select("path", "kind", "name", "fqn", "synonym", "belonging", short.alias("fields"), F.transform("tabular", lambda t: t["fqn"]).alias("tabular"), "forms", "owners", "details", "error")
+
+
+def rights(files: DataFrame) -> DataFrame:
+    """(tenant_id, config_id, path, role, object, granted) of files of rights; the role is the folder's name."""
+    schema = {"tenant_id": "string", "config_id": "string", "path": "string", "role": "string", "object": "string", "granted": "array<string>", "error": "string"}
+
+    def parse(path, root):
+        role = re.search(r"Roles/([^/]+)", path or "")
+        yield from ({"role": role[1] if role else None, "object": r["object"], "granted": r["granted"]} for r in parse_rights(root))
+
+    return each_file(files, schema, parse)
+
+
+def forms(files: DataFrame) -> DataFrame:
+    """(tenant_id, config_id, path, form, attributes, commands, items, handlers, text) of form files; the form is
+    the fqn that the path tells."""
+    event = "struct<event:string,handler:string,element:string>"
+    schema = {"tenant_id": "string", "config_id": "string", "path": "string", "attributes": "array<struct<name:string,types:array<string>>>", "commands": "array<struct<name:string,action:string>>", "items": "array<struct<name:string,tag:string,trail:string,data_path:string,command:string>>", "handlers": f"array<{event}>", "text": "string", "error": "string"}
+
+    def parse(path, root):
+        yield {**parse_form(root), "text": form_text(root)}
+
+    return each_file(files, schema, parse)
+
+
+def services(files: DataFrame) -> DataFrame:
+    """(tenant_id, config_id, path, name, method, handler, params): the operations of service files."""
+    schema = {"tenant_id": "string", "config_id": "string", "path": "string", "name": "string", "method": "string", "handler": "string", "params": "array<string>", "error": "string"}
+    return each_file(files, schema, lambda path, root: parse_service(root))
+
 
-    return files.select("path", "content").mapInPandas(run, OBJECT)
+def schemas(files: DataFrame) -> DataFrame:
+    """(tenant_id, config_id, path, part, set, name, value): composition schemas, row by row."""
+    schema = {"tenant_id": "string", "config_id": "string", "path": "string", "part": "string", "set": "string", "name": "string", "value": "string", "error": "string"}
+    return each_file(files, schema, lambda path, root: (dict(zip(("part", "set", "name", "value"), r)) for r in dcs_rows(root)))

@@ -95,22 +95,30 @@ def load_manifest(path: str) -> list[dict]:
     return entries
 
 
+UNIT = "id string, title string, section_path array<string>, text string, version_hash string, related_fqns array<string>, source_url string, lang string, doc_topic string, corpus_version string"
+
+
 def its_units(files: DataFrame, defaults: dict | None = None) -> DataFrame:
-    """Document units of JSON files (path, content): an object or a list of objects each. Units without
-    text are left out; a missing id or hash is made from title and text; a record's value beats the default."""
-    schema = "id string, title string, section_path array<string>, text string, version_hash string, related_fqns array<string>, source_url string, lang string"
-    one = F.from_json("content", schema)
-    rows = files.select(F.explode(F.when(F.ltrim(F.regexp_replace("content", "^﻿", "")).startswith("["), F.from_json(F.regexp_replace("content", "^﻿", ""), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")).otherwise(F.array(one))).alias("u")).select("u.*")
-    rows = rows.where(F.trim("text") != "")
-    h = F.coalesce("version_hash", sha1_text(F.col("title"), F.col("text")))
-    lang = F.coalesce("lang", F.lit((defaults or {}).get("lang")))
-    return rows.select(F.coalesce("id", sha1_text(F.col("title"), F.col("text"))).alias("external_id"), "title", "section_path", "text", h.alias("version_hash"), "related_fqns", "source_url", lang.alias("lang"))
+    """Document units of JSON files (path, content): an object or a list of objects each. Units without text and files
+    that are no JSON are left out; a missing id is the first 16 letters of the hash of address and text, a missing
+    version the hash of the text; a record's topic and corpus version beat the source's."""
+    d = defaults or {}
+    body = F.regexp_replace("content", "^\ufeff", "")
+    many = f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in UNIT.split(', '))}>>"
+    rows = files.select(F.explode(F.when(F.ltrim(body).startswith("["), F.from_json(body, many)).otherwise(F.array(F.from_json(body, UNIT)))).alias("u")).select("u.*")
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = rows.withColumn("text", text).where("text <> ''")
+    own = F.coalesce("id", F.substring(sha1_text(F.coalesce("source_url", F.lit("")), F.col("text")), 1, 16))
+    topic, version = F.coalesce("doc_topic", F.lit(d.get("doc_topic") or "config")), F.coalesce("corpus_version", F.lit(d.get("corpus_version")))
+    return rows.select(own.alias("external_id"), F.coalesce("title", own).alias("title"), F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), "text", F.coalesce("version_hash", sha1_text(F.col("text"))).alias("version_hash"), F.coalesce("related_fqns", F.array().cast("array<string>")).alias("links"), "source_url", "lang", topic.alias("doc_topic"), version.alias("corpus_version"))
 
 
 def artifact_units(files: DataFrame) -> DataFrame:
-    """A unit for each section of Markdown files (path, content) that has text, called ``path#n``."""
-    s = markdown_sections(files.select(F.col("path").alias("file"), "content"), "file", "content").where(F.trim("body") != "")
-    return s.select(F.concat_ws("#", "file", "nth").alias("external_id"), "title", "file", F.col("body").alias("text"), sha1_text(F.col("title"), F.col("body")).alias("version_hash"))
+    """A unit for each section of Markdown files (path, content) that has text, called ``path#n``; titled by its
+    heading, or by the file's name before the first."""
+    s = markdown_sections(files.select(F.col("path").alias("file"), "content"), "file", "content").where("body <> ''")
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    return s.select(F.concat_ws("#", "file", "nth").alias("external_id"), F.when(F.col("title") != "", F.col("title")).otherwise(name).alias("title"), "file", F.col("path").alias("section_path"), F.col("body").alias("text"), sha1_text(F.col("body")).alias("version_hash"))
 
 
 def crawl(listing: DataFrame, stored: DataFrame, read_page) -> DataFrame:

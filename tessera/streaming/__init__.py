@@ -15,8 +15,11 @@ from tessera.operators.state import upsert
 
 
 class VersionedTable:
-    """A table in a folder, written as a new version each time; a pointer file names the one that counts, so
-    that readers see either the old or the new table."""
+    """A table in a folder, written as a new version each time; an empty file ``done-<version>-<folder>`` names the one
+    that counts, the greatest, so that readers see either the old or the new table. Versions go on by one from the
+    last, whoever writes. ``KEPT`` versions stay for readers that began before; older ones are removed."""
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -24,19 +27,27 @@ class VersionedTable:
         self.path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[tuple[int, str, str]]:
+        """(version, folder, mark) of all tables that are there whole, the oldest first."""
+        here = self.path(self.folder)
+        names = [s.getPath().getName() for s in self.fs.listStatus(here)] if self.fs.exists(here) else []
+        return sorted((int(n.split("-", 2)[1]), n.split("-", 2)[2], n) for n in names if n.startswith("done-"))
+
     def current(self) -> str | None:
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.folder))] if self.fs.exists(self.path(self.folder)) else []
-        done = sorted(n for n in names if n.startswith("done-"))
-        return f"{self.folder}/{done[-1].split('-', 2)[2]}" if done else None
+        done = self.versions()
+        return f"{self.folder}/{done[-1][1]}" if done else None
 
     def read(self) -> DataFrame | None:
         at = self.current()
         return self.spark.read.parquet(at) if at else None
 
-    def replace(self, df: DataFrame, number: int) -> None:
-        name = uuid.uuid4().hex
+    def replace(self, df: DataFrame) -> None:
+        name, done = uuid.uuid4().hex, self.versions()
         df.write.parquet(f"{self.folder}/{name}")
-        self.fs.createNewFile(self.path(f"{self.folder}/done-{number:012d}-{name}"))
+        self.fs.createNewFile(self.path(f"{self.folder}/done-{(done[-1][0] + 1 if done else 0):012d}-{name}"))
+        for _, folder, mark in self.versions()[: -self.KEPT]:
+            self.fs.delete(self.path(f"{self.folder}/{mark}"), False)
+            self.fs.delete(self.path(f"{self.folder}/{folder}"), True)
 
 
 def ingest_stream(stream: DataFrame, target: VersionedTable, keys: list[str], order: str, checkpoint: str, once: bool = True):
@@ -46,7 +57,7 @@ def ingest_stream(stream: DataFrame, target: VersionedTable, keys: list[str], or
     def merge(batch: DataFrame, number: int) -> None:
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
         old = target.read()
-        target.replace(last if old is None else upsert(old, last, keys), number)
+        target.replace(last if old is None else upsert(old, last, keys))
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")).start()

@@ -13,10 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, as in
-    tests, a temporary folder of this machine is set."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a local
+    session, as in tests, gets a temporary folder of its machine, and any other is an error."""
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(there)
     return there

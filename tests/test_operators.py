@@ -60,6 +60,18 @@ def test_split_lines_against_brute_force(spark):
     body = "\n".join(["слово " * 10] * 5 + [""] + ["x" * 30] * 8 + ["y" * 200])
     rows = text.split_lines(spark.createDataFrame([(1, body), (2, ""), (3, None)], "k int, t string"), ["k"], "t", 100).orderBy("k", "part").collect()
     one = [r for r in rows if r.k == 1]
+    rng = random.Random(4)
+    for _ in range(400):
+        t = "\n".join(rng.choice(["", " ", "a" * rng.randint(1, 12), "b c"]) for _ in range(rng.randint(1, 30)))
+        want, held, weight = [], [], 0
+        for line in t.split("\n"):
+            n = len(line.replace(" ", ""))
+            if held and (weight >= 10 and n or weight > 10 and not n):
+                want.append("\n".join(held))
+                held, weight = [], 0
+            held.append(line)
+            weight += n
+        assert [x for x, _ in text.segments(t, 10)] == [*want, "\n".join(held)], t
     assert "\n".join(r.segment for r in one) == body and [r.k for r in rows if r.k > 1] == [2]
     for a in one[:-1]:
         assert a.weight > 0
@@ -67,8 +79,8 @@ def test_split_lines_against_brute_force(spark):
 
 def test_markdown(spark):
     md = "pre\n# A\nx\n## B\ny\n# C\n"
-    rows = text.markdown_sections(spark.createDataFrame([(1, md), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("nth").collect()
-    assert [(r.title, list(r.path), r.body) for r in rows] == [(None, [], "pre"), ("A", [], "x"), ("B", ["A"], "y"), ("C", [], "")]
+    rows = text.markdown_sections(spark.createDataFrame([(1, md), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("nth", F.desc("body")).collect()
+    assert [(r.title, list(r.path), r.body) for r in rows] == [("", [], "pre"), ("", [], ""), ("A", [], "x"), ("B", ["A"], "y"), ("C", [], "")]
 
 
 def test_mentions(spark):
@@ -160,11 +172,24 @@ def test_documents(spark):
 
 def test_gateway(spark):
     s = spark.createDataFrame([("a", 1), ("b", 2)], "name string, export int")
-    assert metrics.gateway(spark, "SELECT name FROM symbols WHERE export = 2;", {"symbols": s}).collect()[0].name == "b"
-    for bad in ("DELETE FROM symbols", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) DELETE FROM symbols", "SELECT 'drop'", "", "SHOW TABLES"):
+    tables = {"symbols": s, "calls": s}
+
+    def run(q, **how):
+        return metrics.gateway(spark, q, tables, **how).collect()
+
+    assert run("SELECT name FROM symbols WHERE export = 2;")[0].name == "b"
+    assert run("SELECT replace(name, 'a', 'drop; x') AS r FROM symbols ORDER BY 1 DESC")[0].r == "drop; x"
+    assert run("WITH x AS (SELECT * FROM symbols), y AS (SELECT * FROM x) SELECT count(*) AS n FROM y JOIN calls USING (name) WHERE y.export IN (SELECT export FROM calls) AND EXISTS (SELECT 1 FROM x)")[0].n == 2
+    assert [r.truncated for r in run("SELECT * FROM symbols", cap=1)] == [True] and [r.truncated for r in run("SELECT * FROM symbols", cap=2)] == [False] * 2
+    assert run("SELECT 1 AS truncated")[0].asDict() == {"truncated": 1, "truncated_": False}
+    for bad in (
+        "DELETE FROM symbols", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) DELETE FROM symbols", "", "SHOW TABLES", "INSERT INTO symbols SELECT * FROM calls", "SET a=b", "CREATE VIEW a AS SELECT 1", "EXPLAIN SELECT 1",
+        "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM symbols WHERE name IN (SELECT value FROM text.`/etc/hosts`)", "WITH x AS (SELECT * FROM csv.`/etc/hosts`) SELECT * FROM x", "SELECT (SELECT max(value) FROM text.`/etc/hosts`)",
+        "SELECT reflect('java.lang.System', 'getProperty', 'java.version')", "SELECT java_method('java.lang.System', 'getProperty', 'java.version')", "SELECT input_file_name() FROM symbols", "SELECT * FROM range(3)", "SELECT TRANSFORM(name) USING 'cat' FROM symbols", "SELECT * FROM other", "SELECT current_user()",
+    ):
         with pytest.raises(metrics.Rejected):
-            metrics.guard(bad)
-    assert metrics.gateway(spark, "SELECT * FROM symbols", {"symbols": s}, cap=1).count() == 1
+            run(bad)
+    assert not [t.name for t in spark.catalog.listTables() if t.name in tables]
 
 
 def test_scope_and_jobs(spark):

@@ -1,5 +1,6 @@
 """Parsers of modules, metadata, help books, diffs and documents."""
 
+import hashlib
 import io
 import struct
 import xml.etree.ElementTree as ET
@@ -117,8 +118,20 @@ def book() -> bytes:
 def test_help_book(spark):
     rows = help.pages(spark.createDataFrame([("/x/8.3.27.1/shcntx_ru.hbk", bytearray(book())), ("/x/empty.hbk", None)], "path string, content binary")).collect()
     assert [(r.version, r.help_kind, r.name, r.en_name) for r in rows] == [("8.3.27.1", "context", "Найти", "Find")] and "Текст" in rows[0].text
-    with pytest.raises(ValueError):
-        help.document(b"\0" * 64, 16)
+    with pytest.raises(help.Damaged):
+        help.Container(b"\0" * 64).document(16)
+    bad = help.pages(spark.createDataFrame([("/x/shclang_ru.hbk", bytearray(book()[:60]))], "path string, content binary")).collect()
+    assert len(bad) == 1 and bad[0].error and bad[0].help_kind == "client_language" and bad[0].version is None
+    assert [(p, v, k) for p, v, k in help.validate(["/a/8.3.27.1/shcntx_ru.hbk", "/a/x.txt", "/a/8.3.27.1/shcntx_ru.hbk"])] == [("/a/8.3.27.1/shcntx_ru.hbk", "8.3.27.1", "context")]
+    for none in ([], ["/a/x.txt"]):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            help.validate(none)
+    assert help.version_of("/a/8.3.27/b") is None
+
+
+def test_long_signatures():
+    m = bsl.parse_module("Процедура А(" + ", ".join(f"П{i}" for i in range(4000)) + ") Экспорт\nБ();\nКонецПроцедуры\nПроцедура В(\nПроцедура Г()\nД();\nКонецПроцедуры")
+    assert [(r["name"], r["export"], [c["method"] for c in r["calls"]]) for r in m] == [("А", True, ["Б"]), ("В", False, []), ("Г", False, ["Д"])]
 
 
 def test_diff():
@@ -150,9 +163,12 @@ def _empty(tmp_path):
 def test_units(spark):
     files = spark.createDataFrame([("a.json", '{"id": "1", "title": "Т", "text": "x"}'), ("b.json", '[{"title": "Б", "text": "y", "version_hash": "h"}, {"id": "2", "text": " "}]'), ("c.json", "{bad")], "path string, content string")
     rows = sorted((r.title, r.version_hash) for r in trees.its_units(files, {"lang": "ru"}).collect())
-    assert len(rows) == 2 and rows[0] == ("Б", "h") and len(rows[1][1]) == 40
+    assert len(rows) == 2 and rows[0] == ("Б", "h") and rows[1] == ("Т", hashlib.sha1(b"x\0").hexdigest())
+    one = trees.its_units(spark.createDataFrame([("d.json", '{"text": " y ", "source_url": "u"}')], "path string, content string"), {"doc_topic": "x"}).first()
+    assert one.external_id == one.title == hashlib.sha1(b"u\0y\0").hexdigest()[:16] and one.doc_topic == "x" and one.links == []
     md = spark.createDataFrame([("p.md", "intro\n# A\ntext\n## B\n\n# C\nmore")], "path string, content string")
     assert sorted(r.external_id for r in trees.artifact_units(md).collect()) == ["p.md#0", "p.md#1", "p.md#3"]
+    assert {r.external_id: (r.title, list(r.section_path)) for r in trees.artifact_units(md).collect()}["p.md#0"] == ("p", [])
 
 
 def test_crawl_fails_whole(spark):

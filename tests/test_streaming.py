@@ -21,6 +21,12 @@ def test_ingest_stream(spark, tmp_path):
     spark.createDataFrame([(2, None, 3), (3, "d", 1)], schema).write.mode("append").json(str(inbox))
     ingest_stream(spark.readStream.schema(schema).json(str(inbox)), table, ["id"], "version", str(tmp_path / "cp")).awaitTermination()
     assert {(r.id, r.text) for r in table.read().collect()} == {(1, "b"), (2, None), (3, "d")}
+    # A new checkpoint begins at batch 0; what it brings is merged all the same, and old versions go.
+    for n in range(4):
+        spark.createDataFrame([(4, f"n{n}", n)], schema).write.json(str(tmp_path / f"in{n}"))
+        ingest_stream(spark.readStream.schema(schema).json(str(tmp_path / f"in{n}")), table, ["id"], "version", str(tmp_path / f"cp{n}")).awaitTermination()
+        assert {(r.id, r.text) for r in table.read().collect()} == {(1, "b"), (2, None), (3, "d"), (4, f"n{n}")}
+    assert len(table.versions()) == table.KEPT
 
 
 def test_functions(spark):
