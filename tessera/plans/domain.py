@@ -366,7 +366,6 @@ LAYERS = f""", er AS (SELECT DISTINCT tenant_id || '/' || src AS src, rel, dst F
 gone AS (SELECT DISTINCT tenant_id || '/' || fqn AS fqn FROM objects WHERE deleted_at IS NOT NULL), ovk AS (SELECT * FROM ov WHERE src NOT IN (SELECT fqn FROM gone)) """
 op("op_I10_merge_edge_rows", BASE.rstrip() + LAYERS + "SELECT src, rel, dst, 'working' AS layer FROM ovk UNION ALL SELECT src, rel, dst, 'release' FROM er WHERE src NOT IN (SELECT src FROM ov) AND src NOT IN (SELECT fqn FROM gone) AND (rel, dst) NOT IN (SELECT (rel, dst) FROM ovk)")(lambda t: state.merge_edge_rows(*layers(t)))
 op("op_I11_tag_layer", BASE.rstrip() + LAYERS + "SELECT src, rel, dst, 'working' AS layer FROM ov WHERE dst NOT IN (SELECT fqn FROM gone)")(lambda t: state.tag_layer(layers(t)[1], layers(t)[3], "working").select("src", "rel", "dst", "layer"))
-op("op_I12_overlay_callees", g("SELECT callee AS fqn, kind AS via, 'working' AS layer FROM e WHERE kind = 'local' GROUP BY 1, 2 UNION ALL SELECT callee, kind, 'release' FROM e WHERE kind <> 'local' AND callee NOT IN (SELECT callee FROM e WHERE kind = 'local') GROUP BY 1, 2"))(lambda t: state.overlay_callees(edges(t).where("kind <> 'local'").select(F.col("callee").alias("fqn"), F.col("kind").alias("via")), edges(t).where("kind = 'local'").select(F.col("callee").alias("fqn"), F.col("kind").alias("via"))))
 op("op_I13_namespaces", q("SELECT DISTINCT tenant_id || '@task/' || config_id AS overlay, tenant_id AS base, config_id AS task FROM o"))(lambda t: metadata.current(t.objects).select(F.concat("tenant_id", F.lit("@task/"), "config_id").alias("overlay")).distinct().select("overlay", state.base_tenant(F.col("overlay")).alias("base"), state.task_of(F.col("overlay")).alias("task")))
 op("op_I14_live_merge", BASE.rstrip() + (", dirty AS (SELECT DISTINCT tenant_id, path FROM files WHERE mtime IS NULL) SELECT id, tenant_id, path, start_line FROM s WHERE (tenant_id, path) NOT IN (SELECT (tenant_id, path) FROM dirty) UNION ALL SELECT id, tenant_id, path, start_line + 1 FROM s WHERE (tenant_id, path) IN (SELECT (tenant_id, path) FROM dirty)"))(lambda t: state.live_merge(t.symbols.dropDuplicates(["id"]).select("id", "tenant_id", "path", "start_line"), t.symbols.dropDuplicates(["id"]).select("id", "tenant_id", "path", (F.col("start_line") + 1).alias("start_line")), t.files.where("mtime is null")))
 op("op_I15_file_delta", f"SELECT tenant_id, path, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' ELSE 'updated' END AS change FROM (SELECT tenant_id, path, mtime AS old, 1 AS p FROM files WHERE kind = 'bsl') a FULL JOIN (SELECT tenant_id, path, CASE WHEN source = 'base' THEN mtime END AS new, 1 AS p FROM files WHERE mtime >= TIMESTAMP '{SINCE}' OR mtime IS NULL) b USING (tenant_id, path) WHERE a.p IS NULL OR b.p IS NULL OR old IS NULL OR new IS NULL OR old <> new")(lambda t: state.file_delta(t.files.where("kind = 'bsl'"), t.files.where((F.col("mtime") >= SINCE) | F.col("mtime").isNull()).select("tenant_id", "path", F.when(F.col("source") == "base", F.col("mtime")).alias("mtime"))))
