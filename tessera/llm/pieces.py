@@ -4,9 +4,9 @@ Method: byte-range processing. A text is handled in ranges of ``RANGE`` characte
 sides. A worker that has one range finds the boundaries in it (headings, blank lines and code fences,
 lines, words), moves the range's two ends to the best boundary in the halo, as its neighbours do, counts
 the characters that are no white space, and cuts. Counts per range are stitched by a prefix sum, which
-numbers the pieces and tells whether the item is over the limit at all; pieces are given by offset, and
-no worker needs the whole text. ``pieces_of_files`` does the same for files on a shared file system,
-reading only each range's bytes.
+numbers the pieces and tells whether the item is over the limit at all; pieces are given by offset. A text of a
+table is one value and is read whole by whoever reads its row, but its ranges are then spread over the workers.
+``pieces_of_files`` works on files on a shared file system, of which only each range's bytes are read.
 
 White space is as in Unicode. A leading byte order mark is not text. Routines are the lines start_line to
 end_line of their file's content, to its end where end_line is null.
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.util import settle
+
 LIMIT, OVERLAP = 1200, 120
 RANGE, HALO = 65_536, 8_192
 #: Routines of one file that are cut together.
@@ -106,23 +108,46 @@ def cut(text: str, lo: int, hi: int, limit: int = LIMIT, overlap: int = OVERLAP)
     return out
 
 
-def _range_rows(texts, limit: int, overlap: int, with_text: bool):
-    """Rows of ``RANGES`` for (kind, id, text) triples."""
-    for kind, ident, text in texts:
-        text = text[1:] if text[:1] == "﻿" else text
-        n = len(text)
-        if n <= limit:
-            solid = n - int(white(text).sum()) if n else 0
-            yield kind, ident, 0, solid, [(0, 0, n, solid, text if with_text else None)] if solid else []
-            continue
-        for k in range(0, (n - 1) // RANGE + 1):
-            base = max(0, k * RANGE - HALO)
-            part = text[base : (k + 1) * RANGE + HALO]
-            lo = natural(part, k * RANGE - base, HALO) if k else 0
-            hi = natural(part, (k + 1) * RANGE - base, HALO) if (k + 1) * RANGE < n else len(part)
-            solid = int((~white(part[lo:hi])).sum())
-            got = cut(part, lo, hi, limit, overlap) if solid > limit or n > RANGE else [(lo, lo, hi, solid)]
-            yield kind, ident, k, solid, [(base + b, base + s, base + e, c, part[b:e] if with_text else None) for b, s, e, c in got]
+def _whole(kind, ident, text: str, limit: int, overlap: int, with_text: bool):
+    """The row of ``RANGES`` for a text of one range."""
+    n = len(text)
+    solid = n - int(white(text).sum()) if n else 0
+    got = cut(text, 0, n, limit, overlap) if solid > limit else [(0, 0, n, solid)] if solid else []
+    return kind, ident, 0, solid, [(*c, text[c[0] : c[2]] if with_text else None) for c in got]
+
+
+def _slices(kind, ident, text: str):
+    """Rows of ``SLICES`` for a longer text: each range with its halos, to be cut by whatever worker."""
+    n = len(text)
+    for k in range((n - 1) // RANGE + 1):
+        base = max(0, k * RANGE - HALO)
+        yield kind, ident, k, base, k * RANGE - base, (k + 1) * RANGE - base if (k + 1) * RANGE < n else None, text[base : (k + 1) * RANGE + HALO]
+
+
+def _bare(text: str) -> str:
+    return text[1:] if text[:1] == "﻿" else text
+
+
+SLICES = "item_kind string, item_id bigint, range_no int, base bigint, lo bigint, hi bigint, part string"
+
+
+def _one_slice(row: tuple, limit: int, overlap: int, with_text: bool):
+    kind, ident, k, base, lo, hi, part = row
+    first = natural(part, lo, HALO) if k else 0
+    last = natural(part, hi, HALO) if hi is not None else len(part)
+    solid = int((~white(part[first:last])).sum())
+    return kind, ident, k, solid, [(base + b, base + a, base + e, c, part[b:e] if with_text else None) for b, a, e, c in cut(part, first, last, limit, overlap)]
+
+
+def _cut_slices(slices: DataFrame, limit: int, overlap: int, with_text: bool) -> DataFrame:
+    """``RANGES`` of slices, which are spread over the workers: a range moves its two ends as its neighbours do, so that
+    nobody needs more of the text."""
+
+    def run(batches):
+        for b in batches:
+            yield from _chunked((_one_slice(r, limit, overlap, with_text) for r in zip(*[b.column(c).to_pylist() for c in ("item_kind", "item_id", "range_no", "base", "lo", "hi", "part")])), 64)
+
+    return slices.repartition("item_kind", "item_id", "range_no").mapInArrow(run, RANGES)
 
 
 RANGES = "item_kind string, item_id bigint, range_no int, solid bigint, cuts array<struct<back:bigint,start:bigint,stop:bigint,n_chars:int,text:string>>"
@@ -146,39 +171,58 @@ def _chunked(rows, n: int = 256):
         yield _batch(held)
 
 
+def _slice_batches(rows):
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = ["item_kind", "item_id", "range_no", "base", "lo", "hi", "part"]
+    for r in rows:  # a slice is as large as a batch should be
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, kinds)], names)
+
+
 def unit_ranges(doc_units: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = False) -> DataFrame:
-    def run(batches):
+    units = doc_units.where("unit_id is not null and text is not null").select(F.col("unit_id").alias("item_id"), "text")
+
+    def short(batches):
         for b in batches:
-            ids, texts = b.column("item_id").to_pylist(), b.column("text")
-            yield from _chunked(_range_rows((("doc_unit", i, t.as_py()) for i, t in zip(ids, texts)), limit, overlap, with_text))
+            yield from _chunked(_whole("doc_unit", i, _bare(t.as_py()), limit, overlap, with_text) for i, t in zip(b.column("item_id").to_pylist(), b.column("text")))
 
-    return doc_units.where("unit_id is not null and text is not null").select(F.col("unit_id").alias("item_id"), "text").mapInArrow(run, RANGES)
+    def long(batches):
+        for b in batches:
+            yield from _slice_batches(r for i, t in zip(b.column("item_id").to_pylist(), b.column("text")) for r in _slices("doc_unit", i, _bare(t.as_py())))
+
+    size = F.length("text")
+    return units.where(size <= RANGE).mapInArrow(short, RANGES).unionByName(_cut_slices(units.where(size > RANGE).mapInArrow(long, SLICES), limit, overlap, with_text))
 
 
 def routine_ranges(routines: DataFrame, files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = False) -> DataFrame:
-    """A file's content travels once for every ``BLOCK`` routines of the file, not once for each."""
-    once = routines.where("routine_id is not null and file_id is not null and start_line is not null").groupBy("routine_id").agg(F.min("file_id").alias("file_id"), F.min(F.struct("start_line", "end_line")).alias("at"))
+    """A file's content travels once for every ``BLOCK`` routines of the file, not once for each. Only files longer than a
+    range can have a routine that is; their routines' ranges are spread."""
+    once = routines.where("routine_id is not null and file_id is not null and start_line is not null").groupBy("routine_id").agg(F.min(F.struct("file_id", "start_line", "end_line")).alias("at"))
     place = F.row_number().over(Window.partitionBy("file_id").orderBy("routine_id"))
-    blocks = once.withColumn("block", F.floor((place - 1) / BLOCK)).groupBy("file_id", "block").agg(F.collect_list(F.struct("routine_id", "at.start_line", "at.end_line")).alias("own"))
-    rows = files.where("content is not null").select("file_id", "content").join(blocks, "file_id").select("content", "own")
-
-    def run(batches):
-        def texts(content, own):
-            content = content[1:] if content[:1] == "﻿" else content
-            ends = [m.end() for m in re.finditer("\n", content)]
-            starts = [0, *ends]
-            for r in own:
-                first, last = max(1, r["start_line"]), r["end_line"]
-                if first > len(starts) or last is not None and last < first:
-                    continue
-                stop = len(content) if last is None or last >= len(starts) else starts[last]
-                yield "routine", r["routine_id"], content[starts[first - 1] : stop]
+    blocks = once.select("routine_id", "at.*").withColumn("block", F.floor((place - 1) / BLOCK)).groupBy("file_id", "block").agg(F.collect_list(F.struct("routine_id", "start_line", "end_line")).alias("own"))
+    texts_of = files.where("content is not null").select("file_id", "content")
+
+    def texts(content, own):
+        content = _bare(content)
+        starts = [0, *(m.end() for m in re.finditer("\n", content))]
+        for r in own:
+            first, last = max(1, r["start_line"]), r["end_line"]
+            if first > len(starts) or last is not None and last < first:
+                continue
+            yield r["routine_id"], content[starts[first - 1] : len(content) if last is None or last >= len(starts) else starts[last]]
+
+    def short(batches):
+        for b in batches:
+            for content, own in zip(b.column("content"), b.column("own").to_pylist()):
+                yield from _chunked(_whole("routine", i, t, limit, overlap, with_text) for i, t in texts(content.as_py(), own))
 
+    def long(batches):
         for b in batches:
             for content, own in zip(b.column("content"), b.column("own").to_pylist()):
-                yield from _chunked(_range_rows(texts(content.as_py(), own), limit, overlap, with_text))
+                yield from _slice_batches(r for i, t in texts(content.as_py(), own) for r in (_slices("routine", i, t) if t else ()))
 
-    return rows.mapInArrow(run, RANGES)
+    size = F.length("content")
+    joined = lambda f: f.join(blocks, "file_id").select("content", "own")
+    return joined(texts_of.where(size <= RANGE)).mapInArrow(short, RANGES).unionByName(_cut_slices(joined(texts_of.where(size > RANGE)).mapInArrow(long, SLICES), limit, overlap, with_text))
 
 
 def ranges(doc_units: DataFrame, routines: DataFrame, files: DataFrame, **how) -> DataFrame:
@@ -208,30 +252,50 @@ def piece_report(doc_units: DataFrame, routines: DataFrame, files: DataFrame) ->
     return p.groupBy("item_kind").agg(F.countDistinct("item_id").alias("n_items"), F.count(F.lit(1)).alias("n_pieces"), F.max("n_chars").alias("max_chars"))
 
 
-def pieces_of_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
-    """(path, range_no, k, back, start, stop, n_chars, text): pieces of UTF-8 files on a shared file system by
-    byte offset, each from ``back`` to ``stop``. Each range is read with its halos only; ``range_no`` and ``k`` order a file's pieces."""
-    import os
+def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, size) of the files below a folder, listed by Spark; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size"))
+
 
-    jobs = [(p, size, k) for p in paths for size in [os.path.getsize(p)] for k in range(max(1, -(-size // range_bytes)))]
-    todo = spark.createDataFrame(jobs, "path string, size bigint, range_no int").repartition(min(len(jobs), 4096) or 1, "path", "range_no")
+def pieces_of_files(files: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE) -> DataFrame:
+    """(path, piece_no, back, start, stop, n_chars, text): pieces of UTF-8 files (path, size) on a shared file system, by
+    byte offset, each from ``back`` to ``stop``; a file within the limit is one piece. A worker has one range and reads its
+    bytes and halos only, from any file system that Arrow knows; pieces are numbered over the ranges by a prefix
+    sum of their counts."""
+    todo = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / range_bytes).cast("int") - 1)).alias("range_no"))
+    todo = todo.repartition("path", "range_no")
+    fields = {"path": pa.string(), "range_no": pa.int32(), "k": pa.int32(), "back": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "n_chars": pa.int32(), "text": pa.string()}
 
     def run(batches):
+        from pyarrow import fs
+
         for b in batches:
             for path, size, k in zip(*[b.column(c).to_pylist() for c in ("path", "size", "range_no")]):
                 base = max(0, k * range_bytes - 4 * HALO)
-                with open(path, "rb") as f:
-                    f.seek(base)
-                    raw = f.read((k + 1) * range_bytes + 4 * HALO - base)
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_file(place) as f:
+                    raw = f.read_at(min(size, (k + 1) * range_bytes + 4 * HALO) - base, base)
                 skip = next((i for i, x in enumerate(raw[:4]) if x & 0xC0 != 0x80), 0) if base else 3 if raw[:3] == b"\xef\xbb\xbf" else 0
                 text = raw[skip:].decode("utf-8", "ignore")
-                width = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]) + base + skip
+                cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                width = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))]) + base + skip
                 edge = [int(np.searchsorted(width, x * range_bytes)) for x in (k, k + 1)]
                 lo = natural(text, edge[0], HALO) if k else 0
                 hi = natural(text, edge[1], HALO) if (k + 1) * range_bytes < size else len(text)
                 got = cut(text, lo, hi, limit, overlap)
                 cols = list(zip(*[(path, k, i, int(width[b_]), int(width[a]), int(width[e]), c, text[b_:e]) for i, (b_, a, e, c) in enumerate(got)])) or [[]] * 8
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["path", "range_no", "k", "back", "start", "stop", "n_chars", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values())], list(fields))
+
+    got = settle(todo.mapInArrow(run, "path string, range_no int, k int, back bigint, start bigint, stop bigint, n_chars int, text string"))
+    w = Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = got.groupBy("path", "range_no").agg(F.count(F.lit(1)).alias("n")).select("path", "range_no", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
+    return got.join(ahead, ["path", "range_no"]).select("path", (F.col("ahead") + F.col("k") + 1).alias("piece_no"), "back", "start", "stop", "n_chars", "text")
+
 
-    return todo.mapInArrow(run, "path string, range_no int, k int, back bigint, start bigint, stop bigint, n_chars int, text string")
+def corpus_pieces(doc_units: DataFrame, folder: str) -> DataFrame:
+    """(source, piece_no, start, stop, n_chars): the units' texts written as one file a source into a folder, as a corpus is
+    delivered, and cut from there."""
+    texts = doc_units.where("text is not null and source is not null and unit_id is not null").groupBy("unit_id").agg(F.min(F.struct("source", "text")).alias("u")).select("u.source", "u.text", "unit_id")
+    texts.repartition("source").sortWithinPartitions("source", "unit_id").select("source", F.col("text").alias("value")).write.partitionBy("source").mode("overwrite").text(folder)
+    p = pieces_of_files(file_sizes(doc_units.sparkSession, folder).where(F.col("path").contains("source=")))
+    return p.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.col("piece_no").cast("bigint").alias("piece_no"), "start", "stop", "n_chars")

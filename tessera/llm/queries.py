@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.llm import abuse, docpairs, leaks, near, pieces, syntax, tokenize, vectors
-from tessera.util import read
+from tessera.util import read, shared_dir
 
 
 def queries() -> dict:
@@ -20,6 +22,7 @@ def queries() -> dict:
         "p1_verdicts": lambda s, d: syntax.verdicts(files(s, d)),
         "p2_found": lambda s, d: pieces.oversized(units(s, d), routines(s, d), files(s, d)),
         "p2_pieces": lambda s, d: pieces.pieces(units(s, d), routines(s, d), files(s, d)),
+        "p2_file_pieces": lambda s, d: pieces.corpus_pieces(units(s, d), f"{shared_dir(s)}/corpus-{uuid.uuid4().hex}"),
         "p2_report": lambda s, d: pieces.piece_report(units(s, d), routines(s, d), files(s, d)),
         "p4_found": lambda s, d: vectors.mutual(vecs(s, d)),
         "p4_nearest": lambda s, d: vectors.nearest(vecs(s, d), cosine=0.4, recall=0.98, queries=F.col("vec_id") % 20 == 0),

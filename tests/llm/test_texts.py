@@ -19,7 +19,9 @@ def test_pieces_cover_the_text(seed, monkeypatch):
     monkeypatch.setattr(pieces, "HALO", 400)
     words = ["слово", "x" * rng.choice([3, 3000]), "\n", "\n\n", "# Заголовок\n", "```\n", "  ", " ", "\r\n"]
     text = " ".join(rng.choice(words) for _ in range(rng.choice([30, 2000])))
-    got = [c for *_, cuts in pieces._range_rows([("doc_unit", 1, text)], 200, 30, True) for c in cuts]
+    rows = [pieces._whole("doc_unit", 1, text, 200, 30, True)] if len(text) <= pieces.RANGE else [pieces._one_slice(r, 200, 30, True) for r in pieces._slices("doc_unit", 1, text)]
+    assert sum(solid_ for *_, solid_, _ in rows) == solid(text)
+    got = [c for *_, cuts in rows for c in cuts]
     if solid(text) <= 200:
         assert len(got) <= 1
         return
@@ -46,13 +48,21 @@ def test_oversized_items(spark):
 
 
 def test_pieces_of_files(spark, tmp_path):
-    text = "\n\n".join("Абзац номер %d, и в нём несколько слов." % i for i in range(4000))
-    f = tmp_path / "a.txt"
+    text = "\n\n".join("Абзац номер %d, и в нём несколько слов 😀." % i for i in range(4000))
+    f = tmp_path / "in" / "a.txt"
+    f.parent.mkdir()
     f.write_bytes(b"\xef\xbb\xbf" + text.encode())
-    rows = sorted(pieces.pieces_of_files(spark, [str(f)], range_bytes=40_000).collect(), key=lambda r: (r.range_no, r.k))
-    raw = f.read_bytes()
+    (tmp_path / "in" / "b.txt").write_bytes("мало".encode())
+    (tmp_path / "in" / "c.txt").write_bytes(b"")
+    rows = pieces.pieces_of_files(pieces.file_sizes(spark, f"file://{tmp_path}/in"), range_bytes=40_000).orderBy("path", "piece_no").collect()
+    assert [(r.piece_no, r.text) for r in rows if r.path.endswith("b.txt")] == [(1, "мало")]
+    rows, raw = [r for r in rows if r.path.endswith("a.txt")], f.read_bytes()
+    assert [r.piece_no for r in rows] == list(range(1, len(rows) + 1))
     assert rows[0].start == 3 and rows[-1].stop == len(raw) and all(a.stop == b.start for a, b in zip(rows, rows[1:]))
     assert all(raw[r.back : r.stop].decode() == r.text and r.n_chars == solid(r.text) <= 1200 for r in rows)
+    units = spark.createDataFrame([(1, "s", text), (2, "s", "мало"), (3, None, "x"), (4, "s", None), (1, "s", text)], "unit_id long, source string, text string")
+    got = pieces.corpus_pieces(units, f"file://{tmp_path}/corpus").orderBy("piece_no").collect()
+    assert {r.source for r in got} == {"s"} and got[-1].stop == len((text + "\nмало\n").encode())
 
 
 @pytest.fixture(scope="module")
