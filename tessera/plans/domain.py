@@ -142,12 +142,20 @@ op("op_C09_resolve_routines", q(f"SELECT tenant_id, routine_id, fqn FROM r WHERE
 op("op_C10_find_callers", g(f"SELECT DISTINCT e.tenant_id, caller FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = callee"))(lambda t: code.find_callers(edges(t), exported(t)))
 op("op_C11_find_callees", g(f"SELECT DISTINCT e.tenant_id, callee, kind AS via FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = caller"))(lambda t: code.find_callees(edges(t), exported(t)))
 op("op_C12_call_graph", g(f"SELECT DISTINCT e.tenant_id, caller AS fqn, 'caller' AS side FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = callee UNION ALL SELECT DISTINCT e.tenant_id, callee, 'callee' FROM e JOIN {EXP} x ON x.tenant_id = e.tenant_id AND x.fqn = caller"))(lambda t: code.call_graph(edges(t), exported(t)))
-op(
-    "op_C13_call_path",
-    (BASE.rstrip().replace("WITH o AS", "WITH RECURSIVE o AS", 1) + RESOLVED.replace("{f}", "")).rstrip()
-    + f""", walk AS (SELECT DISTINCT r.tenant_id, r.fqn AS src, r.fqn AS node, 0 AS hops FROM r WHERE override_mode IS NOT NULL UNION SELECT w.tenant_id, src, e.callee, hops + 1 FROM walk w JOIN e ON e.tenant_id = w.tenant_id AND e.caller = w.node WHERE hops < 8)
-    SELECT w.tenant_id, src, x.fqn AS dst, min(hops) AS hops FROM walk w JOIN {EXP} x ON x.tenant_id = w.tenant_id AND x.fqn = node GROUP BY 1, 2, 3""",
-)(lambda t: code.call_path(edges(t), code.live_routines(t.routines).where("override_mode is not null"), exported(t)).select("tenant_id", "src", "dst", "hops"))
+HOPS = 8
+
+
+def paths_sql() -> str:
+    """Breadth first, a level a table: the least path to each node that no level before has."""
+    levels = ["f0 AS (SELECT DISTINCT tenant_id, fqn AS src, fqn AS node, [fqn] AS path FROM r WHERE override_mode IS NOT NULL)"]
+    for n in range(1, HOPS + 1):
+        seen = " UNION ALL ".join(f"SELECT tenant_id, src, node FROM f{k}" for k in range(n))
+        levels.append(f"f{n} AS MATERIALIZED (SELECT f.tenant_id, f.src, e.callee AS node, min(list_append(f.path, e.callee)) AS path FROM f{n - 1} f JOIN e ON e.tenant_id = f.tenant_id AND e.caller = f.node WHERE (f.tenant_id, f.src, e.callee) NOT IN (SELECT (tenant_id, src, node) FROM ({seen})) GROUP BY 1, 2, 3)")
+    hits = " UNION ALL ".join(f"SELECT f.tenant_id, src, node AS dst, array_to_string(path, ' > ') AS path, {n} AS hops FROM f{n} f JOIN {EXP} x ON x.tenant_id = f.tenant_id AND x.fqn = node" for n in range(HOPS + 1))
+    return g(", " + ", ".join(levels) + " " + hits)
+
+
+op("op_C13_call_path", paths_sql())(lambda t: code.call_path(edges(t), code.live_routines(t.routines).where("override_mode is not null"), exported(t), HOPS).withColumn("path", F.array_join("path", " > ")))
 op("op_C15_find_overrides", q(f"SELECT * FROM (SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:')) WHERE starts_with(dst, '{HOOKED}.')"))(lambda t: code.find_overrides(t.routines, HOOKED))
 op("op_C16_routine_source", q("SELECT tenant_id, split_part(fqn, '#code', 1) AS routine, string_agg(text, chr(10) ORDER BY coalesce(try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) AS INT), 0), chunk_id) AS body, count(*) AS parts FROM k WHERE chunk_kind = 'code' GROUP BY 1, 2"))(lambda t: code.routine_source(t.chunks))
 METHODS = "(SELECT DISTINCT name_low AS method_low FROM s WHERE export = 1 AND object LIKE 'CommonModule.%')"
