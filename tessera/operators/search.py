@@ -70,11 +70,11 @@ def _blocks(df: DataFrame, key: str, vector: str):
     import numpy as np
 
     rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector).dropDuplicates([key])
-    n = max(1, -(-rows.count() // HELD))
+    first = rows.limit(HELD + 1).collect()
+    n = 1 if len(first) <= HELD else -(-rows.count() // HELD)
     for block in range(n):
-        part = rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == block) if n > 1 else rows
         by_length: dict[int, list] = {}
-        for r in part.collect():
+        for r in first if n == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == block).collect():
             x = np.array(r[1], dtype=np.float64)
             if np.isfinite(x).all() and (size := np.linalg.norm(x)) > 0:
                 by_length.setdefault(len(x), []).append((r[0], x / size))
@@ -97,6 +97,7 @@ def _against(stream: DataFrame, key: str, vector: str, held, k: int, by_held: bo
 
         names, matrix = shipped.value
         for b in batches:
+            b = b.drop_duplicates(key)  # else a repeated row would take a place
             ok = [i for i, v in enumerate(b[vector]) if v is not None and len(v) == matrix.shape[1]]
             if not ok:
                 continue
@@ -123,7 +124,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     """The k vectors most alike to each query vector (query_id, qvec), with (1 + cosine) / 2 as score; cosines
     equal to six digits go by vec_id. The queries, a stated set of any size, go to the workers in blocks, and the
     vectors are streamed past each; of a batch only the best rows of a query are shuffled."""
-    v = vectors.where("embedding is not null").dropDuplicates(["vec_id"]).select("vec_id", "embedding")
+    v = vectors.where("embedding is not null and vec_id is not null").select("vec_id", "embedding")
     found = None
     for held in _blocks(queries, "query_id", "qvec"):
         one = _against(v, "vec_id", "embedding", held, k, True).select(F.col("other").alias("query_id"), F.col("key").alias("vec_id"), "c")
@@ -131,6 +132,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     if found is None:
         found = v.select(F.lit(0).cast("bigint").alias("query_id"), "vec_id", F.lit(0.0).alias("c")).limit(0)
     w = Window.partitionBy("query_id").orderBy(F.round("c", 6).desc(), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("c").alias("c"))  # rows delivered twice
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "vec_id", F.round((1 + F.col("c")) / 2, 6).alias("score"), "place")
 
 
@@ -173,7 +175,7 @@ class FullText:
     def build(cls, df: DataFrame, key: str, fields: dict[str, int], path: str) -> FullText:
         out = cls(df.sparkSession, path, key)
         p = postings(df, key, fields).withColumn("bucket", cls.bucket_of(F.col("token")))
-        p.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{out.path}/postings")
+        p.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").mode("overwrite").parquet(f"{out.path}/postings")
         dl = out.spark.read.parquet(f"{out.path}/postings").select(key, "dl").distinct()
         dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).coalesce(1).write.mode("overwrite").parquet(f"{out.path}/stats")
         return out
@@ -188,32 +190,54 @@ class FullText:
 
         return zlib.crc32(token[: cls.LETTERS].encode()) % cls.BUCKETS
 
+    def table(self) -> DataFrame:
+        """The postings; the listing of their files is kept for further searches."""
+        if self.__dict__.get("_table") is None:
+            self._table = self.spark.read.parquet(f"{self.path}/postings")
+        return self._table
+
+    def stats(self):
+        """The one row of statistics."""
+        if self.__dict__.get("_stats") is None:
+            self._stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        return self._stats
+
     def postings_of(self, terms: list[tuple[str, bool]]) -> DataFrame:
-        """The postings of terms (token, prefix), with ``term``; the filters are pushed to the files."""
-        at = self.spark.read.parquet(f"{self.path}/postings")
-        out = None
-        for t, prefix in dict.fromkeys(terms):
-            one = at.where(F.col("token").startswith(t) if prefix else F.col("token") == t)
-            if not prefix or len(t) >= self.LETTERS:
-                one = one.where(F.col("bucket") == self._bucket(t))
-            one = one.select(self.key, F.lit(t).alias("term"), F.lit(prefix).alias("prefix"), "tf", "dl")
-            out = one if out is None else out.unionByName(one)
-        return out
+        """(key, at, tf, dl): the postings of terms (token, prefix), ``at`` the term's place in the list; in one scan, with
+        the filters on partitions and tokens pushed to the files."""
+        token = F.col("token")
+        means = [token.startswith(t) if prefix else token == t for t, prefix in terms]
+        rows = self.table()
+        if all(not prefix or len(t) >= self.LETTERS for t, prefix in terms):
+            rows = rows.where(F.col("bucket").isin(sorted({self._bucket(t) for t, _ in terms})))
+        any_of = means[0]
+        for m in means[1:]:
+            any_of = any_of | m
+        which = F.array_compact(F.array(*[F.when(m, F.lit(n)) for n, m in enumerate(means)]))
+        return rows.where(any_of).select(self.key, F.explode(which).alias("at"), "tf", "dl")
 
     def search(self, queries: dict[int, str], k: int = 10, form: str = "bm25") -> DataFrame:
         """(query_id, key, score, place, total): BM25 with k1 1.2, b 0.75. ``form`` "bm25" has the logarithm of
-        1 + the odds, "fts" that of the odds themselves, at least 1e-6."""
+        1 + the odds, "fts" that of the odds themselves, at least 1e-6. How many rows each of the queries' few terms has
+        is counted first; then one shuffle by key sums what a row has of each query's terms."""
+        import math
+
         asked = [(q, t, p) for q, text in queries.items() for t, p in query_terms(text)]
         if not asked:
             raise ValueError("no query holds a word")
-        hits = self.postings_of([(t, p) for _, t, p in asked]).groupBy("term", "prefix", self.key).agg(F.sum("tf").cast("double").alias("tf"), F.min("dl").alias("dl"))
-        df = hits.groupBy("term", "prefix").agg(F.count(F.lit(1)).alias("df"))
-        stats = self.spark.read.parquet(f"{self.path}/stats")  # one row
-        odds = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
-        idf = F.log(1 + odds) if form == "bm25" else F.greatest(F.log(odds), F.lit(1e-6))
-        own = self.spark.createDataFrame(asked, "query_id bigint, term string, prefix boolean")
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        s = hits.join(F.broadcast(df.join(F.broadcast(own), ["term", "prefix"]).crossJoin(F.broadcast(stats))), ["term", "prefix"]).groupBy("query_id", self.key).agg(F.round(F.sum(part), 6).alias("score"))  # a row a term
+        terms = list(dict.fromkeys((t, p) for _, t, p in asked))
+        found = self.postings_of(terms).repartition(self.key).groupBy("at", self.key).agg(F.sum("tf").cast("double").alias("tf"), F.min("dl").alias("dl"))
+        df = {r["at"]: r["count"] for r in found.groupBy("at").count().collect()}  # a row a term
+        n_docs, avgdl = self.stats()["n_docs"] or 0, self.stats()["avgdl"] or 1.0
+
+        def idf(at: int) -> float:
+            odds = (n_docs - df.get(at, 0) + 0.5) / (df.get(at, 0) + 0.5)
+            return math.log(1 + odds) if form == "bm25" else max(math.log(odds), 1e-6) if odds > 0 else 1e-6
+
+        own = F.array(*[F.array(*[F.lit(q).cast("bigint") for q, *tp in asked if tuple(tp) == t]) for t in terms])
+        weight = F.element_at(F.array(*[F.lit(idf(n)) for n in range(len(terms))]), F.col("at") + 1)
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+        s = found.select(self.key, F.explode(F.element_at(own, F.col("at") + 1)).alias("query_id"), part.alias("part")).groupBy(self.key, "query_id").agg(F.round(F.sum("part"), 6).alias("score"))
         total = s.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), self.key)
         return s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).join(F.broadcast(total), "query_id").select("query_id", self.key, "score", "place", "total")
@@ -335,11 +359,12 @@ def link_semantic(docs: DataFrame, objects: DataFrame, k: int = 3, least: float
     to the workers in blocks, and the documents, which are the more, are streamed past each."""
     found = None
     for held in _blocks(objects, "vec_id", "embedding"):
-        one = _against(docs.where("query_id is not null").dropDuplicates(["query_id"]), "query_id", "qvec", held, k, False)
+        one = _against(docs.where("query_id is not null"), "query_id", "qvec", held, k, False)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return docs.select("query_id", F.lit(0).cast("bigint").alias("vec_id"), F.lit(0.0).alias("confidence")).limit(0)
     w = Window.partitionBy("key").orderBy(F.round("c", 6).desc(), "other")
+    found = found.groupBy("key", "other").agg(F.max("c").alias("c"))
     score = F.round((1 + F.col("c")) / 2, 4)
     return found.withColumn("place", F.row_number().over(w)).where((F.col("place") <= k) & (score >= least)).select(F.col("key").alias("query_id"), F.col("other").alias("vec_id"), score.alias("confidence"))
 
