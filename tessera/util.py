@@ -36,6 +36,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_blocks(rows: DataFrame, key: str, item: str, size: int) -> DataFrame:
+    """The rows with a ``block`` number, so that a (key, block) has about ``size`` rows: by a hash of the item modulo the
+    blocks that the key needs. Keys with one block, nearly all, need no count; the counts of the others are few, and a
+    hot key is never sorted or held in one place."""
+    from pyspark.sql import functions as F
+
+    many = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("n_blocks")))
+    return rows.join(many, key, "left").withColumn("block", F.when(F.col("n_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(item), F.col("n_blocks"))).cast("int")).drop("n_blocks")
+
+
 def runs(batches, key: str = "key"):
     """Record batches sorted by ``key`` -> tables that hold each key's rows whole, several keys a table."""
     import pyarrow as pa

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph, index, search, state
 from tessera.sources import metadata_xml
+from tessera.util import in_blocks
 
 HEAD = "<MetaDataObject xmlns='urn:x'>"
 CATALOG = f"{HEAD}<Catalog uuid='1'><Properties><Name>Товары</Name><Synonym><item><lang>ru</lang><content>Товар</content></item></Synonym><ObjectBelonging>%s</ObjectBelonging><Owners><Item>Catalog.Склады</Item></Owners></Properties><ChildObjects><Attribute><Properties><Name>Вес</Name><Type><Type>xs:decimal</Type><Type>cfg:CatalogRef. Единицы </Type></Type><FillChecking>ShowError</FillChecking></Properties></Attribute><TabularSection><Properties><Name>Цены</Name></Properties><ChildObjects><Attribute><Properties><Name>Вид</Name><Type><Type>cfg:EnumRef.Виды</Type></Type></Properties></Attribute></ChildObjects></TabularSection><Form>Список</Form></ChildObjects></Catalog></MetaDataObject>"
@@ -119,3 +120,10 @@ def test_upsert_keeps_and_removes(spark):
     t = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string")
     got = state.upsert(t, spark.createDataFrame([(1, None), (2, "c")], "k int, x string"), ["k"]).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(1, None, "b"), (2, "c", None)]
+
+
+def test_blocks_of_a_hot_key(spark):
+    rows = spark.range(1000).selectExpr("id", "case when id < 900 then 1 else id end as k")
+    got = in_blocks(rows.unionByName(spark.createDataFrame([(1, None)], "id long, k long")), "k", "id", 100).groupBy("k", "block").count().collect()
+    hot = [r["count"] for r in got if r.k == 1]
+    assert len(hot) == 9 and max(hot) < 200 and sum(r["count"] for r in got) == 1001 and {r.block for r in got if r.k != 1} == {0}
