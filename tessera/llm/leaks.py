@@ -13,7 +13,7 @@ comments of any length are taken out of the text; what a long one holds is searc
 
 Defined results: null or blank texts hold no passage; items shorter than ``run`` words leak nowhere;
 repeated rows give each (doc_id, item_id) once. Items are a stated query set: they are taken in blocks
-of at most ``BLOCK`` items, so that what is sent to the workers stays bounded.
+of about ``BLOCK`` items, so that what a worker holds stays bounded.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.util import settle
+
 RUN = 12
 BUDGET = 1
 BLOCK = 20_000
@@ -171,21 +173,36 @@ class Pieces:
                     break
 
 
+@functools.lru_cache(maxsize=1)
+def _block(folder: str, run: int, budget: int) -> Pieces:
+    """The pieces of a block of items that lies in the shared folder; the last one used is kept by the process."""
+    from pyarrow import dataset, fs
+
+    system, place = fs.FileSystem.from_uri(folder)
+    t = dataset.dataset(place, filesystem=system, format="parquet").to_table(["item_id", "text"])
+    rows = sorted(zip(t.column("item_id").to_pylist(), t.column("text").to_pylist()))
+    return Pieces([(i, [w for part in unmarked(x) for w in reading(part)]) for i, x in rows], run, budget)
+
+
 def passages(documents: DataFrame, items: DataFrame, run: int = RUN, budget: int = BUDGET) -> DataFrame:
     """(doc_id, item_id, n_words, n_edits, at_word): stretches of documents that hold a window of an item within
     the budget of edits; n_words is the longest exact run around the hit.
 
-    The items are collected in blocks of ``BLOCK`` item ids at most; the documents are read once for
-    each block and nothing of them is shuffled."""
-    rows = items.where("text is not null and item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    texts = [(r.item_id, [w for part in unmarked(r.text) for w in reading(part)]) for r in rows.toLocalIterator()]
+    The items are written to the shared folder in blocks of about ``BLOCK``, which the workers read; none of them comes to
+    the driver. The documents are read once for each block, and nothing of them is shuffled."""
+    rows = settle(items.where("text is not null and item_id is not null").groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.min("text").alias("text")))
+    n = max(1, -(-rows.count() // BLOCK))
     out = None
-    for k in range(0, max(1, len(texts)), BLOCK):
-        block = Pieces(texts[k : k + BLOCK], run, budget)
+    for k in range(n):
+        block = settle(rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)) if n > 1 else rows
+        files = block.inputFiles()
+        folder = files[0].rsplit("/", 1)[0] if files else None
+
+        def scan(batches, folder=folder):
+            from tessera.llm.leaks import _block
 
-        def scan(batches, block=block):
             for b in batches:
-                found = [(doc, *hit) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if text and doc is not None for hit in block.search(text)]
+                found = [(doc, *hit) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if text and doc is not None and folder for hit in _block(folder, run, budget).search(text)]
                 cols = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "n_words", "n_edits", "at_word"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.util import settle
+from tessera.util import in_blocks, settle
 
 LIMIT, OVERLAP = 1200, 120
 RANGE, HALO = 65_536, 8_192
@@ -197,8 +197,7 @@ def routine_ranges(routines: DataFrame, files: DataFrame, limit: int = LIMIT, ov
     """A file's content travels once for every ``BLOCK`` routines of the file, not once for each. Only files longer than a
     range can have a routine that is; their routines' ranges are spread."""
     once = routines.where("routine_id is not null and file_id is not null and start_line is not null").groupBy("routine_id").agg(F.min(F.struct("file_id", "start_line", "end_line")).alias("at"))
-    place = F.row_number().over(Window.partitionBy("file_id").orderBy("routine_id"))
-    blocks = once.select("routine_id", "at.*").withColumn("block", F.floor((place - 1) / BLOCK)).groupBy("file_id", "block").agg(F.collect_list(F.struct("routine_id", "start_line", "end_line")).alias("own"))
+    blocks = in_blocks(once.select("routine_id", "at.*"), "file_id", "routine_id", BLOCK).groupBy("file_id", "block").agg(F.collect_list(F.struct("routine_id", "start_line", "end_line")).alias("own"))
     texts_of = files.where("content is not null").select("file_id", "content")
 
     def texts(content, own):

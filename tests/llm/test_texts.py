@@ -112,7 +112,7 @@ def test_encode_frame(spark, reference_encoder):
 ITEM = "Филиал Камнеград отправил 12 пакетов и СтрокаНасоса потерял ещё 25 за смену номер семь по узлу 574"
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     items = spark.createDataFrame([(1, "s", ITEM), (2, "s", "короткий текст"), (3, "s", None), (1, "s", ITEM)], "item_id long, suite string, text string")
     w = ITEM.split()
     docs = {
@@ -134,6 +134,8 @@ def test_leaks(spark):
     }
     df = spark.createDataFrame([(k, v, 0) for k, v in docs.items()], "doc_id long, text string, item_id int")
     assert {tuple(r) for r in leaks.leaks(df, items).collect()} == {(k, 1) for k in (1, 2, 5, 6, 7, 10, 12, 13, 14, 15)}
+    monkeypatch.setattr(leaks, "BLOCK", 1)
+    assert {tuple(r) for r in leaks.leaks(df, items).collect()} == {(k, 1) for k in (1, 2, 5, 6, 7, 10, 12, 13, 14, 15)}
     assert leaks.leaks(df, items.limit(0)).count() == 0 and leaks.leaks(df.limit(0), items).count() == 0
     assert leaks.leaked_items(df, items).collect()[0].n_leaked == 1
     close = {r.doc_id: (r.n_edits, r.n_words) for r in leaks.closest(df, items).collect()}
