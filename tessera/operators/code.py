@@ -184,12 +184,23 @@ def find_handlers(routines: DataFrame, object_fqn: str | None = None) -> DataFra
 
 
 def routine_source(chunks: DataFrame) -> DataFrame:
-    """Bodies rebuilt from code chunks, parts in order of their numbers."""
+    """(tenant_id, routine, body, parts): bodies rebuilt from code chunks without their heads, parts in order of
+    their numbers."""
     parts = F.split("fqn", "#code", 2)
-    c = chunks.where("chunk_kind = 'code'").dropDuplicates(["chunk_id"]).select("tenant_id", parts[0].alias("routine"), F.coalesce(F.expr("try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) as int)"), F.lit(0)).alias("part"), "text", "chunk_id")
+    bare = F.when(F.contains("text", F.lit("\n")), F.expr("substring(text, locate('\n', text) + 1)")).otherwise(F.col("text"))
+    c = chunks.where("chunk_kind = 'code'").dropDuplicates(["chunk_id"]).select("tenant_id", parts[0].alias("routine"), F.coalesce(F.expr("try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) as int)"), F.lit(0)).alias("part"), bare.alias("text"), "chunk_id")
     return c.groupBy("tenant_id", "routine").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk_id", "text"))), lambda x: x["text"]), "\n").alias("body"), F.count(F.lit(1)).alias("parts"))
 
 
+def source_with_overrides(sources: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(tenant_id, routine, body, overrides): a routine's body and, by mode, each routine of an extension that
+    overrides it, with its extension and body where there is one. One join for all routines."""
+    over = overrides.join(sources.select("tenant_id", F.col("routine").alias("src"), F.col("body").alias("source")), ["tenant_id", "src"], "left")
+    extension = F.regexp_extract("src", r"@ext:(.*?)::", 1)
+    o = over.groupBy("tenant_id", F.col("dst").alias("routine")).agg(F.array_sort(F.collect_list(F.struct("mode", F.col("src").alias("fqn"), extension.alias("extension"), "source"))).alias("overrides"))
+    return sources.select("tenant_id", "routine", "body").join(o, ["tenant_id", "routine"], "full")
+
+
 def callers_of(calls: DataFrame, symbols: DataFrame, methods: DataFrame, kind: str | None = None, cap: int | None = None) -> DataFrame:
     """Occurrences of calls of each method_low in ``methods``, with the calling symbol. Unqualified
     calls of a routine by itself are left out. With ``cap`` the first by object, name and line are shown, as
@@ -235,6 +246,60 @@ def declarations(symbols: DataFrame, contains: str, limit: int = 50) -> DataFram
     return s.orderBy(F.desc("export"), "relevance", "object", "name", "id").limit(limit).crossJoin(F.broadcast(total))
 
 
+def find_declarations(symbols: DataFrame, name: str, substring: bool = False, exported_only: bool = False, object_hint: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A window of the declarations of a name, all of them or an object's, with their number, what it counts, and
+    whether the window leaves some out."""
+    low = name.lower()
+    s = symbols.dropDuplicates(["id"]).where(F.col("name_low").contains(low) if substring else F.col("name_low") == low)
+    if exported_only:
+        s = s.where("export = 1")
+    if object_hint:
+        s = s.where((F.col("object_low") == object_hint.lower()) | F.col("object_low").endswith("." + object_hint.lower()))
+    total = s.agg(F.count(F.lit(1)).alias("total"))
+    rows = s.select("id", "tenant_id", "object", "name", "path", "start_line", "export").orderBy("object", "path", "start_line", "id")
+    rows = (rows.offset(offset) if offset else rows).limit(limit)
+    return rows.crossJoin(F.broadcast(total)).withColumn("scope", F.lit("object" if object_hint else "all")).withColumn("truncated", F.col("total") > offset + limit)  # one row
+
+
+def callers_batch(calls: DataFrame, symbols: DataFrame, asked: DataFrame, cap: int = 40) -> DataFrame:
+    """Callers of many names in one pass, each with a hint of its own (method_low, hint): a call counts if there is no
+    hint, or it is qualified by it, or unqualified in an object whose name holds it. At most ``cap`` a name are shown, in order of
+    object, name and line, with the number of all."""
+    hints = asked.select("method_low", F.lower("hint").alias("hint")).distinct()
+    s = symbols.dropDuplicates(["id"]).select(F.col("id").alias("caller_id"), "tenant_id", "object", "object_low", "name", "name_low", "path")
+    c = once(calls).join(hints, "method_low").join(s, "caller_id").where(~(F.col("qualifier").isNull() & (F.col("name_low") == F.col("method_low"))))
+    fits = F.col("hint").isNull() | (F.col("qualifier_low") == F.col("hint")) | (F.col("qualifier").isNull() & F.contains("object_low", F.col("hint")))
+    c = c.where(fits)
+    total = c.groupBy("method_low", "hint").agg(F.count(F.lit(1)).alias("total"))
+    w = Window.partitionBy("method_low", "hint").orderBy("object", "name", "line", "call_id")
+    top = c.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap).select("method_low", "hint", "tenant_id", "object", "name", "path", "line", "nth")
+    t = total.select(F.col("method_low").alias("m"), F.col("hint").alias("h"), "total")
+    return top.join(t, (F.col("m") == F.col("method_low")) & F.col("h").eqNullSafe(F.col("hint"))).drop("m", "h")
+
+
+def caller_levels(calls: DataFrame, symbols: DataFrame, name: str, depth: int = 2, per_level: int = 40) -> DataFrame:
+    """(level, calls, caller, path, place, total, truncated): callers of a name upward, each (path, routine) at its
+    first level; at most ``per_level`` of a level are shown, the total counts all of its call rows."""
+    s = symbols.dropDuplicates(["id"]).select(F.col("id").alias("caller_id"), "name", "name_low", "path")
+    rows = once(calls).join(s, "caller_id").where(~(F.col("qualifier").isNull() & (F.col("name_low") == F.col("method_low")))).select(F.col("method_low").alias("calls"), F.col("name_low").alias("caller"), "path")
+    front, seen_names, seen, out = calls.sparkSession.createDataFrame([(name.lower(),)], "calls string"), None, None, None
+    for level in range(1, depth + 1):
+        hits = settle(rows.join(front, "calls"))
+        total = hits.agg(F.count(F.lit(1)).alias("total"))
+        new = hits.groupBy("caller", "path").agg(F.min("calls").alias("calls"))
+        new = settle(new if seen is None else new.join(seen, ["caller", "path"], "left_anti"))
+        if new.isEmpty():
+            break
+        w = Window.orderBy("calls", "caller", "path")
+        shown = new.orderBy("calls", "caller", "path").limit(per_level).withColumn("place", F.row_number().over(w))  # few rows
+        one = shown.crossJoin(F.broadcast(total)).select(F.lit(level).alias("level"), "calls", "caller", "path", "place", "total", (F.col("total") > per_level).alias("truncated"))
+        out = one if out is None else out.unionByName(one)
+        seen = new.select("caller", "path") if seen is None else seen.unionByName(new.select("caller", "path"))
+        seen_names = front if seen_names is None else seen_names.unionByName(front)
+        front = settle(new.select(F.col("caller").alias("calls")).distinct().join(seen_names, "calls", "left_anti"))
+    return out if out is not None else calls.sparkSession.createDataFrame([], "level int, calls string, caller string, path string, place int, total bigint, truncated boolean")
+
+
 def override_hooks(symbols: DataFrame, mode: str | None = None) -> DataFrame:
     """All hooks of extensions, by mode."""
     s = symbols.where("override_mode is not null").dropDuplicates(["id"])

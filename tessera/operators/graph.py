@@ -297,3 +297,23 @@ def form_card(forms: DataFrame, limit: int = 40) -> DataFrame:
     rank = lambda i: F.struct((-F.size(F.filter("handlers", lambda h: h["element"] == i["name"]))).alias("h"), i["command"].isNull().alias("c"), i["data_path"].isNull().alias("d"), i["name"].alias("item"))
     rows = best.select("tenant_id", "form", "config_id", F.size("items").alias("total"), F.posexplode(F.slice(F.array_sort(F.transform("items", rank)), 1, limit)).alias("n", "i"))
     return rows.select("tenant_id", "form", "config_id", F.col("i.item").alias("item"), (F.col("n") + 1).alias("place"), "total")
+
+
+def context_of_objects(edges: DataFrame, wanted: DataFrame, refs: int = 10) -> DataFrame:
+    """(tenant_id, fqn, n_attributes, subsystems, refs, writes_to): what stands around object hits (tenant_id, fqn): four
+    aggregates over the edges of the hits, not a question for each."""
+    keys = ["tenant_id", "fqn"]
+    w = wanted.select(*keys).distinct()
+    out = edges.withColumnRenamed("src", "fqn").join(w, keys, "left_semi")
+    into = edges.withColumnRenamed("dst", "fqn").join(w, keys, "left_semi")
+    listed = lambda df, c, name: df.groupBy(*keys).agg(F.array_sort(F.collect_set(c)).alias(name))
+    attributes = out.where(F.col("rel").isin(*ROLE_RELS.values())).groupBy(*keys).agg(F.countDistinct("dst").alias("n_attributes"))
+    r = references(edges).withColumnRenamed("src", "fqn").join(w, keys, "left_semi")
+    got = w.join(attributes, keys, "left").join(listed(into.where("rel = 'CONTAINS'"), "src", "subsystems"), keys, "left").join(listed(r, "dst", "refs"), keys, "left").join(listed(out.where("rel = 'WRITES_TO'"), "dst", "writes_to"), keys, "left")
+    none = F.array().cast("array<string>")
+    return got.select(*keys, F.coalesce("n_attributes", F.lit(0)).alias("n_attributes"), F.coalesce("subsystems", none).alias("subsystems"), F.slice(F.coalesce("refs", none), 1, refs).alias("refs"), F.coalesce("writes_to", none).alias("writes_to"))
+
+
+def context_of_documents(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(src, rel, dst) of document hits (src): the objects that they mention or are related to."""
+    return links.join(wanted.select("src").distinct(), "src", "left_semi").select("src", "rel", "dst").distinct()

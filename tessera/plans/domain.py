@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import code, docs, metadata, metrics, search, state, text
-from tessera.sources import bsl, metadata_xml, trees
+from tessera.plans import dumps
+from tessera.sources import bsl, help, metadata_xml, trees
 from tessera.util import read, shared_dir
 
 KIND, NAME, TERM = "Catalog", "ПартнерыУчета", "склад"
@@ -157,7 +158,12 @@ def paths_sql() -> str:
 
 op("op_C13_call_path", paths_sql())(lambda t: code.call_path(edges(t), code.live_routines(t.routines).where("override_mode is not null"), exported(t), HOPS).withColumn("path", F.array_join("path", " > ")))
 op("op_C15_find_overrides", q(f"SELECT * FROM (SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:')) WHERE starts_with(dst, '{HOOKED}.')"))(lambda t: code.find_overrides(t.routines, HOOKED))
-op("op_C16_routine_source", q("SELECT tenant_id, split_part(fqn, '#code', 1) AS routine, string_agg(text, chr(10) ORDER BY coalesce(try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) AS INT), 0), chunk_id) AS body, count(*) AS parts FROM k WHERE chunk_kind = 'code' GROUP BY 1, 2"))(lambda t: code.routine_source(t.chunks))
+BODIES = "SELECT tenant_id, split_part(fqn, '#code', 1) AS routine, string_agg(text[instr(text, chr(10)) + 1:], chr(10) ORDER BY coalesce(try_cast(regexp_extract(fqn, '#code/([0-9]+)', 1) AS INT), 0), chunk_id) AS body, count(*) AS parts FROM k WHERE chunk_kind = 'code' GROUP BY 1, 2"
+op("op_C16_routine_source", q(BODIES))(lambda t: code.routine_source(t.chunks))
+HOOKS = "(SELECT tenant_id, fqn AS src, regexp_replace(split_part(fqn, '::', 1), '@ext:.*$', '') || '::' || override_target AS dst, override_mode AS mode FROM r WHERE override_mode IS NOT NULL AND override_target IS NOT NULL AND contains(split_part(fqn, '::', 1), '@ext:'))"
+op("op_C16_with_overrides", q(f", b AS ({BODIES}) SELECT h.tenant_id, h.dst AS routine, b.body, h.mode, h.src AS fqn, regexp_extract(h.src, '@ext:(.*?)::', 1) AS extension, x.body AS source FROM {HOOKS} h LEFT JOIN b ON b.tenant_id = h.tenant_id AND b.routine = h.dst LEFT JOIN b x ON x.tenant_id = h.tenant_id AND x.routine = h.src").replace("\n, b AS", ", b AS"))(
+    lambda t: code.source_with_overrides(code.routine_source(t.chunks), code.override_edges(t.routines)).select("tenant_id", "routine", "body", F.explode("overrides").alias("o")).select("tenant_id", "routine", "body", "o.mode", "o.fqn", "o.extension", "o.source")
+)
 METHODS = "(SELECT DISTINCT name_low AS method_low FROM s WHERE export = 1 AND object LIKE 'CommonModule.%')"
 CALLERS = f"SELECT method_low, s.tenant_id, object, name, path, line, call_id FROM c JOIN {METHODS} USING (method_low) JOIN s ON s.id = c.caller_id WHERE NOT (qualifier IS NULL AND s.name_low = method_low)"
 
@@ -175,6 +181,19 @@ op(
     "op_C22_declarations",
     BASE.rstrip() + (f", x AS (SELECT id, tenant_id, object, name, export, CASE split_part(object, '.', 1) WHEN 'CommonModule' THEN 0 WHEN 'Configuration' THEN 1 WHEN 'Document' THEN 2 WHEN 'Catalog' THEN 3 ELSE 4 END AS relevance FROM s WHERE contains(name_low, '{TERM}')) SELECT *, (SELECT count(*) FROM x) AS total FROM x ORDER BY export DESC, relevance, object, name, id LIMIT 50"),
 )(lambda t: code.declarations(t.symbols, TERM))
+HINT = "CASE WHEN method_low < 'н' THEN lower(split_part(object, '.', 2)) END"
+op("op_C23_find_declarations", q(f"SELECT id, tenant_id, object, name, path, start_line, export, (SELECT count(*) FROM s WHERE contains(name_low, '{TERM}') AND export = 1) AS total, 'all' AS scope, (SELECT count(*) FROM s WHERE contains(name_low, '{TERM}') AND export = 1) > 5 AS truncated FROM s WHERE contains(name_low, '{TERM}') AND export = 1 ORDER BY object, path, start_line, id LIMIT 5"))(lambda t: code.find_declarations(t.symbols, TERM, True, True, limit=5))
+op("op_C23_narrowed", q(f"SELECT id, tenant_id, object, name, path, start_line, export, count(*) OVER () AS total, 'object' AS scope, false AS truncated FROM s WHERE name_low = lower('{ROUTINE}') AND (object_low = lower('{MODULE}') OR ends_with(object_low, '.' || lower('{MODULE}')))"))(lambda t: code.find_declarations(t.symbols, ROUTINE, object_hint=MODULE))
+op(
+    "op_C25_callers_batch",
+    q(f"""SELECT * FROM (SELECT h.method_low, hint, s.tenant_id, s.object, s.name, s.path, line, row_number() OVER (PARTITION BY h.method_low, hint ORDER BY s.object, s.name, line, call_id)::INTEGER AS nth, count(*) OVER (PARTITION BY h.method_low, hint) AS total
+    FROM c JOIN (SELECT DISTINCT name_low AS method_low, {HINT.replace('method_low', 'name_low')} AS hint FROM s WHERE export = 1 AND object LIKE 'CommonModule.%') h USING (method_low) JOIN s ON s.id = c.caller_id WHERE NOT (qualifier IS NULL AND s.name_low = h.method_low) AND (hint IS NULL OR qualifier_low = hint OR (qualifier IS NULL AND contains(s.object_low, hint)))) WHERE nth <= 3"""),
+)(lambda t: code.callers_batch(t.calls, t.symbols, t.symbols.where("export = 1 and object like 'CommonModule.%'").select(F.col("name_low").alias("method_low"), F.when(F.col("name_low") < "н", F.lower(F.split("object", r"\.")[1])).alias("hint")), 3))
+op(
+    "op_C24_caller_levels",
+    q(f"""SELECT 1 AS level, lower('{ROUTINE}') AS calls, caller, path, row_number() OVER (ORDER BY caller, path)::INTEGER AS place, (SELECT count(*) FROM c JOIN s ON s.id = c.caller_id WHERE method_low = lower('{ROUTINE}') AND NOT (qualifier IS NULL AND name_low = method_low)) AS total, false AS truncated
+    FROM (SELECT DISTINCT s.name_low AS caller, s.path FROM c JOIN s ON s.id = c.caller_id WHERE method_low = lower('{ROUTINE}') AND NOT (qualifier IS NULL AND s.name_low = method_low)) ORDER BY 3, 4 LIMIT 1000"""),
+)(lambda t: code.caller_levels(t.calls, t.symbols, ROUTINE, 1, 1000))
 op(
     "op_C24_callers_upward",
     BASE.rstrip().replace("WITH o AS", "WITH RECURSIVE o AS", 1) + f", ne AS (SELECT DISTINCT s.name_low AS caller_name, c.method_low AS callee_name FROM c JOIN s ON s.id = c.caller_id), up AS (SELECT 0 AS level, lower('{ROUTINE}') AS name UNION SELECT level + 1, caller_name FROM up JOIN ne ON callee_name = name WHERE level < 4) SELECT min(level) AS level, name FROM up GROUP BY 2",
@@ -334,11 +353,14 @@ op("op_D02_get_document", q("SELECT tenant_id || '/' || owner_fqn AS owner, stri
 
 
 def pages(t):
-    return docs.latest(t.doc_units).select(F.concat(F.lit("8.3."), F.length("title") % 30).alias("version"), F.col("source").alias("help_kind"), F.col("title").alias("full_name"), F.col("title").alias("name"), F.col("external_id").alias("en_name"))
+    return help.pages(dumps.books(t)).where("error is null")
 
 
-op("op_D03_docinfo", q("SELECT low, version, help_kind, full_name, place FROM (SELECT lower(title) AS low, '8.3.' || (length(title) % 30) AS version, source AS help_kind, title AS full_name, row_number() OVER (PARTITION BY lower(title) ORDER BY length(title) % 30 DESC, title, source, external_id)::INTEGER AS place FROM latest WHERE title IS NOT NULL) WHERE place = 1"))(lambda t: docs.docinfo(pages(t), pages(t).select(F.col("name").alias("q"))).where("place = 1 and low = lower(full_name)").select("low", "version", "help_kind", "full_name", "place"))
-op("op_D04_versions", q("SELECT '8.3.' || (length(title) % 30) AS version, count(*) AS n, count(DISTINCT source) AS n_kinds FROM latest GROUP BY 1"))(lambda t: docs.versions(pages(t)))
+BOOKS = "(SELECT unit_id, title AS name, '8.3.' || (9 + length(title) % 3) || '.1000' AS version, 9 + length(title) % 3 AS n, 'Topic' || unit_id AS en_name FROM latest WHERE title IS NOT NULL)"
+op("op_S21_help_pages", q(f"SELECT version, 'context' AS help_kind, regexp_replace(trim(name), '\\s+', ' ', 'g') AS name, en_name, unit_id || '.html' AS page FROM {BOOKS}"))(lambda t: pages(t).select("version", "help_kind", "name", "en_name", "page"))
+op("op_S32_help_catalog", q(f"SELECT version, help_kind, name, en_name, page FROM (SELECT version, 'context' AS help_kind, regexp_replace(trim(name), '\\s+', ' ', 'g') AS name, en_name, unit_id || '.html' AS page FROM {BOOKS})"))(lambda t: help.catalog(dumps.books(t)))
+op("op_D03_docinfo", q(f"SELECT low, version, name, en_name, place, n_full FROM (SELECT lower(name) AS low, version, name, en_name, row_number() OVER (PARTITION BY lower(name) ORDER BY n DESC, name || ' (' || en_name || ')')::INTEGER AS place, count(*) OVER (PARTITION BY lower(name)) AS n_full FROM {BOOKS}) WHERE place <= 25"))(lambda t: docs.docinfo(pages(t), pages(t).select(F.col("name").alias("q"))).select("low", "version", "name", "en_name", "place", "n_full"))
+op("op_D04_versions", q(f"SELECT version, count(*) AS n, 1::BIGINT AS n_kinds FROM {BOOKS} GROUP BY 1"))(lambda t: docs.versions(pages(t)))
 op("op_D05_search_titles", q("SELECT unit_id, title, CASE WHEN starts_with(lower(title), 'учёт') THEN 0 ELSE 1 END AS how FROM latest WHERE contains(lower(title), 'учёт') ORDER BY how, title, unit_id LIMIT 50"))(lambda t: docs.search_titles(t.doc_units, "учёт"))
 op(
     "op_D06_ingest_diff",

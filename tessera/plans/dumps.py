@@ -117,6 +117,34 @@ def schema_files(t) -> DataFrame:
     return x.select("tenant_id", F.lit("base").alias("config_id"), "path", F.concat(F.lit("<DataCompositionSchema><dataSet><name>Набор</name>"), "x", F.lit("<query>ВЫБРАТЬ "), "q", F.lit("</query></dataSet><parameter><name>Период</name></parameter><settingsVariant><name>Основной</name></settingsVariant></DataCompositionSchema>")).alias("content"))
 
 
+def books(t) -> DataFrame:
+    """(path, content): help books in their container format, one a version: a page for each document's last version, its
+    title with an English name in brackets."""
+    from tessera.operators.docs import latest
+
+    u = latest(t.doc_units).where("title is not null").select(F.concat(F.lit("/opt/8.3."), 9 + F.length("title") % 3, F.lit(".1000/shcntx_ru.hbk")).alias("path"), "unit_id", "title", F.coalesce("text", F.lit("")).alias("text"))
+
+    def bind(key, rows):
+        import html
+        import io
+        import struct
+        import zipfile
+
+        import pandas as pd
+
+        store = io.BytesIO()
+        with zipfile.ZipFile(store, "w") as z:
+            for r in rows.sort_values("unit_id").itertuples():
+                z.writestr(f"{r.unit_id}.html", f"<html><body><h1>{html.escape(r.title)} (Topic{r.unit_id})</h1><p>{html.escape(r.text)}</p></body></html>")
+        data, name = store.getvalue(), b"\0" * 20 + "FileStorage".encode("utf-16-le")
+        block = lambda b: f"\r\n{len(b):08x} {len(b):08x} {0x7FFFFFFF:08x} \r\n".encode() + b
+        about = 16 + 31 + 12
+        whole = b"\0" * 16 + block(struct.pack("<III", about, about + 31 + len(name), 0x7FFFFFFF)) + block(name) + block(data)
+        return pd.DataFrame({"path": [key[0]], "content": [whole]})
+
+    return u.groupBy("path").applyInPandas(bind, "path string, content binary")
+
+
 # The same in SQL, over the common tables ``o``, ``r`` and ``t``.
 TABLES = """, oc AS (SELECT tenant_id, fqn, config_id, arg_min(kind, object_id) AS kind, arg_min(name, object_id) AS name, arg_min(synonym, object_id) AS synonym, arg_min(belonging, object_id) AS belonging FROM o GROUP BY 1, 2, 3),
 mk AS (SELECT *, CASE WHEN belonging = 'Adopted' AND config_id <> 'base' THEN '@' || config_id ELSE '' END AS mark FROM oc),

@@ -135,6 +135,13 @@ def filtered(t):
     return graph.chunks_of(chunk_filter(t.chunks.dropDuplicates(["chunk_id"]), kinds=["code", "object"]), owners, {"kind": [KIND, "Document"]}, within).select("chunk_id")
 
 
+op(
+    "op_V17_object_context",
+    g("""SELECT w.tenant_id, w.fqn, (SELECT count(DISTINCT dst) FROM ge WHERE ge.tenant_id = w.tenant_id AND src = w.fqn AND rel IN ('HAS_ATTRIBUTE', 'HAS_DIMENSION', 'HAS_RESOURCE')) AS n_attributes, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM ge WHERE ge.tenant_id = w.tenant_id AND dst = w.fqn AND rel = 'CONTAINS'), '') AS subsystems,
+    coalesce((SELECT array_to_string(list_sort(list(DISTINCT dst))[1:10], ',') FROM gr WHERE gr.tenant_id = w.tenant_id AND gr.src = w.fqn), '') AS refs, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM ge WHERE ge.tenant_id = w.tenant_id AND src = w.fqn AND rel = 'WRITES_TO'), '') AS writes_to FROM (SELECT DISTINCT tenant_id, fqn FROM oc) w"""),
+)(lambda t: graph.context_of_objects(edges(t), metadata.current(t.objects)).select("tenant_id", "fqn", "n_attributes", *[F.array_join(c, ",").alias(c) for c in ("subsystems", "refs", "writes_to")]))
+
+
 # ---- forms, services, templates ----
 FORMS = ", fr AS (SELECT DISTINCT tenant_id, config_id, split_part(fqn, '::', 1) AS form, name, directive IS NOT NULL AS wired FROM r WHERE fqn LIKE '%.Form.%'), fx AS (SELECT tenant_id, config_id, form, name, bool_or(wired) AS wired FROM fr GROUP BY 1, 2, 3, 4) "
 op("op_S15_form_handlers", g(FORMS + "SELECT tenant_id, form, 'OnChange' AS event, name AS handler, 'Поле' || name AS element FROM fx WHERE wired UNION ALL SELECT DISTINCT tenant_id, form, 'OnOpen', 'НетТакого', NULL FROM fx"))(lambda t: parsed_forms(t).select("tenant_id", "form", F.explode("handlers").alias("h")).select("tenant_id", "form", "h.event", "h.handler", "h.element"))
