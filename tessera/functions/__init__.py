@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.operators.code import entry_point, module_of
-from tessera.operators.docs import effective_access, version_key
-from tessera.operators.metadata import path_kind, path_object, split_handler
+from tessera.operators.docs import effective_access, standard_fqn, version_key
+from tessera.operators.metadata import artifact_of, fqn_from_object_key, path_kind, path_object, split_fqn, split_handler
 from tessera.operators.search import cosine, l2, norm, standard_number, unit_of
 from tessera.operators.state import base_tenant, task_of
 from tessera.operators.text import kind_ru, mentions, search_tokens, sha1_text, solid
@@ -41,4 +41,4 @@ def fmt_duration(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", (s / 3600).cast("int"), ((s % 3600) / 60).cast("int"), s % 60)).otherwise(F.format_string("%d:%02d", (s / 60).cast("int"), s % 60))
 
 
-__all__ = ["base_tenant", "cosine", "effective_access", "entry_point", "fmt_duration", "in_namespace", "kind_ru", "l2", "mentions", "module_of", "norm", "normalize_slug", "owner_fqn", "path_kind", "path_object", "search_tokens", "sha1_text", "solid", "split_handler", "split_name", "standard_number", "task_of", "template_type", "top_level", "type_ref", "unit_of", "version_key", "version_of"]
+__all__ = ["artifact_of", "base_tenant", "cosine", "effective_access", "entry_point", "fmt_duration", "fqn_from_object_key", "in_namespace", "kind_ru", "l2", "mentions", "module_of", "norm", "normalize_slug", "owner_fqn", "path_kind", "path_object", "search_tokens", "sha1_text", "solid", "split_fqn", "split_handler", "split_name", "standard_fqn", "standard_number", "task_of", "template_type", "top_level", "type_ref", "unit_of", "version_key", "version_of"]

@@ -75,3 +75,24 @@ def effective_access(page_level: Column, inherited: Column) -> Column:
     """A page's own level, or the inherited one; unknown levels count as restricted."""
     level = F.when(page_level == "inherited", inherited).otherwise(page_level)
     return F.when(level.isin("public", "restricted", "all"), level).otherwise("restricted")
+
+
+def accepted(pages: DataFrame, mode: str = "public", public: tuple[str, ...] = ("public",)) -> DataFrame:
+    """The pages (access, inherited) of one side: ``public`` those whose effective level is public, ``restricted`` all
+    others, unknown levels too, ``all`` both; the two sides never share a page."""
+    level = F.when(F.col("access") == "inherited", F.col("inherited")).otherwise(F.col("access"))
+    open_ = F.coalesce(level.isin(*public), F.lit(False))
+    return {"public": pages.where(open_), "restricted": pages.where(~open_), "all": pages}[mode]
+
+
+def standard_fqn(c: Column, prefix: str = "v8std_") -> Column:
+    """The document of a standard by number, anchor, id or fqn: ``396``, ``#std396``, ``v8std_396``, ``its:...``."""
+    s = F.trim(F.coalesce(c, F.lit("")))
+    number = F.regexp_extract(s, r"(\d+)", 1)
+    return F.when(s.startswith("its:"), s).when(F.lower(s).startswith(prefix), F.concat(F.lit("its:"), s)).when(number != "", F.concat(F.lit("its:" + prefix), number)).otherwise(F.concat(F.lit("its:"), s))
+
+
+def get_standards(units: DataFrame, wanted: DataFrame, prefix: str = "v8std_") -> DataFrame:
+    """(q, fqn, title, text): the documents that names of standards (q) mean, by their last version."""
+    u = latest(units.where("source = 'its'")).select(F.concat(F.lit("its:"), "external_id").alias("fqn"), "title", "text")
+    return wanted.select("q").distinct().withColumn("fqn", standard_fqn(F.col("q"), prefix)).join(u, "fqn").select("q", "fqn", "title", "text")

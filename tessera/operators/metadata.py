@@ -256,3 +256,44 @@ def form_items(items: DataFrame, limit: int = 40) -> DataFrame:
     first = items.groupBy("form").agg(F.min("source_order").alias("source_order"))
     w = Window.partitionBy("form").orderBy((F.col("handlers") > 0).desc(), F.col("command").isNotNull().desc(), F.col("data_path").isNotNull().desc(), "item")
     return items.join(first, ["form", "source_order"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("form", "item", "place")
+
+
+def split_fqn(fqn: Column) -> Column:
+    """An fqn -> struct(kind, name); without a point it is a reference that nothing resolves."""
+    dotted = F.contains(fqn, F.lit("."))
+    return F.struct(F.when(dotted, F.substring_index(fqn, ".", 1)).otherwise("Unresolved").alias("kind"), F.when(dotted, F.regexp_replace(fqn, r"^[^.]*\.", "")).otherwise(fqn).alias("name"))
+
+
+def fqn_from_object_key(key: Column) -> Column:
+    """The fqn of a change's key, ``0/Catalogs/Name.xml`` or a path below an object, without looking for files; null
+    where the first folder is none of objects."""
+    return path_object(F.regexp_replace(F.regexp_replace(F.replace(key, F.lit("\\"), F.lit("/")), r"^/*\d+/", ""), r"^/+|/+$", ""))
+
+
+def artifact_of(path: Column) -> Column:
+    """What a file is: module, form_layout, meta or other."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return F.when(low.endswith(".bsl"), "module").when(low.endswith(".form") | low.endswith("/ext/form.xml"), "form_layout").when(low.endswith(".mdo") | low.rlike(r"^[^/]+/[^/]+\.xml$"), "meta").otherwise("other")
+
+
+def usage_report(files: DataFrame, kind: str, name: str, window: int = 100, offset: int = 0, by_object: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Q10: (lines, objects): lines of metadata files that name a type ``KindRef.Name`` or ``KindObject.Name``: a window of
+    them with the number of all, and the objects with most, with how many objects there are."""
+    import re
+
+    pattern = rf"{kind}(?:Ref|Object)\.\s*{re.escape(name)}(?![\p{{L}}\p{{N}}_])"
+    f = files.where(F.col("content").rlike(pattern)).select("tenant_id", "config_id", "path", F.posexplode(F.split("content", "\n")).alias("n", "text")).where(F.col("text").rlike(pattern))
+    rows = f.select("tenant_id", "config_id", "path", (F.col("n") + 1).alias("line"), path_object(F.col("path")).alias("object"))
+    lines = page(rows, ["tenant_id", "config_id", "path", "line"], window, offset)
+    objects = rows.groupBy("tenant_id", "object").agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines, page(objects, [F.desc("n_lines"), "tenant_id", "object"], by_object)
+
+
+def overview(objects: DataFrame, files: DataFrame) -> DataFrame:
+    """Q16: (tenant_id, config_id, n_objects, n_kinds, top, n_files, n_modules): a row per configuration: objects, the five
+    kinds with most, files and modules."""
+    k = current(objects).groupBy("tenant_id", "config_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "kind"))), 1, 5)
+    o = k.groupBy("tenant_id", "config_id").agg(F.sum("n").alias("n_objects"), F.count(F.lit(1)).alias("n_kinds"), F.array_join(F.transform(top, lambda x: F.concat_ws(":", x["kind"], -x["m"])), ",").alias("top"))
+    f = files.groupBy("tenant_id", F.col("source").alias("config_id")).agg(F.count(F.lit(1)).alias("n_files"), F.sum((artifact_of(F.col("path")) == "module").cast("bigint")).alias("n_modules"))
+    return o.join(f, ["tenant_id", "config_id"], "left").na.fill(0, ["n_files", "n_modules"])

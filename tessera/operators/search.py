@@ -373,3 +373,30 @@ def standard_number(c: Column) -> Column:
     """The number in an id of a standard, ``std 123`` or ``#123``; null without one."""
     n = F.regexp_extract(c, r"(\d+)", 1)
     return F.when(n != "", n.cast("bigint"))
+
+
+def embed_with(df: DataFrame, key: str, text: str, make) -> DataFrame:
+    """(key, embedding) by any encoder: ``make()`` is called once in each worker's task and gives a function from a
+    list of texts to vectors; null texts are left out. The encoder's files must be where workers can read them."""
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>"
+
+    def run(batches):
+        import pandas as pd
+
+        encode = None
+        for b in batches:
+            encode = encode or make()
+            yield pd.DataFrame({key: b[key], "embedding": [list(map(float, v)) for v in encode(b[text].tolist())]})
+
+    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, schema)
+
+
+def rerank_with(hits: DataFrame, query: str, text: str, make, k: int = 10) -> DataFrame:
+    """The hits (query_id, unit, and columns of query and text) in the order of a model: ``make()`` gives a function
+    from lists of queries and texts to scores. Only hits, of which each query has few, come to the model."""
+    import pandas as pd
+
+    def score(q, t):
+        return pd.Series(make()(q.tolist(), t.fillna("").tolist()), dtype="float64")
+
+    return rerank(hits, F.pandas_udf(score, "double", F.PandasUDFType.SCALAR)(F.col(query), F.col(text)), k)

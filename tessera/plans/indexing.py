@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import code, index, metadata, state, text
-from tessera.plans import domain
+from tessera.operators import code, docs, index, metadata, state, text
+from tessera.plans import domain, dumps
 from tessera.plans import graph as built
 from tessera.plans.domain import KINDS, SINCE, Tables, edges, q
 from tessera.plans.graph import calls, g
@@ -118,6 +118,22 @@ op(
     UNION ALL SELECT tenant_id, 'entry_points', category, count(*) FROM (SELECT * FROM r JOIN (VALUES ('обработкапроведения', 'проведение'), ('posting', 'проведение'), ('передзаписью', 'запись'), ('призаписи', 'запись'), ('передудалением', 'удаление'), ('обработказаполнения', 'заполнение')) v(low, category) ON low = lower(name)) GROUP BY 1, 3"""),
 )(lambda t: index.overview(t.objects, t.routines, calls(t), code.override_edges(t.routines), t.files))
 
+op("op_P12_object_keys", f"WITH {domain.KINDS_SQL} SELECT file_id, '0/' || path AS key, k || '.' || regexp_replace(regexp_extract(path, '^(?:src/)?[A-Za-z]+/([^/]+)', 1), '\\.[A-Za-z]+$', '') AS fqn FROM files LEFT JOIN kinds ON folder = regexp_extract(path, '^(?:src/)?([A-Za-z]+)/', 1)")(lambda t: t.files.select("file_id", F.concat(F.lit("0/"), "path").alias("key")).withColumn("fqn", metadata.fqn_from_object_key(F.col("key"))))
+op("op_P10_artifacts", "SELECT file_id, CASE WHEN lower(path) LIKE '%.bsl' THEN 'module' WHEN lower(path) LIKE '%.form' OR lower(path) LIKE '%/ext/form.xml' THEN 'form_layout' WHEN lower(path) LIKE '%.mdo' OR (lower(path) LIKE '%.xml' AND len(string_split(path, '/')) = 2) THEN 'meta' ELSE 'other' END AS what FROM files")(lambda t: t.files.select("file_id", metadata.artifact_of(F.col("path")).alias("what")))
+op("op_P06_split_fqn", q("SELECT DISTINCT dst, CASE WHEN contains(dst, '.') THEN split_part(dst, '.', 1) ELSE 'Unresolved' END AS kind, CASE WHEN contains(dst, '.') THEN dst[instr(dst, '.') + 1:] ELSE dst END AS name FROM (SELECT dst FROM refs UNION SELECT substr(dst, instr(dst, '.') + 1) FROM refs)"))(
+    lambda t: metadata.reference_edges(t.type_refs).select(F.explode(F.array("dst", F.regexp_replace("dst", r"^[^.]*\.", ""))).alias("dst")).distinct().select("dst", metadata.split_fqn(F.col("dst")).alias("f")).select("dst", "f.kind", "f.name")
+)
+op("op_Q10_usage_objects", g("SELECT tenant_id, object, n_lines, count(*) OVER () AS total FROM (SELECT own.tenant_id, own.fqn AS object, count(DISTINCT own.config_id) AS n_lines FROM own JOIN ft ON ft.tenant_id = own.tenant_id AND ft.fqn = own.fqn WHERE regexp_matches(raw, '^cfg:" + domain.KIND + "Ref\\.\\s*" + domain.NAME + "$') GROUP BY 1, 2) ORDER BY n_lines DESC, tenant_id, object LIMIT 40"))(lambda t: metadata.usage_report(dumps.files(t), domain.KIND, domain.NAME)[1])
+op("op_Q16_overview", q("SELECT o2.tenant_id, o2.config_id, n_objects, n_kinds, top, coalesce(n_files, 0) AS n_files, coalesce(n_modules, 0) AS n_modules FROM (SELECT tenant_id, config_id, sum(n)::BIGINT AS n_objects, count(*) AS n_kinds, array_to_string(list(kind || ':' || n ORDER BY n DESC, kind)[1:5], ',') AS top FROM (SELECT tenant_id, config_id, kind, count(*) AS n FROM o GROUP BY 1, 2, 3) GROUP BY 1, 2) o2 LEFT JOIN (SELECT tenant_id, source AS config_id, count(*) AS n_files, sum((lower(path) LIKE '%.bsl')::INT)::BIGINT AS n_modules FROM files GROUP BY 1, 2) f USING (tenant_id, config_id)"))(lambda t: metadata.overview(t.objects, t.files))
+op("op_S27_access", "SELECT doc_id FROM documents WHERE coalesce(CASE WHEN lang = 'inherited' THEN source ELSE lang END, '') NOT IN ('ru', 'en')")(lambda t: docs.accepted(t.documents.select("doc_id", F.col("lang").alias("access"), F.col("source").alias("inherited")), "restricted", ("ru", "en")).select("doc_id"))
+op("op_V20_standards", q("SELECT DISTINCT 'std ' || regexp_extract(external_id, '([0-9]+)', 1) AS q, 'its:' || external_id AS fqn, title FROM latest WHERE source = 'its' AND regexp_matches(external_id, '^its-[0-9]+$')"))(lambda t: standards(t))
+
+
+def standards(t):
+    its = t.doc_units.where("source = 'its'").where(F.col("external_id").rlike("^its-[0-9]+$"))
+    asked = its.select(F.concat(F.lit("std "), F.regexp_extract("external_id", "([0-9]+)", 1)).alias("q"))
+    return docs.get_standards(its, asked, "its-").select("q", "fqn", "title")
+
 
 def queries() -> dict:
     return {name: (lambda spark, d, f=f: f(Tables(spark, d))) for name, (f, _) in OPS.items()}

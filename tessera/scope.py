@@ -45,6 +45,34 @@ def token_hash(token: str) -> str:
     return hashlib.sha256(token.encode()).hexdigest()
 
 
+class TokenStore:
+    """Tokens of tenants, of which only hashes are kept; what was done, when and to whom, is kept too. A token that was
+    given out cannot be read again, a hash never belongs to two tenants."""
+
+    def __init__(self, clock=time.time):
+        self.tenants: dict[str, str] = {}
+        self.audit: list[tuple[float, str, str]] = []
+        self.clock = clock
+
+    def provision(self, tenant: str) -> str:
+        import secrets
+
+        if not tenant:
+            raise Refused("a tenant must be given")
+        token = secrets.token_urlsafe(32)
+        self.tenants[token_hash(token)] = tenant
+        self.audit.append((self.clock(), "provision", tenant))
+        return token
+
+    def revoke(self, tenant: str) -> int:
+        """All tokens of a tenant; how many there were."""
+        mine = [h for h, t in self.tenants.items() if t == tenant]
+        for h in mine:
+            del self.tenants[h]
+        self.audit.append((self.clock(), "revoke", tenant))
+        return len(mine)
+
+
 def resolve_tenant(token: str | None, configured: dict[str, str], stored: dict[str, str], headers: dict[str, str] | None = None, http: bool = True) -> str:
     """A configured token goes first, then a stored one, then a header; over HTTP nothing is assumed."""
     if token:

@@ -6,7 +6,7 @@ import subprocess
 import pytest
 
 from tessera import control
-from tessera.scope import Job
+from tessera.scope import Job, Refused, TokenStore, resolve_tenant
 
 
 def test_profiles_and_workspaces():
@@ -111,3 +111,13 @@ def test_page_client():
     for status in (403, 500):
         with pytest.raises(RuntimeError):
             control.PageClient(lambda p, q, s=status: (s, None, 0), retries=1, sleep=lambda s: None).get("/x", {})
+
+
+def test_token_store():
+    store = TokenStore(clock=lambda: 5.0)
+    a, b = store.provision("t"), store.provision("t")
+    assert a != b and a not in str(store.tenants) and resolve_tenant(a, {}, store.tenants) == "t"
+    assert store.revoke("t") == 2 and store.revoke("t") == 0 and [w for _, w, _ in store.audit] == ["provision", "provision", "revoke", "revoke"]
+    for bad in (lambda: resolve_tenant(a, {}, store.tenants), lambda: store.provision("")):
+        with pytest.raises(Refused):
+            bad()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, index, search, state
+from tessera.operators import docs, graph, index, search, state
 from tessera.sources import metadata_xml
 from tessera.util import in_blocks
 
@@ -127,3 +127,15 @@ def test_blocks_of_a_hot_key(spark):
     got = in_blocks(rows.unionByName(spark.createDataFrame([(1, None)], "id long, k long")), "k", "id", 100).groupBy("k", "block").count().collect()
     hot = [r["count"] for r in got if r.k == 1]
     assert len(hot) == 9 and max(hot) < 200 and sum(r["count"] for r in got) == 1001 and {r.block for r in got if r.k != 1} == {0}
+
+
+def test_models_and_standards(spark):
+    d = spark.createDataFrame([(1, "аб"), (2, None), (3, "")], "k int, t string")
+    got = {r.k: list(r.embedding) for r in search.embed_with(d, "k", "t", lambda: lambda xs: [[len(x), 1] for x in xs]).collect()}
+    assert got == {1: [2.0, 1.0], 3: [0.0, 1.0]}
+    hits = spark.createDataFrame([(1, "a", "q", "длинный текст"), (1, "b", "q", None), (1, "c", "q", "текст")], "query_id int, unit string, q string, t string")
+    assert [r.unit for r in search.rerank_with(hits, "q", "t", lambda: lambda qs, ts: [len(x) for x in ts], 2).orderBy("place").collect()] == ["a", "c"]
+    names = spark.createDataFrame([("396",), ("#std396",), ("v8std_396",), ("its:x",), (" без номера ",), (None,)], "q string").select(docs.standard_fqn(F.col("q")).alias("f")).collect()
+    assert [r.f for r in names] == ["its:v8std_396"] * 3 + ["its:x", "its:без номера", "its:"]
+    pages = spark.createDataFrame([(1, "public", None), (2, "inherited", "public"), (3, "inherited", None), (4, "odd", None), (5, None, "public")], "id int, access string, inherited string")
+    assert {r.id for r in docs.accepted(pages).collect()} == {1, 2} and {r.id for r in docs.accepted(pages, "restricted").collect()} == {3, 4, 5} and docs.accepted(pages, "all").count() == 5
