@@ -14,19 +14,27 @@ def test_ingest_stream(spark, tmp_path):
     schema = "id int, text string, version int"
     inbox = tmp_path / "in"
     spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], schema).write.json(str(inbox))
-    table = VersionedTable(spark, f"file://{tmp_path}/table")
+    table = VersionedTable(spark, f"file://{tmp_path}/table", ["id"], 4)
     for _ in range(2):  # the second run finds nothing new
-        ingest_stream(spark.readStream.schema(schema).json(str(inbox)), table, ["id"], "version", str(tmp_path / "cp")).awaitTermination()
+        ingest_stream(spark.readStream.schema(schema).json(str(inbox)), table, "version", str(tmp_path / "cp")).awaitTermination()
         assert {(r.id, r.text) for r in table.read().collect()} == {(1, "b"), (2, "c")}
     spark.createDataFrame([(2, None, 3), (3, "d", 1)], schema).write.mode("append").json(str(inbox))
-    ingest_stream(spark.readStream.schema(schema).json(str(inbox)), table, ["id"], "version", str(tmp_path / "cp")).awaitTermination()
+    ingest_stream(spark.readStream.schema(schema).json(str(inbox)), table, "version", str(tmp_path / "cp")).awaitTermination()
     assert {(r.id, r.text) for r in table.read().collect()} == {(1, "b"), (2, None), (3, "d")}
     # A new checkpoint begins at batch 0; what it brings is merged all the same, and old versions go.
     for n in range(4):
         spark.createDataFrame([(4, f"n{n}", n)], schema).write.json(str(tmp_path / f"in{n}"))
-        ingest_stream(spark.readStream.schema(schema).json(str(tmp_path / f"in{n}")), table, ["id"], "version", str(tmp_path / f"cp{n}")).awaitTermination()
+        ingest_stream(spark.readStream.schema(schema).json(str(tmp_path / f"in{n}")), table, "version", str(tmp_path / f"cp{n}")).awaitTermination()
         assert {(r.id, r.text) for r in table.read().collect()} == {(1, "b"), (2, None), (3, "d"), (4, f"n{n}")}
     assert len(table.versions()) == table.KEPT
+    before = table.current()
+    table.merge(spark.createDataFrame([(4, "last", 9)], schema))
+    after = table.current()
+    assert sum(before[b] != after[b] for b in after) == 1 and set(before) == set(after)  # other buckets are taken over
+    table.merge(spark.createDataFrame([], schema))
+    assert table.current() == after and {r.text for r in table.read().where("id = 4").collect()} == {"last"}
+    used = {f.split("/")[0] for _, v in table.versions() for f in table._named(v).values()}
+    assert {p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("data-")} == used
 
 
 def test_functions(spark):
