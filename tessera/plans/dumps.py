@@ -117,6 +117,34 @@ def schema_files(t) -> DataFrame:
     return x.select("tenant_id", F.lit("base").alias("config_id"), "path", F.concat(F.lit("<DataCompositionSchema><dataSet><name>Набор</name>"), "x", F.lit("<query>ВЫБРАТЬ "), "q", F.lit("</query></dataSet><parameter><name>Период</name></parameter><settingsVariant><name>Основной</name></settingsVariant></DataCompositionSchema>")).alias("content"))
 
 
+def write_tree(t, root: str) -> None:
+    """The object files as trees below ``root``, a folder for each tenant and configuration with its marker and, for the
+    base, a file of versions; written by the workers."""
+    own = files(t).select("tenant_id", "config_id", "path", "content")
+    parts = own.select("tenant_id", "config_id").distinct()
+    name = F.regexp_replace("config_id", "^ext:", "")
+    marker = F.concat(F.lit("<MetaDataObject><Configuration><Properties><Name>"), name, F.lit("</Name>"), F.when(F.col("config_id") != "base", "<ConfigurationExtensionPurpose>Customization</ConfigurationExtensionPurpose>").otherwise(""), F.lit("</Properties></Configuration></MetaDataObject>"))
+    versions = current(t.objects).where("config_id = 'base' and config_version is not null").groupBy("tenant_id", "fqn").agg(F.min("config_version").alias("v"))
+    versions = versions.groupBy("tenant_id").agg(joined(F.concat(F.lit("<Metadata name='"), "fqn", F.lit("' configVersion='"), "v", F.lit("'><Metadata name='Inner' configVersion='0'/></Metadata>"))).alias("x"))
+    versions = versions.select("tenant_id", F.lit("base").alias("config_id"), F.lit("ConfigDumpInfo.xml").alias("path"), F.concat(F.lit("<ConfigDumpInfo><ConfigVersions>"), "x", F.lit("</ConfigVersions></ConfigDumpInfo>")).alias("content"))
+    rows = own.unionByName(parts.select("tenant_id", "config_id", F.lit("Configuration.xml").alias("path"), marker.alias("content"))).unionByName(versions)
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for tenant, config, path, content in zip(b["tenant_id"], b["config_id"], b["path"], b["content"]):
+                at = f"{place}/{tenant}/{config.replace(':', '_')}/{path}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at) as f:
+                    f.write(content.encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def books(t) -> DataFrame:
     """(path, content): help books in their container format, one a version: a page for each document's last version, its
     title with an English name in brackets."""

@@ -3,13 +3,15 @@ takes the same facts from the tables themselves."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import code, graph, metadata, state
 from tessera.plans import domain, dumps
-from tessera.plans.domain import BASE, KIND, KINDS_SQL, NAME, RESOLVED, Tables
-from tessera.sources import metadata_xml
-from tessera.util import settle
+from tessera.plans.domain import BASE, KIND, KINDS_SQL, NAME, RESOLVED, Tables, q
+from tessera.sources import metadata_xml, trees
+from tessera.util import settle, shared_dir
 
 OPS: dict = {}
 
@@ -88,6 +90,42 @@ def wiped(t):
     return graph.wipe(n, edges(t), graph.gone_of(n, "object", None, t.spark.createDataFrame([(f"{KIND}.{NAME}",)], "fqn string")))[1]
 
 
+TREES: dict = {}
+
+
+def tree(t) -> str:
+    """The folder of the written trees, made once for a session and scale."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in TREES:
+        there = shared_dir(t.spark)
+        root = f"{there if ':' in there else 'file://' + there}/trees-{uuid.uuid4().hex}"
+        dumps.write_tree(t, root)
+        TREES[key] = root
+    return TREES[key]
+
+
+def found_parts(t):
+    return trees.find_parts(t.spark, tree(t))
+
+
+def part_rows(t):
+    rows = [(f.split("/")[-2], f.split("/")[-1], c, k) for f, c, k in found_parts(t)]
+    return t.spark.createDataFrame(rows, "tenant_id string, folder string, config_id string, format string")
+
+
+def tree_files(t, suffixes=(".xml",)):
+    """The files of all parts, with their tenants."""
+    return trees.read_tree(t.spark, [(config, folder) for folder, config, _ in found_parts(t)], suffixes).withColumn("tenant_id", F.element_at(F.split("root", "/"), -2))
+
+
+op("op_S02_discover_parts", g("SELECT DISTINCT tenant_id, replace(config_id, ':', '_') AS folder, config_id, 'dump' AS format FROM oc UNION SELECT DISTINCT tenant_id, 'base', 'base', 'dump' FROM ba"))(part_rows)
+PATHS_OF = "CASE WHEN kind LIKE '%y' THEN kind[:-2] || 'ies' ELSE kind || 's' END || '/' || name || '.xml'"
+op("op_S04_read_tree", g(f"SELECT tenant_id, config_id, {PATHS_OF} AS path FROM oc UNION SELECT tenant_id, 'base', 'Subsystems/Учёт/Subsystems/' || kind || '.xml' FROM ba UNION SELECT DISTINCT tenant_id, 'base', x FROM ba, (VALUES ('Subsystems/Учёт.xml'), ('Roles/Полные.xml')) v(x) UNION SELECT tenant_id, 'base', 'EventSubscriptions/' || string_split(fqn, '.')[2] || '.xml' FROM li"))(
+    lambda t: tree_files(t).where("path like '%/%'").select("tenant_id", "config_id", "path")
+)
+op("op_S07_dump_info", q("SELECT tenant_id, fqn, min(config_version) AS version FROM o WHERE config_id = 'base' AND config_version IS NOT NULL GROUP BY 1, 2"))(lambda t: trees.dump_versions(tree_files(t).withColumn("path", F.concat_ws("/", "tenant_id", "path"))).select(F.substring_index("path", "/", 1).alias("tenant_id"), "fqn", "version"))
+op("op_S08_tree_objects", g("SELECT DISTINCT tenant_id, config_id, fqn, kind FROM oc"))(lambda t: metadata_xml.records(tree_files(t)).where("error is null and kind not in ('Subsystem', 'Role', 'EventSubscription', 'Configuration') and path like '%/%'").select("tenant_id", "config_id", "fqn", "kind"))
+
 # ---- lookups ----
 LINES = """, ln AS (SELECT tenant_id, fqn, role || ':' || n || ':' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || ':' || CASE WHEN length(n) % 2 = 0 THEN '!' ELSE '' END || ':' || coalesce(string_agg(DISTINCT ref_kind || '.' || ref_name, '|' ORDER BY ref_kind || '.' || ref_name) FILTER (category = 'reference' AND ref_name IS NOT NULL), '') AS line, n FROM ft GROUP BY tenant_id, fqn, role, n),
 ls AS (SELECT tenant_id, src AS fqn, rel, string_agg(DISTINCT regexp_replace(string_split(dst, '.')[-1], '@.*$', ''), ',' ORDER BY regexp_replace(string_split(dst, '.')[-1], '@.*$', '')) AS x FROM ge GROUP BY 1, 2, 3) """

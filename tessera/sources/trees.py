@@ -49,16 +49,53 @@ def discover_parts(root: str) -> list[tuple[str, str]]:
     return sorted(parts, key=lambda p: (p[0] != "base", p[0]))
 
 
+def find_parts(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """S01 to S03 on any file system: (folder, config_id, format) of the parts at or below ``root``, the base first in
+    each folder, then by name. Spark lists and reads the markers, which are as many as there are parts; where a folder has
+    both, the dump's counts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "Configuration.{xml,mdo}").load(root)
+    text = F.decode("content", "UTF-8")
+    project = F.col("path").endswith("/src/Configuration/Configuration.mdo")
+    name, purpose = F.regexp_extract(text, r"(?i)<name>\s*([^<\s]+)", 1), F.regexp_extract(text, r"(?i)<configurationExtensionPurpose>\s*(\w)", 1)
+    folder = F.regexp_replace("path", r"/(?:src/Configuration/Configuration\.mdo|Configuration\.xml)$", "")
+    rows = files.where(project | F.col("path").endswith("/Configuration.xml")).select(folder.alias("folder"), F.when(purpose != "", F.concat(F.lit("ext:"), name)).otherwise("base").alias("config_id"), F.when(project, "project").otherwise("dump").alias("format"))
+    best = rows.groupBy("folder").agg(F.min(F.struct("format", "config_id")).alias("b")).select("folder", "b.config_id", "b.format").collect()
+    return sorted(((r.folder, r.config_id, r.format) for r in best), key=lambda p: (p[0].rsplit("/", 1)[0], p[1] != "base", p[1]))
+
+
+def dump_versions(files: DataFrame) -> DataFrame:
+    """(path, fqn, version): the versions of top-level objects that ``ConfigDumpInfo.xml`` files (path, content) state."""
+    import xml.etree.ElementTree as ET
+
+    from tessera.sources.metadata_xml import parse_dump_info
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    rows += [(path, k, v) for k, v in parse_dump_info(ET.fromstring(content.removeprefix("\ufeff").encode())).items()] if content else []
+                except ET.ParseError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "fqn", "version"])
+
+    return files.where(F.col("path").endswith("ConfigDumpInfo.xml")).select("path", "content").mapInPandas(run, "path string, fqn string, version string")
+
+
 def read_tree(spark: SparkSession, parts: list[tuple[str, str]], suffixes: tuple[str, ...] = (".bsl", ".xml", ".mdo", ".form")) -> DataFrame:
-    """(config_id, path, mtime, size, content) of the parts' files. Spark lists and reads; the
-    path is relative to its part; bytes that are no UTF-8 are replaced."""
-    out = None
-    for config, folder in parts:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(folder)
-        root = "file:" + os.path.abspath(folder).rstrip("/") + "/"
-        one = files.select(F.lit(config).alias("config_id"), F.regexp_replace("path", "^" + re.escape(root), "").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(config_id, root, path, mtime, size, content) of the files of the parts (config_id, folder). Spark lists
+    and reads all parts in one scan; the path is relative to its part, the longest folder that a file lies in; bytes that
+    are no UTF-8 are replaced."""
+    roots = [(c, (f if re.match(r"[a-z0-9]+:", f) else "file:" + os.path.abspath(f)).rstrip("/")) for c, f in parts]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load([f for _, f in roots])
+    plain = lambda c: F.regexp_replace(c, r"^(\w+):/+", "$1:/")  # noqa: E731  file:///x and file:/x are one place
+    known = spark.createDataFrame(roots, "config_id string, root string").select(F.struct((-F.length(plain(F.col("root")))).alias("n"), "config_id", F.concat(plain(F.col("root")), F.lit("/")).alias("at"), "root").alias("r"))
+    known = known.agg(F.array_sort(F.collect_list("r")).alias("roots"))  # one row, the longest first
+    f = files.crossJoin(F.broadcast(known)).withColumn("here", plain(F.col("path")))
+    f = f.withColumn("r", F.get(F.filter("roots", lambda r: F.col("here").startswith(r["at"])), 0))
+    return f.select("r.config_id", "r.root", F.expr("substring(here, length(r.at) + 1)").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
 HUNK = re.compile(r"@@ -\S+ \+(\d+)(?:,(\d+))? @@")
