@@ -44,13 +44,76 @@ def part_chunks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("tenant_id", F.concat("dst", mark).alias("chunk"), F.col("src").alias("owner_fqn"), kind.alias("chunk_kind"), "name", text.alias("text"), F.concat_ws(" ", "name", "owner").alias("text_ident"))
 
 
-def all_chunks(nodes: DataFrame, edges: DataFrame, object_cards: DataFrame, attribute_cards: DataFrame, code: DataFrame, docs: DataFrame) -> DataFrame:
-    """(chunk, chunk_kind, text): every chunk that is embedded, of all sources once; cards (chunk, card) of objects and
-    fields, parts, code and documents (chunk, text)."""
-    card = lambda df, kind: df.select("chunk", F.lit(kind).alias("chunk_kind"), F.col("card").alias("text"))
+#: How many fields an object's chunk lists, and members or rights those of subsystems and roles.
+CARD_FIELDS, CARD_MEMBERS = 30, 40
+
+
+def _objects(nodes: DataFrame) -> DataFrame:
+    """(tenant_id, fqn, name, kind, title, comment) of objects that are no stubs."""
+    p = F.col("props")
+    o = nodes.where("label = 'Object' and not coalesce(props['stub'] = 'true', false)")
+    return o.select("tenant_id", "fqn", "name", p["kind"].alias("kind"), _title(p["synonym"], F.col("name")).alias("title"), p["comment"].alias("comment"))
+
+
+def _fields(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tenant_id, owner, field, name, role, title, types, required, comment): fields with what they belong to."""
+    p = F.col("props")
+    f = nodes.where("label = 'Field'").select("tenant_id", F.col("fqn").alias("field"), "name", p["role"].alias("role"), _title(p["synonym"], F.col("name")).alias("title"), F.coalesce(F.when(F.trim(p["type_text"]) != "", F.trim(p["type_text"])), F.lit("—")).alias("types"), F.coalesce(p["required"] == "true", F.lit(False)).alias("required"), p["comment"].alias("comment"))
+    own = edges.where("rel in ('HAS_ATTRIBUTE', 'HAS_DIMENSION', 'HAS_RESOURCE')").select("tenant_id", F.col("src").alias("owner"), F.col("dst").alias("field"))
+    return own.join(f, ["tenant_id", "field"])
+
+
+def _listed(rows: DataFrame, by: list[str], order: list, text: Column, most: int) -> DataFrame:
+    """The first ``most`` texts of each key, joined by semicolons."""
+    x = F.slice(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{n}") for n, c in enumerate(order)], text.alias("x")))), 1, most)
+    return rows.groupBy(*by).agg(F.array_join(F.transform(x, lambda r: r["x"]), "; ").alias("listed"))
+
+
+def _sentences(*parts: Column) -> Column:
+    return F.concat_ws(". ", *parts)
+
+
+def object_chunks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tenant_id, chunk, owner_fqn, chunk_kind, text): objects with their first fields, by role and name;
+    subsystems with what they contain, roles with their rights, by name."""
+    o = _objects(nodes)
+    head = F.concat(kind_ru(F.col("kind")), F.lit(" «"), "title", F.lit("» ("), "name", F.lit(")"))
+    f = _fields(nodes, edges)
+    f = _listed(f.withColumnRenamed("owner", "fqn"), ["tenant_id", "fqn"], [F.col("role"), F.col("name")], F.concat_ws(": ", "title", "types"), CARD_FIELDS)
+    label = F.when(F.col("kind").isin("Catalog", "Document"), "Реквизиты: ").otherwise("Поля: ")
+    member = o.select("tenant_id", F.col("fqn").alias("dst"), F.col("name").alias("m"), F.col("title").alias("mt"))
+    held = edges.where("rel = 'CONTAINS'").select("tenant_id", F.col("src").alias("fqn"), "dst").join(member, ["tenant_id", "dst"])
+    right = edges.where("rel = 'HAS_RIGHT_ON'").select("tenant_id", F.col("src").alias("fqn"), "dst", F.replace(F.coalesce(F.col("props")["granted"], F.lit("")), F.lit(","), F.lit(", ")).alias("g")).join(member, ["tenant_id", "dst"])
+    parts = [
+        (o.where("kind not in ('Subsystem', 'Role')"), f, "object", label),
+        (o.where("kind = 'Subsystem'"), _listed(held, ["tenant_id", "fqn"], [F.col("m"), F.col("dst")], F.col("mt"), CARD_MEMBERS), "subsystem", F.lit("Состав: ")),
+        (o.where("kind = 'Role'"), _listed(right, ["tenant_id", "fqn"], [F.col("m"), F.col("dst")], F.concat_ws(": ", "mt", "g"), CARD_MEMBERS), "role", F.lit("Права на объекты: ")),
+    ]
+    return reduce(DataFrame.unionByName, [x.join(y, ["tenant_id", "fqn"], "left").select("tenant_id", F.concat("fqn", F.lit(f"#{kind}")).alias("chunk"), F.col("fqn").alias("owner_fqn"), F.lit(kind).alias("chunk_kind"), _sentences(head, "comment", F.concat(lead, "listed")).alias("text")) for x, y, kind, lead in parts])
+
+
+def attribute_chunks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tenant_id, chunk, owner_fqn, chunk_kind, text): a chunk for each field of an object, and for each of a tabular
+    section, with its role, types, and whether it must be filled."""
+    f = _fields(nodes, edges)
+    o = _objects(nodes).select("tenant_id", F.col("fqn").alias("object"), kind_ru(F.col("kind")).alias("k"), F.col("title").alias("ot"))
+    section = nodes.where("label = 'TabularSection'").select("tenant_id", F.col("fqn").alias("owner"), _title(F.col("props")["synonym"], F.col("name")).alias("section"))
+    of = edges.where("rel = 'HAS_TABULAR_SECTION'").select("tenant_id", F.col("src").alias("object"), F.col("dst").alias("owner"))
+    ru = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_RU.items() for x in kv])[F.col("role")], F.lit("реквизит"))
+    named = F.concat(F.lit(" «"), "title", F.lit("» ("), "name", F.lit("): "), "types", F.when(F.col("required"), " [обязательный реквизит]").otherwise(""))
+    head = F.concat("k", F.lit(" «"), "ot", F.lit("» ▸ "))
+    own = f.withColumnRenamed("owner", "object").join(o, ["tenant_id", "object"]).select("tenant_id", F.concat("field", F.lit("#attr")).alias("chunk"), F.col("object").alias("owner_fqn"), F.lit("attribute").alias("chunk_kind"), _sentences(F.concat(head, ru, named), "comment").alias("text"))
+    inner = f.join(of, ["tenant_id", "owner"]).join(section, ["tenant_id", "owner"]).join(o, ["tenant_id", "object"])
+    inner = inner.select("tenant_id", F.concat("field", F.lit("#tsattr")).alias("chunk"), F.col("object").alias("owner_fqn"), F.lit("tabular_attribute").alias("chunk_kind"), F.concat(head, F.lit("табличная часть «"), "section", F.lit("» ▸ реквизит"), named).alias("text"))
+    return own.unionByName(inner)
+
+
+def all_chunks(nodes: DataFrame, edges: DataFrame, code: DataFrame, docs: DataFrame) -> DataFrame:
+    """(chunk, chunk_kind, text): every chunk that is embedded, of all sources once: objects, fields, parts, and those of
+    code and documents (chunk, text)."""
     text = lambda df, kind: df.select("chunk", F.lit(kind).alias("chunk_kind"), "text")
-    parts = [card(object_cards, "object"), card(attribute_cards, "attribute"), part_chunks(nodes, edges).select("chunk", "chunk_kind", "text"), text(code, "code"), text(docs, "doc")]
-    return reduce(DataFrame.unionByName, parts).groupBy("chunk", "chunk_kind").agg(F.min("text").alias("text"))
+    own = [x.select("chunk", "chunk_kind", "text") for x in (object_chunks(nodes, edges), attribute_chunks(nodes, edges), part_chunks(nodes, edges))]
+    return reduce(DataFrame.unionByName, [*own, text(code, "code"), text(docs, "doc")]).groupBy("chunk", "chunk_kind").agg(F.min("text").alias("text"))
 
 
 def routine_units(routines: DataFrame, files: DataFrame) -> DataFrame:

@@ -260,12 +260,6 @@ op("op_T04_doc_chunks", q("SELECT unit_id, text FROM (SELECT unit_id, min(text)
 op("op_T04_doc_heads", q("SELECT DISTINCT unit_id, title || CASE WHEN len(section_path) > 0 THEN ' ▸ ' || array_to_string(section_path, ' ▸ ') ELSE '' END AS head FROM d WHERE text IS NOT NULL AND title IS NOT NULL"))(lambda t: text.doc_chunks(t.doc_units.where("title is not null")).where("part = 0").select("unit_id", F.regexp_replace(F.substring_index("text", "\n", 1), r" \(часть 1/\d+\)$", "").alias("head")))
 # Fixed values, written out for the SQL: the kinds that the tables have.
 KINDS = "CASE kind WHEN 'Catalog' THEN 'Справочник' WHEN 'Document' THEN 'Документ' WHEN 'Enum' THEN 'Перечисление' WHEN 'InformationRegister' THEN 'Регистр сведений' WHEN 'AccumulationRegister' THEN 'Регистр накопления' WHEN 'CommonModule' THEN 'Общий модуль' WHEN 'Report' THEN 'Отчёт' WHEN 'DataProcessor' THEN 'Обработка' WHEN 'Constant' THEN 'Константа' ELSE kind END"
-op(
-    "op_T05_object_cards",
-    q(f"""SELECT object_id, fqn || '#object' AS chunk, concat_ws(chr(10), {KINDS} || ' «' || coalesce(synonym, name) || '»', CASE WHEN kind IN ('Catalog', 'Document') THEN 'Реквизиты: ' ELSE 'Поля: ' END || fields) AS card FROM o LEFT JOIN (SELECT tenant_id, owner_fqn AS fqn, array_to_string((list_sort(list(DISTINCT string_split(field_fqn, '.')[-1])))[1:30], ', ') AS fields FROM t GROUP BY 1, 2) f USING (tenant_id, fqn) WHERE kind NOT IN ('Subsystem', 'Role')"""),
-)(lambda t: text.object_cards(t.objects, t.type_refs))
-op("op_T06_attribute_cards", q("SELECT tenant_id, field_fqn || '#attr' AS chunk, string_split(field_fqn, '.')[-1] || ' — ' || string_agg(DISTINCT raw, ', ' ORDER BY raw) || ' (' || owner_fqn || ')' AS card FROM t GROUP BY tenant_id, field_fqn, owner_fqn"))(lambda t: text.attribute_cards(t.type_refs))
-op("op_T08_member_cards", q(f"SELECT kind, {KINDS} || ' «' || kind || '»: ' || array_to_string((list_sort(list(DISTINCT name)))[1:40], ', ') AS card FROM o GROUP BY kind"))(lambda t: metadata.current(t.objects).groupBy("kind").agg(F.array_sort(F.collect_set("name")).alias("m")).select("kind", text.member_card(F.col("kind"), F.col("kind"), F.col("m")).alias("card")))
 op("op_T10_markdown_sections")(lambda t: text.markdown_sections(t.documents, "doc_id", "text"))
 op("op_T11_page_sections")(lambda t: text.page_sections(text.markdown_sections(t.doc_units.dropDuplicates(["unit_id"]), "unit_id", "text"), "unit_id"))
 op("op_T13_link_mentions")(lambda t: text.link_mentions(t.doc_units, t.objects))

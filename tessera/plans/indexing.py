@@ -24,7 +24,27 @@ def op(name: str, sql: str | None = None):
 PARTS = f"""SELECT DISTINCT ge.tenant_id, ge.dst || CASE rel WHEN 'HAS_ENUM_VALUE' THEN '#val' ELSE '#form' END AS chunk, {KINDS.replace('kind', 'o.kind', 1).replace('ELSE kind', 'ELSE o.kind')} || ' «' || coalesce(nullif(trim(o.synonym), ''), o.name) || '» ▸ ' || CASE rel WHEN 'HAS_ENUM_VALUE' THEN 'значение «' || string_split(ge.dst, '.')[-1] || '» (' || string_split(ge.dst, '.')[-1] || ')' ELSE 'форма «' || regexp_replace(string_split(ge.dst, '.')[-1], '@.*$', '') || '»' END AS text
     FROM ge JOIN (SELECT tenant_id, fqn, arg_min(kind, (config_id <> 'base', config_id)) AS kind, arg_min(name, (config_id <> 'base', config_id)) AS name, arg_min(struct_pack(s := synonym), (config_id <> 'base', config_id)).s AS synonym FROM oc GROUP BY 1, 2) o ON o.tenant_id = ge.tenant_id AND o.fqn = ge.src WHERE rel IN ('HAS_ENUM_VALUE', 'HAS_FORM')"""
 op("op_T07_part_chunks", g(PARTS))(lambda t: index.part_chunks(built.nodes(t), built.edges(t)).select("tenant_id", "chunk", "text"))
-op("op_T09_all_chunks")(lambda t: index.all_chunks(built.nodes(t), built.edges(t), text.object_cards(t.objects, t.type_refs), text.attribute_cards(t.type_refs), text.code_chunks(t.routines, t.files, t.objects), text.doc_chunks(t.doc_units)))
+op("op_T09_all_chunks")(lambda t: index.all_chunks(built.nodes(t), built.edges(t), text.code_chunks(t.routines, t.files, t.objects), text.doc_chunks(t.doc_units)))
+TITLES = """, ti AS (SELECT tenant_id, fqn, arg_min(kind, (config_id <> 'base', config_id)) AS kind, arg_min(name, (config_id <> 'base', config_id)) AS name, coalesce(nullif(trim(arg_min(struct_pack(s := synonym), (config_id <> 'base', config_id)).s), ''), arg_min(name, (config_id <> 'base', config_id))) AS title FROM oc GROUP BY 1, 2),
+ty AS (SELECT tenant_id, fqn, role, n, string_agg(DISTINCT raw, ', ' ORDER BY raw) AS types, bool_or(starts_with(raw, 'cfg:CatalogRef.')) AS to_catalog FROM ft GROUP BY 1, 2, 3, 4) """
+RU = KINDS.replace("kind", "ti.kind", 1).replace("ELSE kind", "ELSE ti.kind")
+op(
+    "op_T05_object_chunks",
+    g(TITLES + f"""SELECT ti.tenant_id, ti.fqn || '#object' AS chunk, {RU} || ' «' || title || '» (' || name || ')' || coalesce('. ' || CASE WHEN kind IN ('Catalog', 'Document') THEN 'Реквизиты: ' ELSE 'Поля: ' END || f, '') AS text
+    FROM ti LEFT JOIN (SELECT tenant_id, fqn, array_to_string(list(n || ': ' || types ORDER BY role, n)[1:30], '; ') AS f FROM ty GROUP BY 1, 2) x ON x.tenant_id = ti.tenant_id AND x.fqn = ti.fqn"""),
+)(lambda t: index.object_chunks(built.nodes(t), built.edges(t)).where("chunk_kind = 'object' and owner_fqn not like 'EventSubscription.%'").select("tenant_id", "chunk", "text"))
+REQUIRED = "CASE WHEN length(n) % 2 = 0 THEN ' [обязательный реквизит]' ELSE '' END"
+op(
+    "op_T06_attribute_chunks",
+    g(TITLES + f"""SELECT ti.tenant_id, ti.fqn || '.' || role || '.' || n || '#attr' AS chunk, {RU} || ' «' || title || '» ▸ ' || CASE role WHEN 'Dimension' THEN 'измерение' ELSE 'реквизит' END || ' «' || n || '» (' || n || '): ' || types || {REQUIRED} AS text FROM ti JOIN ty ON ty.tenant_id = ti.tenant_id AND ty.fqn = ti.fqn
+    UNION ALL SELECT ti.tenant_id, ti.fqn || '.TabularSection.Строки.Attribute.' || n || '#tsattr', {RU} || ' «' || title || '» ▸ табличная часть «Строки» ▸ реквизит «' || n || '» (' || n || '): ' || types || {REQUIRED} FROM ti JOIN ty ON ty.tenant_id = ti.tenant_id AND ty.fqn = ti.fqn WHERE kind = 'Document' AND to_catalog"""),
+)(lambda t: index.attribute_chunks(built.nodes(t), built.edges(t)).select("tenant_id", "chunk", "text"))
+op(
+    "op_T08_subsystem_role_chunks",
+    g(TITLES + """SELECT tenant_id, 'Role.Полные#role' AS chunk, 'Роль «Полные» (Полные). Права на объекты: ' || array_to_string(list(x ORDER BY name, fqn)[1:40], '; ') AS text FROM (SELECT ba.tenant_id, ba.name, ba.fqn, title || ': Read' || CASE WHEN length(ba.name) % 2 = 0 THEN ', Update' ELSE '' END || CASE WHEN EXISTS (SELECT 1 FROM fl WHERE fl.tenant_id = ba.tenant_id AND fl.fqn = ba.fqn) THEN ', View' ELSE '' END AS x FROM ba JOIN ti ON ti.tenant_id = ba.tenant_id AND ti.fqn = ba.fqn) GROUP BY 1
+    UNION ALL SELECT ba.tenant_id, 'Subsystem.Учёт.Subsystem.' || ba.kind || '#subsystem', 'Подсистема «' || ba.kind || '» (' || ba.kind || '). Состав: ' || array_to_string(list(title ORDER BY ba.name, ba.fqn)[1:40], '; ') FROM ba JOIN ti ON ti.tenant_id = ba.tenant_id AND ti.fqn = ba.fqn GROUP BY ba.tenant_id, ba.kind
+    UNION ALL SELECT DISTINCT tenant_id, 'Subsystem.Учёт#subsystem', 'Подсистема «Учёт» (Учёт)' FROM ba"""),
+)(lambda t: index.object_chunks(built.nodes(t), built.edges(t)).where("chunk_kind in ('role', 'subsystem')").select("tenant_id", "chunk", "text"))
 op(
     "op_T16_routine_units",
     q("""SELECT routine_id, name AS display, start_line AS line, array_to_string((string_split(content, chr(10)))[least(greatest(before + 1, start_line - 40), start_line):end_line], chr(10))[1:40000] AS body
