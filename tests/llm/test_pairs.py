@@ -70,6 +70,19 @@ def test_crowded_leaves_are_searched_whole(spark, monkeypatch):
     assert got == {i: set(top[i]) for i in range(0, 400, 20)}
 
 
+def test_any_number_of_fields(spark):
+    """1200 fields, of which one has a tree: none is left out."""
+    x = clustered(1200, 8)
+    rows = [(3 * i + j, f"f{i}", (x[i] * (1 + j) + (0.01 * j if j < 2 else 9.0 * (-1) ** i)).tolist(), 1) for i in range(1199) for j in range(3)]
+    big = clustered(300, 9)
+    rows += [(10_000 + i, "big", big[i].tolist(), 1) for i in range(300)]
+    got = {(r.vec_a, r.vec_b) for r in vectors.nearest(frame(spark, rows), least=0.9, leaf=100).where("vec_a < vec_b").collect()}
+    assert {(3 * i, 3 * i + 1) for i in range(1199)} <= got and all(a // 3 == b // 3 for a, b in got if a < 10_000)
+    s, _ = brute(list(range(300)), big, 5)
+    want = {(10_000 + i, 10_000 + j) for i in range(300) for j in range(i + 1, 300) if s[i, j] >= 0.9}
+    assert len(want & got) >= 0.97 * len(want)
+
+
 def test_copies_and_empty(spark):
     v = [1.0] + [0.5] * 63
     df = frame(spark, [(i, "text", v, 1) for i in range(9)] + [(100, "text", [2 * y for y in v], 1)])
