@@ -33,8 +33,9 @@ from tessera.util import runs, settle
 TREES, CHOSEN, SKETCH = 5, 2, 40
 #: A node branches if its children compare less than this share of its own pairs.
 PROGRESS = 0.8
-#: Chunks that are compared exhaustively at a node.
-NODE = 600
+#: Chunks that are compared exhaustively at a node; those of a block of a node that does not branch; and chunks of which
+#: more make a shingle one that is counted by matrices.
+NODE, WHOLE, OFTEN = 600, 1200, 24
 WORDS = re.compile(r"\w+")
 MIX = 0x9E3779B97F4A7C15
 
@@ -155,10 +156,10 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
         if held is not None:  # what a parent's children would compare, against what it would itself
             work = counted.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("below"))
             stuck = settle(held.join(work, held["key"] == work["parent"]).where(F.col("below") > PROGRESS * F.col("n").cast("double") * F.col("n")).select(held["key"], held["n"]))
-            found.append(_compared(level.join(stuck, "key").join(sketch, "chunk_id").withColumn("blocks", F.ceil(F.col("n") / NODE).cast("int")), threshold))
+            found.append(_compared_whole(level.join(stuck, "key").join(once, "chunk_id").withColumn("blocks", F.ceil(F.col("n") / WHOLE).cast("int")), threshold))
             gone = stuck.select(F.col("key").alias("parent"))
             rows, large = rows.join(gone, "parent", "left_anti"), large.join(gone, "parent", "left_anti")
-        small = rows.join(large.select("key"), "key", "left_anti").withColumn("blocks", F.lit(1))
+        small = rows.join(large.select("key"), "key", "left_anti")
         found.append(_compared(small if held is None else small.join(sketch, "chunk_id"), threshold))
         held = settle(large.select("key", "n"))
         if held.isEmpty():
@@ -188,21 +189,79 @@ def _branched(level: DataFrame, sets: DataFrame) -> DataFrame:
     return nodes.join(sets, "chunk_id").select("chunk_id", "shingles", "nodes").mapInArrow(run, "chunk_id bigint, key bigint, parent bigint")
 
 
-def _compared(placed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b, perhaps repeated: the pairs that meet at these nodes (key, chunk_id, sketch, blocks)."""
-    one = placed.where("blocks = 1").select("key", "chunk_id", "sketch", F.lit(0).alias("side"))
-    # A node that does not get small: every pair of its blocks meets once, at its own key.
+def _in_pairs_of_blocks(placed: DataFrame, carried: str) -> DataFrame:
+    """(key, chunk_id, carried, side): every pair of a node's blocks at its own key; side 0 meets itself, 1 meets 2."""
     mine = F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    many = placed.where("blocks > 1").withColumn("mine", mine).withColumn("other", other)
-    many = many.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "chunk_id", "sketch", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"))
+    rows = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "chunk_id", carried, side.alias("side"))
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share: elements of many sets by a matrix product, those of few by their pairs."""
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.concatenate([first, [len(flat)]]))
+    out = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(size > OFTEN)
+    for lo in range(0, len(often), 4096):
+        part = often[lo : lo + 4096]
+        m = np.zeros((n, len(part)), np.float32)
+        m[owner[_spans(first[part], size[part])], np.repeat(np.arange(len(part)), size[part])] = 1
+        out += m @ m.T
+    for f in np.unique(size[(size > 1) & (size <= OFTEN)]).tolist():
+        held = owner[first[size == f][:, None] + np.arange(f)]
+        i, j = np.triu_indices(f, 1)
+        for lo in range(0, len(held), max(1, 2_000_000 // len(i))):
+            rows = held[lo : lo + max(1, 2_000_000 // len(i))]
+            np.add.at(out, (rows[:, i].ravel(), rows[:, j].ravel()), 1)
+    upper = np.triu(out, 1)  # owners are in order within an element
+    return upper + upper.T
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one run after another."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
+
+
+def _compared_whole(placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: the pairs of large nodes (key, chunk_id, shingles, blocks) that reach the threshold, on the sets
+    themselves: where most chunks are alike, sketches would let too many through."""
+
+    def compare(batches):
+        for t in runs(batches):
+            keys, ids, side = t.column("key").to_numpy(), t.column("chunk_id").to_numpy(), t.column("side").to_numpy()
+            raw = t.column("shingles").to_pylist()
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                if hi - lo < 2:
+                    continue
+                sets = [np.frombuffer(raw[k], "<u8") for k in range(lo, hi)]
+                size = np.array([len(x) for x in sets], np.float32)
+                both = common(sets)
+                near = both >= (threshold - 1e-6) * (size[:, None] + size[None, :] - both)
+                i, j = np.nonzero(np.triu(near, 1))
+                ok = ((side[lo:hi][i] == 0) | (side[lo:hi][i] != side[lo:hi][j])) & (ids[lo:hi][i] != ids[lo:hi][j])
+                x, y = ids[lo:hi][i[ok]], ids[lo:hi][j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    rows = _in_pairs_of_blocks(placed, "shingles").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _compared(placed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, perhaps repeated: the pairs that meet at these small nodes (key, chunk_id, sketch)."""
     # With sketches of SKETCH bytes the share of equal bytes lies 3.5 standard deviations below at the least.
     least = int(SKETCH * (threshold - 3.5 * (threshold * (1 - threshold) / SKETCH) ** 0.5))
 
     def compare(batches):
         for t in runs(batches):
             keys = t.column("key").to_numpy()
-            ids, side = t.column("chunk_id").to_numpy(), t.column("side").to_numpy()
+            ids = t.column("chunk_id").to_numpy()
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(ids), SKETCH)
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             left, right = [], []
@@ -210,22 +269,22 @@ def _compared(placed: DataFrame, threshold: float) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 if hi - lo == 2:
-                    if (side[lo] == 0 or side[lo] != side[lo + 1]) and (sketch[lo] == sketch[lo + 1]).sum() >= least:
+                    if (sketch[lo] == sketch[lo + 1]).sum() >= least:
                         left.append(ids[lo : lo + 1]), right.append(ids[lo + 1 : lo + 2])
                     continue
-                s, own, sides = sketch[lo:hi], ids[lo:hi], side[lo:hi]
+                s, own = sketch[lo:hi], ids[lo:hi]
                 for k in range(0, hi - lo, 64):
                     same = (s[k : k + 64, None, :] == s[None, k:, :]).sum(axis=2, dtype=np.uint8) >= least
                     i, j = np.nonzero(same)
                     i, j = i + k, j + k
-                    ok = (i < j) & ((sides[i] == 0) | (sides[i] != sides[j]))
+                    ok = i < j
                     left.append(own[i[ok]]), right.append(own[j[ok]])
             if left:
                 x, y = np.concatenate(left), np.concatenate(right)
                 ok = x != y
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
 
-    rows = one.unionByName(many).repartition("key").sortWithinPartitions("key")
+    rows = placed.select("key", "chunk_id", "sketch").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(compare, "a bigint, b bigint")
 
 
