@@ -184,6 +184,13 @@ def families(n=20, size=80, seed=11):
     return {i: t[i] for i in order}
 
 
+def test_common_elements_against_brute_force():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(np.concatenate([rng.choice(50, 30, replace=False), rng.choice(10**6, 20) + 100])).astype("<u8") for _ in range(60)] + [np.array([1], "<u8")]
+    want = np.array([[len(np.intersect1d(a, b)) if i != j else 0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert (near.common(sets) == want).all()
+
+
 def test_recall_does_not_fall_with_depth(spark, monkeypatch):
     """With nodes of four chunks, whether they stop where branching does not help or branch to the end."""
     t = families()
