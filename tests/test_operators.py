@@ -108,6 +108,25 @@ def test_hash_embed_and_cosine(spark):
     assert [x.c for x in r] == [0.707107, None, None]
 
 
+def test_l2_as_its_sql(spark, tmp_path):
+    """Signs of zeros, halves, one id with two vectors or none, repeated rows: to the bit as in SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    nan = float("nan")
+    ties = [3.0, 1.0, 19999.0, 167.0, 110.0]  # of length 20000; 3 / 20000 is less than the half 0.00015
+    rows = [(1, [-1.0, 30000.0]), (1, [-1.0, 30000.0]), (2, ties), (3, [-x for x in ties]), (4, [-0.0, 2.0, 0.0]), (5, [0.0, -0.0]), (6, []), (7, None), (8, [3.0, 4.0]), (8, [4.0, 3.0]), (8, [3.0, 4.0]), (None, [1.0]), (None, [2.0, 0.0]), (9, [nan, 1.0]), (10, [-1e-40, 1e38]), (11, [-float("inf"), -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    got = entry.queries()["op_V03_l2"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW chunk_vectors AS SELECT * FROM read_parquet('{tmp_path}/chunk_vectors.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["op_V03_l2"]).fetchall()
+    as_text = sorted(repr((r.vec_id, list(r.unit))) for r in got)
+    assert as_text == sorted(map(repr, want))
+    assert {"(1, [-0.0, 1.0])", "(4, [-0.0, 1.0, 0.0])", "(5, [0.0, -0.0])", "(8, [0.6, 0.8])", "(8, [0.8, 0.6])", "(2, [0.0001, 0.0001, 1.0, 0.0084, 0.0055])"} <= set(as_text) and len(as_text) == 13
+
+
 def code_tables(spark):
     r = spark.createDataFrame(
         [(1, "t", "CommonModule.О.Module.Module::Метод", "CommonModule.О", "Module", "Метод"), (2, "t", "Catalog.К.Module.ManagerModule::Метод", "Catalog.К", "ManagerModule", "Метод"), (3, "t", "Catalog.К.Module.ObjectModule::Свой", "Catalog.К", "ObjectModule", "Свой"), (4, "t", "Catalog.К.Module.ObjectModule::Вызов", "Catalog.К", "ObjectModule", "Вызов"), (5, "t", "CommonModule.К.Module.Module::Метод", "CommonModule.К", "Module", "Метод")],
